@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmill.llm import bpe_automaton, exact_dedup, token_counts, url_filter
+from segmill.llm import (
+    bpe_automaton,
+    exact_dedup,
+    language_id,
+    packing,
+    quality,
+    simhash,
+    token_counts,
+    url_filter,
+    warc,
+    weighted_sampling,
+)
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -22,22 +33,60 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), tokenizer(BYTE_BPE))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(WORD_BPE))
 
 
+OP1 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), f AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest,
+         min(page_id) OVER (PARTITION BY html) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
+
 OP4 = r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
@@ -76,10 +125,11 @@ FROM d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_bpe_automaton": op2_bpe_automaton,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op8_url_filter": op8_url_filter,
-    "op10_token_counts": op10_token_counts,
-}
-
-ORACLE: dict[str, str] = {"op4_exact_dedup": OP4, "op8_url_filter": OP8}
+    f.__name__: f
+    for f in (
+        op1_warc, op2_bpe_automaton, op3_language_id, op4_exact_dedup, op5_packing,
+        op6_simhash, op7_quality, op8_url_filter, op9_weighted_sampling, op10_token_counts,
+    )
+}
+
+ORACLE: dict[str, str] = {"op1_warc": OP1, "op4_exact_dedup": OP4, "op8_url_filter": OP8}
