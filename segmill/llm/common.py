@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,6 +17,22 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"].alias(n) for n, c in cols.items()])
 
 
+def keep_rows(df: DataFrame, text_col: str, judge: Callable[[], Callable[[list], list[bool]]], step: int = 128) -> DataFrame:
+    """The rows, with all their columns, whose text passes; judge() gives the test to each task. No shuffle."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = judge()
+        for b in batches:
+            for i in range(0, b.num_rows, step):
+                some = b.slice(i, step)
+                kept = some.filter(pa.array(passes(some.column(at).to_pylist()), pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, df.schema)
+
+
 def partition_id() -> int:
     ctx = TaskContext.get()
     return ctx.partitionId() if ctx else 0

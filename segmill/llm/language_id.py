@@ -172,3 +172,14 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     docs = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return docs.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_languages(df: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
+    """The rows that have a learned language with at least this score; all columns, no shuffle."""
+    ship(df.sparkSession)
+    known = df.sparkSession.sparkContext.broadcast(model or fit(df, id_col, text_col, lang_col))
+
+    def judge():
+        return lambda texts: [lang != UND and s >= least for lang, s in zip(*known.value.predict(texts))]
+
+    return common.keep_rows(df, text_col, judge)

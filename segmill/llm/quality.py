@@ -206,3 +206,10 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     docs = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_quality(df: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """The rows that score at least this much; all columns, no shuffle."""
+    ship(df.sparkSession)
+    known = df.sparkSession.sparkContext.broadcast(model or fit(df, labels, id_col, text_col))
+    return common.keep_rows(df, text_col, lambda: lambda texts: (known.value.score(texts) >= least).tolist())
