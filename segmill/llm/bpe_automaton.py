@@ -45,7 +45,7 @@ class Automaton:
         self.origin, self.born = [-1], [0]
         self.lost: dict[tuple[int, int], int] = {}
         self.known: dict[int, bool] = {}
-        users = [len(base)]
+        users = [len(base) + 1]  # tokens that lead to a state; the start is one more
         for k, (a, b, ab) in enumerate(merges, 1):
             if self.live[ab] or not (self.live[a] and self.live[b]):
                 continue
