@@ -99,7 +99,7 @@ def pauses(words: Column, least: float = 0.15) -> Column:
 def articulation_rate(words: Column) -> Column:
     """Words a second of speech; 0 for less than two words or no time."""
     n = F.size(words)
-    span = F.element_at(words, -1)["end"] - F.element_at(words, 1)["start"]
+    span = F.try_element_at(words, F.lit(-1))["end"] - F.try_element_at(words, F.lit(1))["start"]
     speech = span - pauses(words)
     return F.when((n >= 2) & (span > 0) & (speech > 0), F.round(n / speech, 4)).otherwise(F.lit(0.0))
 
