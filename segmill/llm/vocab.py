@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -158,6 +161,30 @@ class BatchEncoder:
         return a[keep].reshape(len(a), a.shape[1] - 1)
 
 
+@contextmanager
+def _no_gc() -> Iterator[None]:
+    """Many short lists without cycles are made within; collecting garbage would walk all caches."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def _gaps(values: list) -> list[int]:
+    """The places of None."""
+    out, at = [], -1
+    find = values.index
+    try:
+        while True:
+            at = find(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class WordTokens:
     """Ids of texts by the lower-casing vocabulary whose words end at white space.
 
@@ -171,7 +198,7 @@ class WordTokens:
     #: Characters that neither normalisation nor white-space rules touch, but for lower-casing.
     PLAIN = re.compile(r"[!-~\xa1-\xff]{1,48}")
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -224,7 +251,7 @@ class WordTokens:
         chunks = [self.split(t) if t else [] for t in texts]
         got = [None if c is None else list(map(first.get, c)) for c in chunks]
         open_ = [i for i, g in enumerate(got) if g and None in g]
-        gaps = [[k for k, v in enumerate(got[i]) if v is None] for i in open_]
+        gaps = [_gaps(got[i]) for i in open_]
         if first is not cache:
             for i, own in zip(open_, gaps):
                 g, c = got[i], chunks[i]
@@ -245,19 +272,21 @@ class WordTokens:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers; null is empty."""
-        got = self.fill(texts, self.cache, self.cache, bytes)
+        with _no_gc():
+            got = self.fill(texts, self.cache, self.cache, bytes)
         return [self.whole(t) if g is None else b"".join(g) for t, g in zip(texts, got)]
 
     def count(self, texts: list[str | None], first: dict[str, int]) -> list[int]:
         """Numbers of tokens; counts of frequent chunks come from `first`."""
-        got = self.fill(texts, first, self.counts, lambda ids: len(ids) // 4)
+        with _no_gc():
+            got = self.fill(texts, first, self.counts, lambda ids: len(ids) // 4)
         return [len(self.whole(t)) // 4 if g is None else sum(g) for t, g in zip(texts, got)]
 
 
 _encoders: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str, most: int = 600_000) -> WordTokens:
+def word_tokens(path: str, most: int = 1_000_000) -> WordTokens:
     """The worker's own encoder, kept over its tasks."""
     if (path, most) not in _encoders:
         _encoders[path, most] = WordTokens(path, most)
