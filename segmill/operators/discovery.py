@@ -134,20 +134,14 @@ def creator_ids(creators: DataFrame, categories: Sequence[str] = schema.CATEGORI
     return numbered.withColumn("creator_id", F.format_string("CR%04d", F.col("_before") + F.col("_k"))).drop("_cat", "_k", "_before")
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Numbers from 1 in a total order without a window over the whole table: a range sort, ranks within
-    ranges, and the ranges' offsets (one row each)."""
-    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_k", within).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
-
-
 def round_robin(creators: DataFrame, machines: int, by: str = "longs_count", ident: str = "creator_id") -> DataFrame:
-    """Machines in turn, by the number of longs downwards and then by id."""
-    n = F.row_number().over(W.orderBy(F.desc(by), ident))
-    return creators.withColumn("vm_id", F.concat(F.lit("vm"), ((n - 1) % machines).cast("string")))
+    """Machines in turn, by the number of longs downwards and then by id. Ranks run among creators
+    with equally many longs; what comes before them is a running sum over the distinct numbers."""
+    sizes = creators.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(by, (F.sum("_n").over(W.orderBy(F.desc(by))) - F.col("_n")).alias("_before"))  # one row a number
+    n = F.row_number().over(W.partitionBy(by).orderBy(ident))
+    x = creators.withColumn("_k", n).join(before, by)
+    return x.withColumn("vm_id", F.concat(F.lit("vm"), ((F.col("_before") + F.col("_k") - 1) % machines).cast("string"))).select(*creators.columns, "vm_id")
 
 
 def pool(creators: DataFrame, done: DataFrame, active: DataFrame, key: str = "creator_id") -> DataFrame:

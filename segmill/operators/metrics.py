@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from segmill.operators.ranges import running_before
+
 K_VALUES = (3, 5, 10)
 
 
@@ -52,10 +54,10 @@ def per_video(scores: DataFrame, by: list[str], ks: tuple[int, ...] = K_VALUES,
 
 def auc(scores: DataFrame, by: list[str]) -> DataFrame:
     """M1: share of pairs in the right order, ties counting half; NaN for one class only. Rows are first
-    reduced to one per distinct score."""
+    reduced to one per distinct score, and the sums below a score run over ranges of scores."""
     g = scores.groupBy(*by, "score").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    g = g.withColumn("_won", F.col("p") * (below + F.lit(0.5) * F.col("n")))
+    g = running_before(g, by, "score", "n", "_below")
+    g = g.withColumn("_won", F.col("p") * (F.col("_below") + F.lit(0.5) * F.col("n")))
     pairs = F.sum("p") * F.sum("n")
     return g.groupBy(*by).agg(F.when(pairs > 0, F.sum("_won") / pairs).otherwise(F.lit(float("nan"))).alias("auc_roc"))
 

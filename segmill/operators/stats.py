@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-import pandas as pd
+
+from segmill.operators.ranges import running_before
+from segmill.session import ship
 
 
 def unpivot(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -21,12 +24,11 @@ def spearman(df: DataFrame, columns: list[str], label: str = "label", top: int =
     """M6: |rho| of each feature with the label, 0 where a side is constant; the largest first.
 
     Rows are reduced to one per (feature, value) before ranking, and rho of mid-ranks is computed from
-    these counts, so the windows run over distinct values only.
+    these counts; ranks run over ranges of values, so no feature is gathered in one task.
     """
     x = unpivot(df, columns, [label]).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     g = x.groupBy("feature", "x").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(label).cast("double").alias("p"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy("feature").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    g = g.withColumn("r", below + (F.col("n") + 1.0) / 2.0)
+    g = running_before(g, ["feature"], "x", "n", "_below").withColumn("r", F.col("_below") + (F.col("n") + 1.0) / 2.0)
     s = g.groupBy("feature").agg(
         F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("r") * F.col("n")).alias("sr"), F.sum(F.col("r") * F.col("r") * F.col("n")).alias("srr"), F.sum(F.col("r") * F.col("p")).alias("srp")
     )
@@ -111,6 +113,7 @@ def paired(values: DataFrame, by: list[str], with_p: bool = True, alpha: float =
     out = g.select(*by, "n", "mean_a", "mean_b", t.alias("t"), d.alias("cohens_d"), better.alias("direction")).withColumn("effect", size_of_effect(F.col("cohens_d")))
     if not with_p:
         return out
+    ship(values.sparkSession)
     p = F.when(F.col("t").isNotNull(), t_p_udf()(F.coalesce("t", F.lit(0.0)), (F.col("n") - 1).cast("double")))
     return out.withColumn("p_value", p).withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
