@@ -1,20 +1,31 @@
 """Packing by lexical retrieval: windows are filled with the neighbours of a seed document.
 
-Documents are taken in shards. A shard has an inverted index of its documents with BM25 weights; a
-seed document's terms return its unused neighbours by score, and these fill the seed's window in
-that order. The document that no longer fits is cut, and its rest is the seed of the next window.
-So each window has exactly WINDOW ids. What a shard is left with is cut into sequences of powers of
-two, which take no padding.
-
-A shard is a run of rows of one input task, at most SHARD_DOCS and about SHARD_TOKENS ids, so
-packing needs no shuffle, and neither a hot source nor a large group of copies can make a shard
-larger. All rows and all ids are packed.
+Three passes make shards by content:
+
+1. Texts become ids, written once to the shared folder.
+2. Document frequencies and the mean length are counted over all documents; the result has at most
+   one row for each entry of the vocabulary.
+3. A document's key is its KEY_TERMS terms of highest BM25 weight that another document has too, the
+   most frequent first. Documents are dealt out and sorted by key, so those that share such terms are
+   neighbours wherever they were stored. A shard is a run of this order, at most SHARD_DOCS and about
+   SHARD_TOKENS ids.
+
+The order ends with the row's own number, so neither a common key nor a large group of copies can
+make a shard or a task larger. Tasks are as few as SHARD_TOKENS allows, and a run too small for a
+window goes to the run before.
+
+A shard has an inverted index of its documents with BM25 weights; a seed document's terms return its
+unused neighbours by score, and these fill the seed's window in that order. The document that no
+longer fits is cut, and its rest is the seed of the next window. So each window has exactly WINDOW
+ids. What a shard is left with is cut into sequences of powers of two, which take no padding. All
+rows and all ids are packed. Neighbours that share no leading term may still be in different shards.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,24 +33,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm import common, vocab
-from segmill.session import ship
+from segmill.session import materialize, ship
 
 WINDOW = 4096
 END = 2
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4 << 20
+KEY_TERMS = 8
 K1, B = 1.2, 0.75
 
 
+class Corpus(NamedTuple):
+    """What BM25 takes from all documents."""
+
+    n: int
+    ids: int
+    df: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - self.df[terms] + 0.5) / (self.df[terms] + 0.5))
+
+    def norm(self, size):
+        return K1 * (1 - B + B * size / max(self.ids / max(self.n, 1), 1.0))
+
+    def key(self, doc: np.ndarray) -> bytes:
+        """Its heaviest terms that other documents have, the most frequent first; sorts as bytes."""
+        terms, tf = np.unique(doc, return_counts=True)
+        shared = self.df[terms] > 1
+        terms, tf = terms[shared], tf[shared]
+        weight = self.idf(terms) * tf * (K1 + 1) / (tf + self.norm(len(doc)))
+        top = terms[np.lexsort((terms, -weight))[:KEY_TERMS]]
+        return top[np.lexsort((top, -self.df[top]))].astype(">u4").tobytes()
+
+
+def corpus_of(docs: list[np.ndarray]) -> Corpus:
+    return Corpus(len(docs), sum(map(len, docs)), np.bincount(np.concatenate([np.unique(d) for d in docs])))
+
+
 class Index:
-    """BM25 over the ids of a shard: a posting list of (document, weight) for each term."""
+    """BM25 over the ids of a shard: a posting list of (document, weight) for each term; frequencies and
+    the mean length are those of the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
         terms = [np.unique(d, return_counts=True) for d in docs]
         self.terms = [t for t, _ in terms]
         size = np.array([len(d) for d in docs], np.float64)
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1.0))
+        norm = corpus.norm(size)
         flat = np.concatenate(self.terms)
         tf = np.concatenate([c for _, c in terms])
         of = np.repeat(np.arange(n), [len(t) for t in self.terms])
@@ -48,8 +88,7 @@ class Index:
         tf = tf[order]
         self.known, start, df = np.unique(flat, return_index=True, return_counts=True)
         self.start = np.append(start, len(flat))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight = np.repeat(corpus.idf(self.known), df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
@@ -61,8 +100,9 @@ class Index:
         return np.bincount(self.doc[rows], self.weight[rows], self.n)
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences as lists of pieces (document, start, length); each but the last few fills a window."""
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences as lists of pieces (document, start, length); each but the last few fills a window.
+    Without a corpus the documents are all there are."""
     size = np.array([len(d) for d in docs])
     unused = np.ones(len(docs), bool)
     index: Index | None = None
@@ -85,7 +125,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[list[tuple[in
             if not room:
                 break
             if near is None:
-                index = index or Index(docs)
+                index = index or Index(docs, corpus or corpus_of(docs))
                 score = index.scores(query)
                 score[~unused] = -1.0
                 near = iter(np.argsort(-score, kind="stable")[: int(unused.sum())].tolist())
@@ -112,6 +152,57 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+IDS = "row long, doc_id long, ids binary"
+
+
+def _write_ids(df: DataFrame, path: str, end: int) -> DataFrame:
+    """Each row with a number of its own and its ids, read from one writing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocab.word_tokens(path)
+        row = common.partition_id() << 36
+        tail = np.array([end], "<u4").tobytes()
+        for some, texts in common.rows(batches, 256):
+            ids = [got + tail for got in words.encode(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(ids)), pa.int64()), pa.array(some, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+            row += len(ids)
+
+    return materialize(df.mapInArrow(run, IDS))
+
+
+def _count_terms(ids: DataFrame) -> Corpus:
+    """Over all documents; term -1 has their number, -2 that of their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for (some,) in common.rows(batches, 256):
+            docs = [np.frombuffer(x, "<u4") for x in some]
+            got = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(df))
+            got[: len(df)] += df
+            df, n, total = got, n + len(docs), total + sum(map(len, docs))
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *terms.tolist()], pa.int64()), pa.array([n, total, *df[terms].tolist()], pa.int64())], names=["term", "n"])
+
+    found = {r["term"]: r["n"] for r in ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, total, df)
+
+
+def _by_content(ids: DataFrame, corpus, total: int, shard_tokens: int) -> DataFrame:
+    """Rows dealt out and sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab.forget()
+        for b in batches:
+            keys = [corpus.value.key(np.frombuffer(x.as_py(), "<u4")) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *b.columns], names=["key", "row", "doc_id", "ids"])
+
+    return ids.mapInArrow(run, "key binary, " + IDS).repartitionByRange(max(1, -(-total // shard_tokens)), "key", "row").sortWithinPartitions("key", "row")
+
+
 def pack_documents(
     df: DataFrame, path: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text",
     shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False,
@@ -121,22 +212,22 @@ def pack_documents(
 
     A document is its ids and then `end`; null and empty texts are just `end`. Repeated rows are
     packed once each. An empty table gives an empty result; other columns are ignored. sequence_id
-    counts up within the input task, whose number it has in its upper bits.
+    counts up within the task, whose number it has in its upper bits.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    written = _write_ids(common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text"), path, end)
+    counts = _count_terms(written)
+    corpus = spark.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocab.word_tokens(path)
+        vocab.forget()
         seq = common.partition_id() << 32
-        tail = np.array([end], "<u4").tobytes()
-        docs: list[np.ndarray] = []
-        ids: list[int | None] = []
-        held = 0
 
-        def shard() -> Iterator[pa.RecordBatch]:
+        def shard(ids: list[int | None], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal seq
             out: list[tuple] = []
-            for pieces in pack(docs, window):
+            for pieces in pack(docs, window, corpus.value):
                 offset = 0
                 for k, start, length in pieces:
                     own = docs[k][start : start + length]
@@ -147,18 +238,22 @@ def pack_documents(
             arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array([x.astype(np.int64) for x in c], pa.list_(pa.int64())) for c in cols[7:]]
             yield pa.RecordBatch.from_arrays(arrays, names=_NAMES + ["ids"] * with_ids)
 
+        full: tuple[list, list] = [], []  # the shard before, until what follows fills a window
+        ids: list[int | None] = []
+        docs: list[np.ndarray] = []
+        held = 0
         for some, texts in common.rows(batches, 256):
-            for doc, got in zip(some, words.encode(texts)):
+            for doc, got in zip(some, texts):
                 ids.append(doc)
-                docs.append(np.frombuffer(got + tail, "<u4"))
+                docs.append(np.frombuffer(got, "<u4"))
                 held += len(docs[-1])
-                if len(docs) >= shard_docs or held >= shard_tokens:
-                    yield from shard()
-                    docs.clear()
-                    ids.clear()
-                    held = 0
-        if docs:
-            yield from shard()
+                if held >= window and full[0]:
+                    yield from shard(*full)
+                    full = [], []
+                if held >= window and (len(docs) >= shard_docs or held >= shard_tokens):
+                    full, ids, docs, held = (ids, docs), [], [], 0
+        if full[0] or docs:
+            yield from shard(full[0] + ids, full[1] + docs)
 
     ddl = OUT + ", ids array<long>" * with_ids
-    return common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return _by_content(written, corpus, counts.ids, shard_tokens).select("doc_id", "ids").mapInArrow(run, ddl)

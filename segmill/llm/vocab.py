@@ -291,3 +291,8 @@ def word_tokens(path: str, most: int = 1_000_000) -> WordTokens:
     if (path, most) not in _encoders:
         _encoders[path, most] = WordTokens(path, most)
     return _encoders[path, most]
+
+
+def forget() -> None:
+    """Free the worker's encoders and their caches, for passes that take no texts."""
+    _encoders.clear()

@@ -139,6 +139,30 @@ def test_packing_takes_neighbours():
     assert {k % 2 for k, _, _ in first} == {0} or {k % 2 for k, _, _ in first} == {1}
 
 
+def test_op5_finds_neighbours_of_other_tasks(spark):
+    """Related documents that are far apart in the table share windows, and no small partition is left on its own."""
+    topics = ["alpha beta gamma delta", "one two three four", "red green blue white", "north south east west"]
+    rows = [(k, topics[k % 4] + " text" * (k % 3)) for k in range(160)]
+    df = docs(spark, rows).repartition(16, "doc_id")
+    got = rows_of(packing.pack_documents(df, queries.tokenizer(queries.WORD_BPE), window=32, shard_docs=40))
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append(r)
+    full = [own for own in seqs.values() if sum(r["length"] for r in own) == 32]
+    assert sum(len({r["doc_id"] % 4 for r in own}) == 1 for own in full) >= 0.8 * len(full)
+    assert sum(r["length"] for own in full for r in own) >= 0.9 * sum(r["length"] for r in got)
+
+
+def test_op5_counts_terms_of_all_documents(spark, word_bpe):
+    df = docs(spark).repartition(5)
+    path = queries.tokenizer(queries.WORD_BPE)
+    got = packing._count_terms(packing._write_ids(df.select("doc_id", "text"), path, 2))
+    own = [word_bpe.encode(t or "", add_special_tokens=False).ids + [2] for _, t in ROWS]
+    want = Counter(k for ids in own for k in set(ids))
+    assert (got.n, got.ids) == (len(own), sum(map(len, own)))
+    assert {k: int(got.df[k]) for k in np.flatnonzero(got.df).tolist()} == want
+
+
 def brute_dedup(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     groups = {}
