@@ -13,17 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import exact_dedup, language_id, packing, quality, queries, simhash
-from segmill.session import shared_dir
+from segmill.session import materialize, shared_dir
 
 #: A document goes if it has no letter, or if its likeliest language is less likely than this.
 LEAST_LANGUAGE = 0.3
 #: A document goes if its quality score is below this.
 LEAST_QUALITY = 0.3
+#: The column by which the verdict on a row finds it.
+KEY = "_row"
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, with their own columns."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows with these keys, with the columns of the documents."""
+    kept = docs.join(keys.select(F.col("doc_id").alias("_kept")).distinct(), F.col(KEY).eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.drop(KEY)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,26 +39,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, queries.table(spark, sf_dir, "labels"), LEAST_QUALITY)
 
 
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """Rows that repeat a doc_id are told apart by nothing that a verdict on the id could name, so one
-    of them stays, that with the smallest text. Most tables have none and pass as they are."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key of their own, in the order of doc_id, nulls last. A doc_id that no row repeats is
+    the key; else rows are numbered, and written so that verdicts and rows come from one numbering."""
     if not docs.groupBy("doc_id").count().filter("count > 1").head(1):
-        return docs
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = docs.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
-    return one.select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+        return docs.withColumn(KEY, F.col("doc_id"))
+    at = docs.withColumn(KEY, F.monotonically_increasing_id())  # parts a repeated doc_id among tasks
+    return materialize(at.orderBy(F.col("doc_id").asc_nulls_last(), KEY).withColumn(KEY, F.monotonically_increasing_id()))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    docs = _one_row_each(docs)
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    docs = _keyed(docs)
+    return _only(docs, exact_dedup.exact_dedup(docs, KEY).filter("kept"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints, that with the smallest id."""
-    docs = _one_row_each(docs)
-    found = simhash.simhash_groups(docs)
+    docs = _keyed(docs)
+    found = simhash.simhash_groups(docs, KEY)
     return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 

@@ -185,6 +185,18 @@ def test_pipeline_stages(spark, sf, tmp_path):
     assert {r["doc_id"] for r in seen.collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def test_pipeline_drops_only_copies(spark, sf):
+    """Rows without doc_id, or with the same one, stay unless their texts are copies."""
+    cols = spark.read.parquet(f"{sf}/documents.parquet").schema
+    texts = [t * 20 for t in ("alpha beta gamma delta epsilon ", "one two three four five six ", "red green blue white black ", "north south east west up down ", "iron copper zinc tin lead gold ")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[4]), (None, texts[4])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], cols).repartition(3)
+    for stage in (corpus_pipeline.exact_dedup_stage, corpus_pipeline.near_dedup_stage):
+        got = stage(spark, df, sf)
+        assert got.columns == df.columns
+        assert sorted(((r["doc_id"] or 0), texts.index(r["text"])) for r in got.collect()) == [(0, 0), (0, 1), (7, 2), (7, 3), (9, 4)]
+
+
 def test_pipeline_on_odd_and_empty_documents(spark, sf):
     cols = spark.read.parquet(f"{sf}/documents.parquet").schema
     odd = spark.createDataFrame([(i, t, "en" if i else None, "s", len(t or "")) for i, t in ROWS], cols)
