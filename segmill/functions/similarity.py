@@ -109,6 +109,16 @@ def partial_ratio_udf(least: float = 0.0):
     return score
 
 
+def partial_ratio_from_udf():
+    """Like partial_ratio_udf with the least score of each row; null texts score 0."""
+
+    @pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+        return pd.Series([partial_ratio(x.lower(), y.lower(), z) if x and y else 0.0 for x, y, z in zip(a, b, least)], dtype="float64")
+
+    return score
+
+
 def windowed_score_udf(least: float = schema.MATCH_SCORE):
     @pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill import schema
-from segmill.functions.similarity import partial_ratio_udf, windowed_score_udf
+from segmill.functions.similarity import partial_ratio_from_udf, partial_ratio_udf, windowed_score_udf
 from segmill.functions.text import let, tokens
 from segmill.session import ship
 
@@ -141,14 +141,16 @@ def segment_scores(pairs: DataFrame, shorts: DataFrame, segments: DataFrame, lea
     s = shorts.filter(F.size(tokens(F.col("text"))) >= 10).select("short_id", F.col("text").alias("_s"))
     seg = with_next(segments).select(F.col("video_id").alias("long_id"), "segment_index", "text", "next_text")
     x = pairs.select("short_id", "long_id").join(s, "short_id").join(seg, "long_id")
-    # First only whether the score is reached, which prunes most windows; exact scores where both are.
-    reached, exact = partial_ratio_udf(least), partial_ratio_udf()
-    pair = F.concat_ws(" ", "text", "next_text")
-    x = x.withColumn("own", reached(F.col("_s"), F.col("text")))
-    x = x.withColumn("both", F.when(F.col("next_text").isNotNull(), reached(F.col("_s"), pair)).otherwise(F.lit(0.0)))
+    # First only whether the score is reached, which prunes most windows; the exact score of a side only
+    # where both reach it, and the later side's only if it may be the better one. A UDF runs on all rows
+    # even within when(), so what isn't needed is passed as null.
+    reached, exact, exact_from = partial_ratio_udf(least), partial_ratio_udf(), partial_ratio_from_udf()
+    pair = F.when(F.col("next_text").isNotNull(), F.concat_ws(" ", "text", "next_text"))
+    x = x.withColumn("own", reached(F.col("_s"), F.col("text"))).withColumn("both", reached(F.col("_s"), pair))
     x = x.filter((F.col("own") >= least) | (F.col("both") >= least))
     spans = F.col("both") >= least
-    x = x.withColumn("left", F.when(spans, exact(F.col("_s"), F.col("text")))).withColumn("after", F.when(spans, exact(F.col("_s"), F.col("next_text"))))
+    x = x.withColumn("left", F.greatest(F.col("own"), exact(F.when(spans & (F.col("own") < least), F.col("_s")), F.col("text"))))
+    x = x.withColumn("after", exact_from(F.when(spans, F.col("_s")), F.col("next_text"), F.col("left")))
     single = x.filter(F.col("own") >= least).select("short_id", "long_id", "segment_index", F.col("own").alias("score"), F.lit("single").alias("method"), F.lit(-1).alias("_at"))
     combined = x.filter(F.col("both") >= least).select(
         "short_id", "long_id", F.when(F.col("left") >= F.col("after"), F.col("segment_index")).otherwise(F.col("segment_index") + 1).alias("segment_index"),

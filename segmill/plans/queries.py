@@ -728,7 +728,7 @@ def greedy_assign(spark: SparkSession, sf: str) -> DataFrame:
 def segment_match(spark: SparkSession, sf: str) -> DataFrame:
     """Each conversation's longest turn against the turns of its conversation."""
     t = tables.turns(spark, sf)
-    short = t.groupBy("video_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("segment_index"))).alias("text")).select(F.col("video_id").alias("short_id"), F.expr("substring(text, 1, 300)").alias("text"))
+    short = t.groupBy("video_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("segment_index"))).alias("text")).select(F.col("video_id").alias("short_id"), "text")
     pairs = short.select("short_id", F.col("short_id").alias("long_id"))
     return matching.best_per_short(matching.segment_scores(pairs, short, t.select("video_id", "segment_index", "text")))
 

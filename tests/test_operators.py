@@ -169,6 +169,18 @@ def test_greedy(spark):
     assert got == {("s1", "A"), ("s2", "B"), ("s9", "Z")}
 
 
+def test_segment_match_takes_whole_turns(spark, tmp_path):
+    """A turn that shares only the first 300 characters doesn't tie with the whole one."""
+    from segmill.plans import queries
+
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200)]
+    turns = [(1, 0, "user", " ".join(words[:50] + words[100:130])), (1, 1, "assistant", " ".join(words[:100])), (2, 0, "user", " ".join(words[130:180])), (2, 1, "assistant", "no")]
+    make(spark, "conv_id long, turn long, role string, text string", turns).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["short_id"]: (r["matched_segment_index"], r["match_score"]) for r in rows(queries.segment_match(spark, str(tmp_path)))}
+    assert got == {1: (1, 100.0), 2: (0, 100.0)}
+
+
 def test_segment_matches(spark):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
