@@ -49,26 +49,41 @@ def may_match(short: Column, long: Column, least: float = schema.MATCH_SCORE) ->
     return let(F.lower(short), lambda t: let(F.lower(long), lambda u: test(t, u)))
 
 
+#: Characters by which shorts of up to two tokens are looked for.
+GRAM = 12
+
+
 def contains_match(short: DataFrame, long: DataFrame, words: int = 8) -> DataFrame:
     """Exact case of J8: (short_id, long_id) where the short's text is part of the long's.
 
     An equi-join on the hash of the short's inner tokens among its first `words` finds candidates among
     the long's runs of as many tokens (the outermost may be cut by what surrounds the passage). Shorts
-    of one or two tokens have no inner ones and are left out.
+    of up to two tokens have no inner ones: their first GRAM characters are looked for among the long's
+    runs of as many characters, which are made only for the lengths that occur. An empty short is part
+    of every text.
     """
-    s = short.select("short_id", F.col("text").alias("short_text"), F.slice(tokens(F.col("text")), 1, words).alias("head")).filter(F.size("head") > 2)
-    s = s.withColumn("k", F.size("head") - 2)
-    sizes = sorted(r["k"] for r in s.select("k").distinct().collect())  # at most `words` - 2 numbers
-    keyed = s.select("short_id", "short_text", "k", F.xxhash64(F.col("k"), F.array_join(F.expr("slice(head, 2, k)"), " ")).alias("h"))
-
-    def runs(t: Column, k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(t, i, F.lit(k)), " ")))
+    s = short.filter(F.col("text").isNotNull()).select("short_id", F.col("text").alias("short_text"), F.slice(tokens(F.col("text")), 1, words).alias("head"))
+    # k is the number of inner tokens, or -1 less the number of characters.
+    s = s.withColumn("k", F.when(F.size("head") > 2, F.size("head") - 2).otherwise(-1 - F.least(F.length("short_text"), F.lit(GRAM))))
+    sizes = sorted(r["k"] for r in s.select("k").distinct().collect())  # at most `words` - 2 and GRAM + 1 numbers
+    part = F.when(F.col("k") > 0, F.array_join(F.expr("slice(head, 2, greatest(k, 0))"), " ")).otherwise(F.expr("substring(short_text, 1, greatest(-1 - k, 0))"))
+    keyed = s.select("short_id", "short_text", F.xxhash64(F.col("k"), part).alias("h"))
+
+    def runs(t: Column, n: Column, k: int, cut) -> Column:
+        """Hashes of all runs of |k| of the n parts of t."""
+        size = k if k > 0 else -1 - k
+        if not size:
+            return F.array(F.xxhash64(F.lit(k), F.lit("")))
+        return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.lit(k), cut(t, i, size)))).otherwise(F.array().cast("array<bigint>"))
 
     def hashes(t: Column) -> Column:
         none = F.array().cast("array<bigint>")
-        return F.array_distinct(F.concat(none, *[F.when(F.size(t) >= k, runs(t, k)).otherwise(none) for k in sizes]))
+        by_token = [runs(t, F.size(t), k, lambda x, i, n: F.array_join(F.slice(x, i, F.lit(n)), " ")) for k in sizes if k > 0]
+        by_char = [runs(F.col("text"), F.length("text"), k, lambda x, i, n: F.substring(x, i, F.lit(n))) for k in sizes if k < 0]
+        return F.array_distinct(F.concat(none, *by_token, *by_char))
 
     known = keyed.select("h").distinct()
+    long = long.filter(F.col("text").isNotNull())
     places = long.select("long_id", F.explode(let(tokens(F.col("text")), hashes)).alias("h")).join(known, "h", "left_semi")
     near = keyed.join(places, "h").select("short_id", "short_text", "long_id").distinct()
     found = near.join(long.select("long_id", F.col("text").alias("long_text")), "long_id")

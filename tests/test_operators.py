@@ -169,6 +169,15 @@ def test_greedy(spark):
     assert got == {("s1", "A"), ("s2", "B"), ("s9", "Z")}
 
 
+def test_contains_match_with_few_tokens(spark):
+    """Shorts of no, one and two tokens, which may begin and end within tokens of the long."""
+    texts = ["cat", "on catenary", "concatenation cat", "a b", "xa bx", "", " ", None, "a\nb", "Cat", "antidisestablishment", "an antidisestablishmentarian word here"]
+    some = [*texts, "nation ca", "one concatenation cat sat here", "xxa bxx and a b c", "b", "tion cat sat he"]
+    t = make(spark, "short_id long, text string", list(enumerate(some)))
+    got = sorted((r["short_id"], r["long_id"]) for r in rows(matching.contains_match(t, t.withColumnRenamed("short_id", "long_id"))))
+    assert got == sorted((i, j) for i, a in enumerate(some) for j, b in enumerate(some) if a is not None and b is not None and a in b)
+
+
 def test_segment_match_takes_whole_turns(spark, tmp_path):
     """A turn that shares only the first 300 characters doesn't tie with the whole one."""
     from segmill.plans import queries
