@@ -112,13 +112,13 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     e = read(spark, sf, "embeddings").withColumn("k", F.row_number().over(W.partitionBy("label").orderBy("vec_id")))
-    return e.filter("k % 7 <> 0").select("vec_id", F.col("label").alias("video_id"), F.col("k").alias("segment_index"), "embedding")
+    return e.select("vec_id", F.col("label").alias("video_id"), F.col("k").alias("segment_index"), "embedding")
 
 
 @query(NOVELTY_SQL)
 def novelty(spark: SparkSession, sf: str) -> DataFrame:
     """F15 and J6, with gaps in the index."""
-    return segments.novelty(_vectors(spark, sf)).drop("embedding")
+    return segments.novelty(_vectors(spark, sf).filter("segment_index % 7 <> 0")).drop("embedding")
 
 
 @query("""

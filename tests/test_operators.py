@@ -169,6 +169,12 @@ def test_greedy(spark):
     assert got == {("s1", "A"), ("s2", "B"), ("s9", "Z")}
 
 
+def test_pca_project_takes_all_vectors(spark, sf):
+    from segmill.plans import queries
+
+    assert queries.pca_project(spark, sf).count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
 def test_contains_match_with_few_tokens(spark):
     """Shorts of no, one and two tokens, which may begin and end within tokens of the long."""
     texts = ["cat", "on catenary", "concatenation cat", "a b", "xa bx", "", " ", None, "a\nb", "Cat", "antidisestablishment", "an antidisestablishmentarian word here"]
