@@ -828,31 +828,32 @@ def pca_project(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
     """M12 and M5."""
-    return metrics.evaluate(models.random_baseline(_model_table(spark, sf), 20), ["model", "seed"])
+    return metrics.evaluate(models.random_baseline(_model_table(spark, sf)), ["model", "seed"])
 
 
 @query()
 def rf_scores(spark: SparkSession, sf: str) -> DataFrame:
     """L4, L8."""
-    s, _ = models.random_forest(_model_table(spark, sf), FOREST, seeds=(0,), trees=20, depth=8)
+    s, _ = models.random_forest(_model_table(spark, sf), FOREST)
     return s
 
 
 @query()
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     """L5."""
-    s, _ = models.boosted_trees(_model_table(spark, sf), FOREST, seeds=(0,), rounds=5, depth=3)
+    s, _ = models.boosted_trees(_model_table(spark, sf), FOREST)
     return s
 
 
 @query()
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """M11 with two groups and two seeds."""
-    groups = {"text": FOREST[:2], "structural": FOREST[2:]}
-    return models.ablation(_model_table(spark, sf), groups, models.random_forest, seeds=(0, 1), trees=5, depth=4)
+    """M11 with the feature groups that need no external extractor."""
+    x = _model_table(spark, sf)
+    groups = {g: own for g, columns in schema.GROUPS.items() if (own := [c for c in columns if c in x.columns])}
+    return models.ablation(x, groups, models.random_forest)
 
 
 @query()
 def learning_curve(spark: SparkSession, sf: str) -> DataFrame:
     """M14."""
-    return models.learning_curve(_model_table(spark, sf), FOREST, (0.5, 1.0), models.random_forest, seeds=(0,), trees=5, depth=4)
+    return models.learning_curve(_model_table(spark, sf), FOREST, (0.2, 0.4, 0.6, 0.8, 1.0), models.random_forest)

@@ -169,6 +169,22 @@ def test_greedy(spark):
     assert got == {("s1", "A"), ("s2", "B"), ("s9", "Z")}
 
 
+def test_models_are_registered_with_the_defaults(monkeypatch, spark, sf):
+    """No query lowers the numbers of seeds, trees, rounds or trials, and the ablation has all columns there are."""
+    from segmill.plans import queries
+
+    seen = {}
+    for name in ("random_forest", "boosted_trees", "random_baseline", "ablation", "learning_curve"):
+        monkeypatch.setattr(models, name, lambda *a, _n=name, **k: (seen.setdefault(_n, (a, k)), None))
+    monkeypatch.setattr(queries.metrics, "evaluate", lambda *a: None)
+    for f in (queries.rf_scores, queries.gbt_scores, queries.random_baseline, queries.ablation, queries.learning_curve):
+        f(spark, sf)
+    assert all(not k for _, k in seen.values()) and len(seen["random_baseline"][0]) == 1
+    x, groups, _ = seen["ablation"][0]
+    assert sorted(c for g in groups.values() for c in g) == sorted(set(x.columns) - {"segment_id", "video_id", "split", "label"})
+    assert len(seen["learning_curve"][0][2]) > 2
+
+
 def test_pca_project_takes_all_vectors(spark, sf):
     from segmill.plans import queries
 
