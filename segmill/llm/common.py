@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,19 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 500) -> Iterator[list[li
             yield [c.to_pylist() for c in b.slice(i, step).columns]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[list[list]]:
+    """Columns as lists, of runs of rows whose values in column `at` have about `most` bytes together.
+    One longer value is a run of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = min(max(int(np.searchsorted(ends, before + most, "right")), i + 1), i + rows)
+            yield [c.to_pylist() for c in b.slice(i, j - i).columns]
+            i = j
+
+
 def smallest_of_copies(df: DataFrame, key: str, ident: str) -> DataFrame:
     """(key, salt) -> smallest ident of the key, and the size of its group.
 

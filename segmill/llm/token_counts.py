@@ -1,9 +1,9 @@
 """Token counts by two tiers at the map side: a broadcast table of frequent pre-tokens, then caches.
 
-The table has the token count of each frequent pre-token (a white-space chunk, which no token
-spans). It is fitted on a bounded sample and only saves time: what isn't in it is encoded by the
-worker and kept in its cache, so counts are exact whatever the table holds. Nothing is shuffled but
-the sample's own word counts.
+The table (vocab.Lengths) has the number of tokens of each frequent pre-token and is probed in place
+for a batch's distinct pre-tokens at once. It is fitted on a sample that is bounded in rows and bytes
+and only saves time: what it lacks is encoded by the worker and kept in its store, so counts are
+exact whatever the table holds. No pre-token is shuffled; the sampled texts go to the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,44 +18,26 @@ from pyspark.sql import functions as F
 from segmill.llm import common, vocab
 from segmill.session import ship
 
-#: Entries of the broadcast table (at most TABLE x 64 bytes of keys), and the rows that fit it.
+#: Entries of the broadcast table; the rows that fit it, and their most bytes: 2 x 2,000 x 8 KB reach the driver at most.
 TABLE = 32_768
 SAMPLE_ROWS = 2_000
+SAMPLE_BYTES = 8 << 10
 LONGEST = 64
 
 
-class Lengths:
-    """A compact hash table, pre-token -> token count: slots, 16-bit counts and one block of keys."""
-
-    def __init__(self, counts: dict[str, int]):
-        words = [(w.encode(), n) for w, n in counts.items() if n < 1 << 16]
-        self.at = np.cumsum([0, *(len(w) for w, _ in words)], dtype=np.uint32)
-        self.counts = np.array([n for _, n in words], np.uint16)
-        self.keys = b"".join(w for w, _ in words)
-
-    def load(self) -> dict[str, int]:
-        at, n = self.at.tolist(), self.counts.tolist()
-        return {self.keys[at[i] : at[i + 1]].decode(): n[i] for i in range(len(n))}
-
-
-def frequent(df: DataFrame, text: str, path: str, table: int, sample: int) -> Lengths:
-    """The most frequent chunks of about `sample` rows, with their counts."""
-    n = df.count()
+def frequent(df: DataFrame, text: str, path: str, table: int, sample: int) -> vocab.Lengths:
+    """The most frequent pre-tokens of about `sample` rows of at most SAMPLE_BYTES."""
+    some = df.filter(F.octet_length(text).between(1, SAMPLE_BYTES)).select(text)
+    n = some.count()
     share = min(1.0, sample / n) if n else 1.0
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter[str] = Counter()
-        for (texts,) in common.rows(batches):
-            for t in texts:
-                c.update(w for w in (t or "").split() if len(w) <= LONGEST)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
-
-    top = (
-        df.sample(False, share, seed=7).select(text).mapInArrow(chunks, "w string, n long")
-        .groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(table).collect()
-    )
     words = vocab.word_tokens(path)
-    return Lengths({w: len(ids) // 4 for w, ids in words.learn([r["w"] for r in top]).items()})
+    count: Counter[bytes] = Counter()
+    for r in some.sample(False, share, seed=7).limit(2 * sample).collect():
+        for w, k in words.pre_tokens(r[0]).items():
+            if len(w) <= LONGEST:
+                count[w] += k
+    top = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:table]]
+    return vocab.Lengths(words.lengths(top))
 
 
 def count_tokens(
@@ -69,21 +50,15 @@ def count_tokens(
     """
     spark = df.sparkSession
     ship(spark)
-    src = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    known = spark.sparkContext.broadcast(frequent(src, "text", path, table, sample))
+    src = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
+    known = spark.sparkContext.broadcast(frequent(src, "text", path, table, sample))  # at most TABLE x LONGEST bytes and 16 each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = known.value.load()
-        words = vocab.word_tokens(path)
-        for ids, texts in common.rows(batches):
+        first, words = known.value, vocab.word_tokens(path)
+        for ids, n_bytes, texts in common.by_bytes(batches, 2):
             tokens = words.count(texts, first)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()),
-                    pa.array(tokens, pa.int64()),
-                    pa.array([n > limit for n in tokens], pa.bool_()),
-                ],
+                [pa.array(ids, pa.int64()), pa.array([n or 0 for n in n_bytes], pa.int64()), pa.array(tokens), pa.array(tokens > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -91,6 +92,48 @@ def test_word_ids_equal_the_library(word_bpe):
             assert ids == u32(word_bpe.encode(s, add_special_tokens=False).ids), repr(s)
 
 
+def test_word_ids_of_long_texts_and_words(word_bpe, monkeypatch):
+    """Texts cut at white space, words beyond what the store keeps, and other alphabets."""
+    monkeypatch.setattr(vocab.WordTokens, "STEP", 40)
+    w = vocab.WordTokens(queries.tokenizer(queries.WORD_BPE), most=50)
+    texts = ["Ab1 " * 100, "x" * 300 + " Y", None, "", "\u65e5\u672c\u8a9e\u3000" * 30, "don't'll 'S <|endoftext|>tail" * 9, "\x1f\x1cA b\x85c" * 20, "\u0130stanbul \u03a3\u03a3 " * 9, "'" * 99]
+    assert w.encode(texts) == [u32(word_bpe.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_counts_equal_ids_beyond_the_first_arrays():
+    """More words than the store begins with, some in the table of lengths, some odd."""
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choice("abcdeé'3日") for _ in range(rnd.randrange(1, 9))) for _ in range(400)) for _ in range(150)]
+    w = vocab.WordTokens(queries.tokenizer(queries.WORD_BPE))
+    known = [b for b, _ in w.pre_tokens(texts[0]).most_common(100)]
+    assert w.count([*texts, None], vocab.Lengths(w.lengths(known))).tolist() == [*(len(x) // 4 for x in w.encode(texts)), 0]
+    assert len(w.known) > 1 << 14
+
+
+def test_lengths_confirm_bytes_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(vocab.Lengths, "hashes", staticmethod(lambda words: np.array([len(w) for w in words], np.uint64)))
+    words = [b"a", b"b", b"cc", b"dd", b"eee"]
+    t = vocab.Lengths({w: k for k, w in enumerate(words, 1)})
+    asked = [b"dd", b"x", b"b", b"eee", b"zz", b"a", b"cc"]
+    assert t.probe(pa.array(asked, pa.binary()), asked).tolist() == [4, -1, 2, 5, -1, 1, 3]
+    assert vocab.Lengths({}).probe(pa.array(asked, pa.binary()), asked).tolist() == [-1] * 7
+
+
+def test_packing_scores_equal_bm25_term_by_term():
+    rnd = np.random.default_rng(5)
+    docs_ = [rnd.zipf(1.4, rnd.integers(1, 60)).clip(0, 300).astype("<u2") for _ in range(40)]
+    corpus = packing.corpus_of(docs_)
+    index = packing.Index(docs_, corpus)
+    mean = sum(map(len, docs_)) / len(docs_)
+    df = Counter(t for d in docs_ for t in set(d.tolist()))
+    for seed in range(40):
+        want = []
+        for d in docs_:
+            tf = Counter(d.tolist())
+            want.append(sum(np.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs_[seed].tolist()) if t in tf))
+        assert np.allclose(index.scores(seed), want, rtol=1e-5)
+
+
 def test_op10_rows(spark, word_bpe):
     path = queries.tokenizer(queries.WORD_BPE)
     for table in (0, 5, 1000):  # the broadcast table changes nothing
