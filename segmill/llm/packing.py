@@ -1,18 +1,17 @@
 """Packing by lexical retrieval: windows are filled with the neighbours of a seed document.
 
-Three passes make shards by content:
+Two passes make shards by content, and a sort deals them out:
 
-1. Texts become ids, written once to the shared folder.
-2. Document frequencies and the mean length are counted over all documents; the result has at most
-   one row for each entry of the vocabulary.
-3. A document's key is its KEY_TERMS terms of highest BM25 weight that another document has too, the
+1. Texts become ids, written once to the shared folder; each task adds the document frequencies and
+   lengths of its rows, and these are summed over all tasks.
+2. A document's key is its KEY_TERMS terms of highest BM25 weight that another document has too, the
    most frequent first. Documents are dealt out and sorted by key, so those that share such terms are
    neighbours wherever they were stored. A shard is a run of this order, at most SHARD_DOCS and about
    SHARD_TOKENS ids.
 
 The order ends with the row's own number, so neither a common key nor a large group of copies can
-make a shard or a task larger. Tasks are as few as SHARD_TOKENS allows, and a run too small for a
-window goes to the run before.
+make a shard or a task larger. A task has many shards (PART_TOKENS ids), and a run too small for a window
+goes to the run before.
 
 A shard has an inverted index of its documents with BM25 weights; a seed document's terms return its
 unused neighbours by score, and these fill the seed's window in that order. The document that no
@@ -39,6 +38,10 @@ WINDOW = 4096
 END = 2
 SHARD_DOCS = 1024
 SHARD_TOKENS = 4 << 20
+#: Ids of a task, and the most tasks; beyond them tasks grow, shards don't.
+PART_TOKENS = 16 << 20
+MOST_PARTS = 50_000
+MOST_DOCS = 30_000
 KEY_TERMS = 8
 K1, B = 1.2, 0.75
 
@@ -56,48 +59,80 @@ class Corpus(NamedTuple):
     def norm(self, size):
         return K1 * (1 - B + B * size / max(self.ids / max(self.n, 1), 1.0))
 
-    def key(self, doc: np.ndarray) -> bytes:
-        """Its heaviest terms that other documents have, the most frequent first; sorts as bytes."""
-        terms, tf = np.unique(doc, return_counts=True)
+    def weights(self, terms: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return self.idf(terms) * tf * (K1 + 1) / (tf + self.norm(size))
+
+    def keys(self, docs: list[np.ndarray]) -> list[bytes]:
+        """For each document its heaviest terms that others have too, the most frequent first; keys sort as bytes."""
+        doc, terms, tf = postings(docs)
         shared = self.df[terms] > 1
-        terms, tf = terms[shared], tf[shared]
-        weight = self.idf(terms) * tf * (K1 + 1) / (tf + self.norm(len(doc)))
-        top = terms[np.lexsort((terms, -weight))[:KEY_TERMS]]
-        return top[np.lexsort((top, -self.df[top]))].astype(">u4").tobytes()
+        doc, terms, tf = doc[shared], terms[shared], tf[shared]
+        size = np.array([len(d) for d in docs])
+        weight = self.weights(terms, tf, size[doc])
+        ends = np.searchsorted(doc, np.arange(len(docs) + 1)).tolist()
+        out = []
+        for a, b in zip(ends, ends[1:]):
+            top = terms[a:b]
+            if b - a > KEY_TERMS:
+                top = top[np.argpartition(-weight[a:b], KEY_TERMS - 1)[:KEY_TERMS]]
+            out.append(top[np.lexsort((top, -self.df[top]))].astype(">u2").tobytes())
+        return out
+
+
+def postings(docs: list[np.ndarray], by_term: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and frequency of all terms of all documents by one sort; ids and documents take 16 bits."""
+    if len(docs) >= 1 << 16:
+        raise ValueError("too many documents at once")
+    of = np.repeat(np.arange(len(docs), dtype=np.uint32), [len(d) for d in docs])
+    ids = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
+    both = np.sort(ids << np.uint32(16) | of if by_term else of << np.uint32(16) | ids)
+    at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(at, len(both)))
+    high, low = (both[at] >> np.uint32(16)).astype(np.int64), (both[at] & np.uint32(0xFFFF)).astype(np.int64)
+    return (low, high, tf) if by_term else (high, low, tf)
 
 
 def corpus_of(docs: list[np.ndarray]) -> Corpus:
-    return Corpus(len(docs), sum(map(len, docs)), np.bincount(np.concatenate([np.unique(d) for d in docs])))
+    return Corpus(len(docs), sum(map(len, docs)), np.bincount(postings(docs)[1]))
 
 
 class Index:
-    """BM25 over the ids of a shard: a posting list of (document, weight) for each term; frequencies and
-    the mean length are those of the corpus."""
+    """BM25 over the ids of a shard; frequencies and the mean length are those of the corpus.
+
+    A term has a posting list of (document, weight); that of a term in at least one of DENSE documents
+    is a row of weights.
+    """
+
+    DENSE = 8
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
-        n = len(docs)
-        terms = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in terms]
+        self.n = len(docs)
+        self.doc, terms, tf = postings(docs, by_term=True)
         size = np.array([len(d) for d in docs], np.float64)
-        norm = corpus.norm(size)
-        flat = np.concatenate(self.terms)
-        tf = np.concatenate([c for _, c in terms])
-        of = np.repeat(np.arange(n), [len(t) for t in self.terms])
-        order = np.argsort(flat, kind="stable")
-        flat, self.doc = flat[order], of[order]
-        tf = tf[order]
-        self.known, start, df = np.unique(flat, return_index=True, return_counts=True)
-        self.start = np.append(start, len(flat))
-        self.weight = np.repeat(corpus.idf(self.known), df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n = n
+        self.weight = corpus.weights(terms, tf, size[self.doc])
+        known, start, df = np.unique(terms, return_index=True, return_counts=True)
+        self.start = np.append(start, len(terms))
+        number = np.repeat(np.arange(len(known)), df)  # of each posting's term
+        order = np.argsort(self.doc, kind="stable")
+        ends = np.searchsorted(self.doc[order], np.arange(self.n + 1))
+        self.terms = [number[order[a:b]] for a, b in zip(ends, ends[1:])]
+        self.row = np.full(len(known), -1)
+        many = np.flatnonzero(df * self.DENSE >= self.n)
+        self.row[many] = np.arange(len(many))
+        self.rows = np.zeros((len(many), self.n), np.float32)
+        own = self.row[number] >= 0
+        self.rows[self.row[number[own]], self.doc[own]] = self.weight[own]
 
     def scores(self, seed: int) -> np.ndarray:
         """Of all documents of the shard for the seed's terms."""
-        at = np.searchsorted(self.known, self.terms[seed])
-        lo, hi = self.start[at], self.start[at + 1]
-        size = hi - lo
-        rows = np.repeat(lo - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        return np.bincount(self.doc[rows], self.weight[rows], self.n)
+        at = self.terms[seed]
+        row = self.row[at]
+        out = self.rows[row[row >= 0]].sum(0)
+        at = at[row < 0]
+        lo = self.start[at]
+        size = self.start[at + 1] - lo
+        some = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return out + np.bincount(self.doc[some], self.weight[some], self.n)
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[list[tuple[int, int, int]]]:
@@ -114,7 +149,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
             seed, at = next(k for k in order if unused[k]), 0
             unused[seed] = False
         pieces, room, query = [], window, seed
-        near: Iterator[int] | None = None
+        score: np.ndarray | None = None
         while True:
             take = min(room, int(size[seed]) - at)
             pieces.append((seed, at, take))
@@ -124,13 +159,12 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
                 seed, at = -1, 0
             if not room:
                 break
-            if near is None:
+            if score is None:
                 index = index or Index(docs, corpus or corpus_of(docs))
                 score = index.scores(query)
                 score[~unused] = -1.0
-                near = iter(np.argsort(-score, kind="stable")[: int(unused.sum())].tolist())
-            seed = next(near)
-            unused[seed] = False
+            seed = int(score.argmax())  # the first of the best
+            score[seed], unused[seed] = -1.0, False
         left -= window
         yield pieces
     rest: list[tuple[int, int, int]] = [(seed, at, int(size[seed]) - at)] if seed >= 0 else []
@@ -151,61 +185,77 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
-
 IDS = "row long, doc_id long, ids binary"
+_IDS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary())])
+#: At most so many tasks add up the counts of all others.
+ADDERS = 1000
+
+
+def _arrays(texts: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in texts]
 
 
 def _write_ids(df: DataFrame, path: str, end: int) -> DataFrame:
-    """Each row with a number of its own and its ids, read from one writing."""
+    """Each row with a number of its own and its ids, read from one writing. Each task's last row, with
+    the number -1, has what BM25 needs of its documents: how many have each term, their number and
+    that of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocab.word_tokens(path)
         row = common.partition_id() << 36
-        tail = np.array([end], "<u4").tobytes()
-        for some, texts in common.rows(batches, 256):
-            ids = [got + tail for got in words.encode(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(ids)), pa.int64()), pa.array(some, pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "ids"])
+        tail = np.array([end], "<u2").tobytes()
+        df, n, total = np.zeros(1 << 16, np.int64), 0, 0
+        for some, texts in common.by_bytes(batches, 1):
+            ids = [got + tail for got in words.encode(texts, "<u2")]
+            docs = _arrays(ids)
+            df += np.bincount(postings(docs)[1], minlength=len(df))
+            n, total = n + len(docs), total + sum(map(len, docs))
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(ids)), pa.int64()), pa.array(some, pa.int64()), pa.array(ids, pa.binary())], schema=_IDS)
             row += len(ids)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], pa.int64()), pa.array([np.append(df, [n, total]).astype("<i8").tobytes()], pa.binary())], schema=_IDS)
 
     return materialize(df.mapInArrow(run, IDS))
 
 
-def _count_terms(ids: DataFrame) -> Corpus:
-    """Over all documents; term -1 has their number, -2 that of their ids."""
+def _count_terms(written: DataFrame) -> Corpus:
+    """Over all documents: the sum of the tasks' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab.forget()
-        df, n, total = np.zeros(0, np.int64), 0, 0
-        for (some,) in common.rows(batches, 256):
-            docs = [np.frombuffer(x, "<u4") for x in some]
-            got = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(df))
-            got[: len(df)] += df
-            df, n, total = got, n + len(docs), total + sum(map(len, docs))
-        terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *terms.tolist()], pa.int64()), pa.array([n, total, *df[terms].tolist()], pa.int64())], names=["term", "n"])
+        total = np.zeros((1 << 16) + 2, np.int64)
+        for (some,) in common.rows(batches, 16):
+            for x in some:
+                total += np.frombuffer(x, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
 
-    found = {r["term"]: r["n"] for r in ids.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n, total = found.pop(-1, 0), found.pop(-2, 0)
-    df = np.zeros(max(found, default=0) + 1, np.int64)
-    df[list(found)] = list(found.values())
-    return Corpus(n, total, df)
+    found = written.filter("row < 0").select("ids").coalesce(ADDERS).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros((1 << 16) + 2, np.int64)
+    for r in found:
+        total[r["term"]] = r["n"]
+    return Corpus(int(total[-2]), int(total[-1]), total[:-2])
 
 
-def _by_content(ids: DataFrame, corpus, total: int, shard_tokens: int) -> DataFrame:
-    """Rows dealt out and sorted by key."""
+def _by_content(written: DataFrame, corpus, total: int, part_tokens: int) -> DataFrame:
+    """(doc_id, ids) dealt out and sorted by key. Rows and keys are written before, so that finding the
+    bounds of the ranges reads them without making them again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab.forget()
         for b in batches:
-            keys = [corpus.value.key(np.frombuffer(x.as_py(), "<u4")) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *b.columns], names=["key", "row", "doc_id", "ids"])
+            for i in range(0, b.num_rows, 1024):
+                some = b.slice(i, 1024)
+                keys = corpus.value.keys(_arrays(some.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *some.columns], names=["key", "row", "doc_id", "ids"])
 
-    return ids.mapInArrow(run, "key binary, " + IDS).repartitionByRange(max(1, -(-total // shard_tokens)), "key", "row").sortWithinPartitions("key", "row")
+    keyed = materialize(written.filter("row >= 0").mapInArrow(run, "key binary, " + IDS))
+    parts = min(max(1, -(-total // part_tokens)), MOST_PARTS)
+    return keyed.repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row").select("doc_id", "ids")
 
 
 def pack_documents(
     df: DataFrame, path: str, window: int = WINDOW, end: int = END, id_col: str = "doc_id", text_col: str = "text",
-    shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False,
+    shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS, part_tokens: int = PART_TOKENS, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with_ids also the ids.
@@ -218,7 +268,7 @@ def pack_documents(
     ship(spark)
     written = _write_ids(common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text"), path, end)
     counts = _count_terms(written)
-    corpus = spark.sparkContext.broadcast(counts)
+    corpus = spark.sparkContext.broadcast(counts)  # a number for each entry of the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab.forget()
@@ -230,8 +280,8 @@ def pack_documents(
             for pieces in pack(docs, window, corpus.value):
                 offset = 0
                 for k, start, length in pieces:
-                    own = docs[k][start : start + length]
-                    out.append((ids[k], start, length, zlib.crc32(own.tobytes()), len(docs[k]), seq, offset, *([own] * with_ids)))
+                    own = docs[k][start : start + length].astype("<u4")
+                    out.append((ids[k], start, length, zlib.crc32(own), len(docs[k]), seq, offset, *([own] * with_ids)))
                     offset += length
                 seq += 1
             cols = list(zip(*out))
@@ -242,18 +292,21 @@ def pack_documents(
         ids: list[int | None] = []
         docs: list[np.ndarray] = []
         held = 0
-        for some, texts in common.rows(batches, 256):
-            for doc, got in zip(some, texts):
+        for some, texts in common.by_bytes(batches, 1):
+            for doc, got in zip(some, _arrays(texts)):
                 ids.append(doc)
-                docs.append(np.frombuffer(got, "<u4"))
-                held += len(docs[-1])
+                docs.append(got)
+                held += len(got)
                 if held >= window and full[0]:
                     yield from shard(*full)
                     full = [], []
                 if held >= window and (len(docs) >= shard_docs or held >= shard_tokens):
                     full, ids, docs, held = (ids, docs), [], [], 0
+                elif len(docs) >= MOST_DOCS:  # very many documents of a few ids
+                    yield from shard(full[0] + ids, full[1] + docs)
+                    full, ids, docs, held = ([], []), [], [], 0
         if full[0] or docs:
             yield from shard(full[0] + ids, full[1] + docs)
 
     ddl = OUT + ", ids array<long>" * with_ids
-    return _by_content(written, corpus, counts.ids, shard_tokens).select("doc_id", "ids").mapInArrow(run, ddl)
+    return _by_content(written, corpus, counts.ids, part_tokens).mapInArrow(run, ddl)
