@@ -76,5 +76,14 @@ def smallest_of_copies(df: DataFrame, key: str, ident: str) -> DataFrame:
     return parts.select(key, "salt").join(whole, key)
 
 
+def with_least(df: DataFrame, keys: list[str], value: str, of: str) -> DataFrame:
+    """The rows with the smallest `value` of those with the same keys, as `least`, and their number as
+    `members`. Keys are cut into SALTS parts by a hash of `of`, both for the count and for the join back."""
+    salted = df.withColumn("salt", salt(of))
+    parts = salted.groupBy(*keys, "salt").agg(F.min(value).alias("low"), F.count(F.lit(1)).alias("n"))
+    whole = parts.groupBy(*keys).agg(F.min("low").alias("least"), F.sum("n").alias("members"))
+    return salted.join(parts.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
+
+
 def salt(ident: str):
     return F.pmod(F.xxhash64(F.col(ident)), F.lit(SALTS)).cast("int")

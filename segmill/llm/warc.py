@@ -1,10 +1,11 @@
 """WARC: a deterministic sharded writer, and its reader.
 
-Records are range-sorted by id. Each task writes its run of records to files that it rolls by
-compressed size, one gzip member a record. A file is written under a temporary name and renamed when
-it is complete; the manifest, a table that Spark commits as a whole, lists the files that count. So a
-task may run twice or be lost half-way: its files have the same names and the same bytes again, and
-what isn't listed is never read.
+Records are range-sorted by id. The ranges are exact: their bounds follow from the ids and payload
+sizes alone, and a file's name from its range. So the same rows give the same files, whatever the
+partitions of the input and of shuffles. Each task writes a range to files that it rolls by compressed
+size, one gzip member a record. A file is written under a temporary name and renamed when it is
+complete, unless a lost attempt of the same task left it; the manifest, a table that Spark commits as a whole,
+lists the files that count with their digests, which readers check.
 
 Headers and digests are made from the row alone (no clock, no random number).
 """
@@ -24,9 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm import common
+from segmill.llm.id_ranges import id_ranges
 from segmill.session import shared_dir, ship
 
 FILE_BYTES = 256 << 20
+#: A range has about 1/4,096 of the bytes, but not fewer or more than these.
+RANGE_BYTES = 16 << 20, 1 << 30
+RECORD_BYTES = 600
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -75,11 +80,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class Roller:
-    """Writes members to one file after another. A file is renamed to its own name when complete."""
+    """Writes a range's members to one file after another. A file is renamed to its own name when complete."""
 
-    def __init__(self, base: str, most: int):
+    def __init__(self, base: str, part: int, most: int):
         self.fs, self.dir = pafs.FileSystem.from_uri(base)
-        self.most, self.seq, self.out = most, 0, None
+        self.part, self.most, self.seq, self.out = part, most, 0, None
         self.fs.create_dir(f"{self.dir}/data", recursive=True)
         self.fs.create_dir(f"{self.dir}/tmp", recursive=True)
 
@@ -89,7 +94,7 @@ class Roller:
         if self.out and self.size + len(member) > self.most:
             done = self.close()
         if not self.out:
-            self.name = f"part-{common.partition_id():06d}-{self.seq:05d}.warc.gz"
+            self.name = f"part-{self.part:07d}-{self.seq:05d}.warc.gz"
             self.tmp = f"{self.dir}/tmp/{self.name}.{common.attempt_id()}"
             self.out = self.fs.open_output_stream(self.tmp, compression=None)
             self.size, self.n, self.sha, self.first = 0, 0, hashlib.sha256(), page_id
@@ -104,7 +109,14 @@ class Roller:
         if not self.out:
             return None
         self.out.close()
-        self.fs.move(self.tmp, f"{self.dir}/data/{self.name}")
+        name = f"{self.dir}/data/{self.name}"
+        there = self.fs.get_file_info(name)
+        if there.type != pafs.FileType.NotFound and there.size == self.size:  # another attempt's, with the same bytes
+            self.fs.delete_file(self.tmp)
+        else:
+            if there.type != pafs.FileType.NotFound:
+                self.fs.delete_file(name)
+            self.fs.move(self.tmp, name)
         self.out, self.seq = None, self.seq + 1
         return self.name, self.n, self.size, self.sha.hexdigest(), self.first, self.last
 
@@ -134,7 +146,7 @@ def write_warc(df: DataFrame, out: str, id_col: str = "page_id", url_col: str =
     """Write all rows below `out` and return the manifest.
 
     Null html is an empty payload, null url gives no target header, null page_id sorts first and has
-    no id header. Of equal payloads of at least LEAST bytes the row with the smallest page_id is a
+    no id header. Rows of one page_id beyond a range's size are dealt out by their payload's digest. Of equal payloads of at least LEAST bytes the row with the smallest page_id is a
     response and those with larger ids revisit it; rows that share the smallest id are all responses.
     An empty table gives an empty manifest; other columns are ignored.
     """
@@ -143,15 +155,22 @@ def write_warc(df: DataFrame, out: str, id_col: str = "page_id", url_col: str =
     pages = common.pick(df, page_id=id_col, url=url_col, html=html_col).select(
         F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html")
     )
+    sizes = pages.select(F.col("page_id").alias("id"), (F.octet_length("html") + RECORD_BYTES).cast("long").alias("weight"))
+    ranges = id_ranges(sizes, parts=4096, least=RANGE_BYTES[0], most=RANGE_BYTES[1])
     # What a page revisits sorts just before the page's own row, so both meet in one shuffle.
     notes = revisits(pages).select("page_id", F.lit(0).alias("kind"), F.col("digest").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
     body = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
-    rows = notes.union(body).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    digest = F.xxhash64(F.when(F.col("kind") == 0, F.col("url")).otherwise(F.sha2("html", 256)))
+    rows = ranges.with_part(notes.union(body), "page_id", digest)
+    rows = rows.repartitionById(ranges.parts, F.col("part")).sortWithinPartitions("part", "page_id", "kind", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller, known, of, done = Roller(out, file_bytes), {}, None, []
-        for cols in common.rows(batches, 200):
-            for page_id, kind, url, html, refers_to in zip(*cols):
+        roller, known, of, done = None, {}, None, []
+        for cols in common.by_bytes(batches, 3):
+            for page_id, kind, url, html, refers_to, part in zip(*cols):
+                if roller is None or part != roller.part:
+                    done.append(roller and roller.close())
+                    roller, known, of = Roller(out, part, file_bytes), {}, None
                 if page_id != of:
                     known, of = {}, page_id
                 if kind == 0:
@@ -161,17 +180,32 @@ def write_warc(df: DataFrame, out: str, id_col: str = "page_id", url_col: str =
                 ref = known.get(hashlib.sha256(payload).hexdigest()) if known else None
                 z = zlib.compressobj(6, zlib.DEFLATED, 31)
                 done.append(roller.add(page_id, z.compress(record(page_id, url, payload, ref, date)) + z.flush()))
-        done = [x for x in [*done, roller.close()] if x]
+        done = [x for x in [*done, roller and roller.close()] if x]
         cols = zip(*done) if done else [[]] * len(_NAMES)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _KINDS)], names=_NAMES)
 
     rows.mapInArrow(run, MANIFEST).write.json(f"{out}/manifest")
+    fs, top = pafs.FileSystem.from_uri(out)
+    if fs.get_file_info(f"{top}/tmp").type != pafs.FileType.NotFound:  # what lost attempts left
+        fs.delete_dir_contents(f"{top}/tmp")
     return spark.read.schema(MANIFEST).json(f"{out}/manifest")
 
 
 HEAD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+class Hashed:
+    """A stream that digests what is read from it."""
+
+    def __init__(self, stream):
+        self.stream, self.sha = stream, hashlib.sha256()
+
+    def read(self, n: int) -> bytes:
+        data = self.stream.read(n)
+        self.sha.update(data)
+        return data
+
+
 def members(stream) -> Iterator[bytes]:
     """The decompressed gzip members of a stream, one at a time."""
     z, part, data = zlib.decompressobj(31), [], b""
@@ -227,22 +261,25 @@ def read_warc(manifest: DataFrame, out: str, with_payload: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pafs.FileSystem.from_uri(out)
-        for (files,) in common.rows(batches):
-            for f in files:
+        for cols in common.rows(batches):
+            for f, sha256 in zip(*cols):
                 held, size = [], 0
-                with fs.open_input_stream(f"{top}/data/{f}", compression=None) as stream:
+                with fs.open_input_stream(f"{top}/data/{f}", compression=None) as opened:
+                    stream = Hashed(opened)
                     for m in members(stream):
                         held.append(parse(m))
                         size += len(m) if with_payload else 200
                         if size > 8 << 20:
                             yield _records(held, names, kinds)
                             held, size = [], 0
+                if stream.sha.hexdigest() != sha256:
+                    raise ValueError(f"{f} isn't what the manifest says")
                 if held:
                     yield _records(held, names, kinds)
 
     ddl = RECORD + ", target_uri string, payload binary" * with_payload
     spread = max(1, manifest.count())
-    return manifest.select("file").repartition(min(spread, 100_000), "file").mapInArrow(run, ddl)
+    return manifest.select("file", "sha256").repartition(min(spread, 100_000), "file").mapInArrow(run, ddl)
 
 
 def _records(held: list[dict], names: list[str], kinds: list) -> pa.RecordBatch:

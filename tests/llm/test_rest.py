@@ -2,12 +2,16 @@
 
 import hashlib
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from segmill.llm import language_id, quality, queries, url_filter, warc
+from segmill.llm.id_ranges import id_ranges
 from segmill.session import shared_dir
 from tests.llm.conftest import ROWS, docs, empty
 
@@ -62,6 +66,44 @@ def test_op1_round_trip(spark, size):
     assert sorted(f["sha256"] for f in rows_of(second)) == sorted(f["sha256"] for f in files)
 
 
+def test_op1_files_do_not_depend_on_partitions(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_BYTES", (20_000, 40_000))
+    df = spark.read.parquet(f"{sf}/pages.parquet")
+    df = df.union(df.limit(30).select(F.lit(None).cast("long").alias("page_id"), "url", "html")).union(df.limit(30).select(F.lit(7).cast("long").alias("page_id"), "url", "html"))
+    found = []
+    for k, parts in enumerate((3, 16)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        warc.write_warc(df.repartition(parts), f"file://{tmp_path}/{k}", file_bytes=9_000)
+        found.append({f.name: f.read_bytes() for f in (tmp_path / str(k) / "data").iterdir()})
+        assert not list((tmp_path / str(k) / "tmp").iterdir())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(found[0]) > 10 and found[0] == found[1]
+
+
+def test_op1_reader_checks_the_manifest(spark, tmp_path):
+    manifest = warc.write_warc(pages(spark, PAGES), f"file://{tmp_path}/w")
+    wrong = manifest.withColumn("sha256", F.lit("0" * 64))
+    with pytest.raises(Exception, match="manifest says"):
+        warc.read_warc(wrong, f"file://{tmp_path}/w").collect()
+
+
+def test_id_ranges_hold_all_ids_in_order(spark):
+    rnd = random.Random(6)
+    near = [rnd.randrange(1000) for _ in range(300)] + [(1 << 62) + rnd.randrange(5000) for _ in range(300)] + [-(1 << 63), (1 << 63) - 1]
+    for ids in (near, near + [5] * 400, near + [None] * 400, [None] * 9, [3], []):
+        df = spark.createDataFrame([(i, 1, k) for k, i in enumerate(ids)], "id long, weight long, k long")
+        r = id_ranges(df.select("id", "weight"), target=40)
+        got = [(x["part"], x["id"]) for x in r.with_part(df, "id", F.col("k")).collect()]
+        assert sorted((i is not None, i or 0) for _, i in got) == sorted((i is not None, i or 0) for i in ids)
+        count = Counter(p for p, _ in got)
+        assert all(0 <= p < r.parts for p in count) and max(count.values(), default=0) <= 80
+        by = {}
+        for p, i in got:
+            by.setdefault(p, set()).add(-(1 << 64) if i is None else i)
+        order = [by[p] for p in sorted(by)]
+        assert all(max(a) <= min(b) for a, b in zip(order, order[1:]))
+
+
 def test_op1_empty_and_damage(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
     good = warc.record(1, "http://a", b"x" * 200, None)
@@ -155,6 +197,17 @@ def test_op8_against_brute_force(spark, tmp_path):
         assert url_filter.Index(str(f), hash_of).judge(many) == [brute_rule(u, rules) for u in many]
 
 
+def test_op8_takes_no_more_than_a_long_host(tmp_path):
+    (tmp_path / "r").write_bytes(url_filter.pack(url_filter.RULES))
+    index = url_filter.Index(str(tmp_path / "r"))
+    host = "a." * 500_000 + "example.com"
+    tracemalloc.start()
+    got = index.judge([f"http://{host}/en/7", f"http://{'b' * 1_000_000}/", "http://a.xcom/en/", "http://x.com/en/"])
+    assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+    assert [g[2:] for g in got] == [("example.com/en/7", "allow"), (None, "allow"), (None, "allow"), ("com/en/", "block")]
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     """Each stage on its own input, and no stage loses a column."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
