@@ -6,9 +6,9 @@ as empty. The steps:
 1. Each input task groups its own rows in an open-addressing table and writes one row for each
    distinct text, with the ids that have it. So a text that a third of all rows share reaches the
    shuffle once for each input task.
-2. These rows are dealt out by the text's hash. A bucket beyond the memory bound is split into
-   spill files by further bits of the hash, again and again; then its table compares complete
-   contents and picks the smallest id.
+2. These rows are dealt out by the text's hash. A bucket's table compares complete contents and
+   holds each once; beyond the memory bound it is split into spill files by further bits of the
+   hash, again and again. Then the smallest id is picked.
 3. The verdict goes back to each group of step 1 by the group's own id (one to one, no skew).
 
 Step 1 is written to the shared folder, so that ids and verdicts come from one reading even where
@@ -127,7 +127,7 @@ def local_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members.clear()
         held = 0
 
-    for ids, texts in common.rows(iter(batches)):
+    for ids, texts in common.by_bytes(iter(batches), 1):
         for doc, text in zip(ids, texts):
             content = normalise(text)
             e = table.entry(xxhash.xxh64_intdigest(content), content)
@@ -141,49 +141,75 @@ def local_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 Row = tuple[int, int, int | None, int, bytes]  # hash, gid, smallest id, rows, content
+Member = tuple[int, int | None, int]  # gid, smallest id, rows
+Verdict = tuple[int, int | None, int, int]
 
 
-def grace(rows: Iterable[Row], level: int = 0, most: int | None = None) -> Iterator[tuple[int, int | None, int, int]]:
-    """(gid, id that stays, its gid, size of the group) for each row.
+class Bucket:
+    """Distinct contents, each once, with the rows that have it."""
 
-    Rows beyond `most` bytes go to spill files by the next bits of the hash, and each file is dealt
-    with alike. A file whose rows share all 64 bits isn't split further: its table then holds each
-    distinct content once, however many rows have it.
+    def __init__(self):
+        self.table, self.members = ContentTable(), []
+        self.size = 0
+
+    def add(self, h: int, content: bytes, members: list[Member]) -> None:
+        e = self.table.entry(h, content)
+        if e == len(self.members):
+            self.members.append([])
+            self.size += len(content) + 100
+        self.members[e] += members
+        self.size += 100 * len(members)
+
+    def drain(self) -> Iterator[tuple[int, bytes, list[Member]]]:
+        """All entries; the bucket is empty then."""
+        yield from zip(self.table.hashes, self.table.contents, self.members)
+        self.__init__()
+
+    def verdicts(self) -> Iterator[Verdict]:
+        for own in self.members:
+            _, _, keep, low = min((first is None, first or 0, gid, first) for gid, first, _ in own)
+            n = sum(k for _, _, k in own)
+            yield from ((gid, low, keep, n) for gid, _, _ in own)
+
+
+def grace(rows: Iterable[Row], most: int | None = None) -> Iterator[Verdict]:
+    """(gid, id that stays, its gid, size of the group) for each row."""
+    return _grace(((h, content, [(gid, low, n)]) for h, gid, low, n, content in rows), 0, BUCKET_BYTES if most is None else most)
+
+
+def _grace(entries: Iterable[tuple[int, bytes, list[Member]]], level: int, most: int) -> Iterator[Verdict]:
+    """A bucket that grows beyond `most` bytes is emptied into spill files by the next bits of the hash,
+    again and again until the entries end, and each file is dealt with alike. Equal contents meet in
+    the table before they are spilled, so rows that share one content take its bytes once and some
+    100 bytes each: with nothing else in the bucket they are never spilled again.
     """
-    most = BUCKET_BYTES if most is None else most
-    held: list[Row] = []
-    size, it, last = 0, iter(rows), level * FAN_BITS >= 64
-    for row in it:
-        held.append(row)
-        size += len(row[4]) + 100
-        if size > most and not last:
-            break
-    else:
-        yield from settle(held)
-        return
+    bucket, files = Bucket(), []
     shift = 64 - FAN_BITS * (level + 1)
-    files = [tempfile.TemporaryFile() for _ in range(1 << FAN_BITS)]  # unlinked at once, so nothing is left behind
-    picklers = [pickle.Pickler(f, 5) for f in files]
     try:
-        while held:
-            row = held.pop()
-            p = picklers[(row[0] >> shift) & (len(files) - 1)]
-            p.dump(row)
-            p.clear_memo()
-        for row in it:
-            p = picklers[(row[0] >> shift) & (len(files) - 1)]
-            p.dump(row)
-            p.clear_memo()
+        for entry in entries:
+            bucket.add(*entry)
+            if bucket.size > most and len(bucket.members) > 1 and shift >= 0:
+                files = files or [tempfile.TemporaryFile() for _ in range(1 << FAN_BITS)]  # unlinked at once, so nothing is left behind
+                _spill(bucket, files, shift)
+        if not files:
+            yield from bucket.verdicts()
+            return
+        _spill(bucket, files, shift)
         for f in files:
             f.seek(0)
-            yield from grace(_load(f), level + 1, most)
+            yield from _grace(_load(f), level + 1, most)
             f.close()
     finally:
         for f in files:
             f.close()
 
 
-def _load(f) -> Iterator[Row]:
+def _spill(bucket: Bucket, files: list, shift: int) -> None:
+    for entry in bucket.drain():
+        pickle.dump(entry, files[(entry[0] >> shift) & (len(files) - 1)], 5)
+
+
+def _load(f) -> Iterator[tuple[int, bytes, list[Member]]]:
     while True:
         try:
             yield pickle.load(f)
@@ -191,26 +217,6 @@ def _load(f) -> Iterator[Row]:
             return
 
 
-def settle(rows: list[Row]) -> Iterator[tuple[int, int | None, int, int]]:
-    """Group a bucket that fits, by complete content."""
-    table = ContentTable()
-    low: list[tuple] = []
-    count: list[int] = []
-    entry = []
-    for h, gid, first, n, content in rows:
-        e = table.entry(h, content)
-        entry.append(e)
-        key = (first is None, first or 0, gid, first)
-        if e == len(low):
-            low.append(key)
-            count.append(0)
-        elif key < low[e]:
-            low[e] = key
-        count[e] += n
-    for (_, gid, _, _, _), e in zip(rows, entry):
-        yield gid, low[e][3], low[e][2], count[e]
-
-
 VERDICT = pa.schema([("gid", pa.int64()), ("keep_id", pa.int64()), ("keep_gid", pa.int64()), ("group_size", pa.int64())])
 VERDICT_DDL = "gid long, keep_id long, keep_gid long, group_size long"
 
@@ -219,7 +225,7 @@ def bucket_verdicts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """For the rows of one task of the shuffle by hash."""
 
     def read() -> Iterator[Row]:
-        for h, gid, low, n, content in common.rows(iter(batches), 200):
+        for h, gid, low, n, content in common.by_bytes(iter(batches), 4):
             yield from ((a + (1 << 63), b, c, d, e) for a, b, c, d, e in zip(h, gid, low, n, content))
 
     out: list[tuple] = []
