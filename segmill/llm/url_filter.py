@@ -65,7 +65,7 @@ def digest(s: bytes) -> int:
 
 
 def pack(rules: Iterable[Rule], hash_of=digest) -> bytes:
-    """The file: counts, then sorted keys, offsets and verdicts, then the strings."""
+    """The file: the length of the longest host and counts, then sorted keys, offsets and verdicts, then the strings."""
     known = {}
     for r in rules:
         if r.verdict not in ("allow", "block"):
@@ -84,7 +84,7 @@ def pack(rules: Iterable[Rule], hash_of=digest) -> bytes:
 
     hosts = table([(h, np.array(sorted(n), "<u4").tobytes()) for h, n in lengths.items()])
     whole = table([(f"{h} {p}".encode(), v.encode()) for (h, p), v in known.items()])
-    return struct.pack("<Q", len(hosts)) + hosts + whole
+    return struct.pack("<QQ", max((len(h) for h, _ in known), default=0), len(hosts)) + hosts + whole
 
 
 class Index:
@@ -94,8 +94,8 @@ class Index:
         self.hash_of = hash_of
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n = struct.unpack_from("<Q", self.map)[0]
-        self.hosts, self.rules = self._table(8), self._table(8 + n)
+        self.longest, n = struct.unpack_from("<QQ", self.map)
+        self.hosts, self.rules = self._table(16), self._table(16 + n)
 
     def _table(self, at: int):
         n, size = struct.unpack_from("<QQ", self.map, at)
@@ -129,8 +129,9 @@ class Index:
         parts = [split_url(u) for u in urls]
         suffixes, owner = [], []
         for i, (host, _) in enumerate(parts):
-            at = 0
-            while host:
+            # A suffix longer than the longest rule host fits none; the next label begins after a dot.
+            at = 0 if len(host) <= self.longest else host.find(".", len(host) - self.longest - 1) + 1 or len(host)
+            while at < len(host):
                 suffixes.append(host[at:])
                 owner.append(i)
                 at = host.find(".", at) + 1
@@ -184,7 +185,7 @@ def judge_urls(df: DataFrame, rules: Iterable[Rule] = RULES, id_col: str = "page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(SparkFiles.get(name))
-        for ids, urls in common.rows(batches, 5000):
+        for ids, urls in common.by_bytes(batches, 1):
             host, path, rule, verdict = zip(*index.judge(urls))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), *(pa.array(c, pa.string()) for c in (host, path, rule, verdict))],
