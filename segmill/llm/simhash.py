@@ -61,15 +61,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, row, fp) with the row's own number and the fingerprint as a signed long."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in common.rows(batches):
+        row = common.partition_id() << 36
+        for ids, texts in common.by_bytes(batches, 1):
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(fps)], names=["doc_id", "row", "fp"])
+            row += len(ids)
 
-    return common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 class Forest:
@@ -171,8 +173,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
         "fp",
         F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("x"),
     ).select("x.band", "x.key", F.bit_count("fp").alias("pop"), "node", "fp")
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    grouped = materialize(keyed.join(sizes, ["band", "key"]))  # few: most fingerprints share no such key
+    grouped = common.with_least(keyed, ["band", "key"], "fp", "fp").filter("members > 1").drop("least").withColumnRenamed("members", "n")
+    grouped = materialize(grouped)  # few: most fingerprints share no such key
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
@@ -230,16 +232,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated rows; other columns are ignored.
     """
     fps = materialize(fingerprints(df, id_col, text_col, shingle))
-    # The node of a fingerprint is its smallest id; a null id would not compare, so it stands last.
-    nodes = fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("node"))
-    nodes = materialize(nodes)
-    found = components(links(nodes, radius))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return (
-        fps.join(named, "fp")
-        .select(
-            "doc_id",
-            F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-            F.when(F.col("component") < (1 << 63) - 1, F.col("component")).alias("component_id"),
-        )
+    # A fingerprint may have a third of all rows: they are counted and named in salted parts.
+    salted = fps.withColumn("salt", common.salt("row"))
+    parts = materialize(salted.groupBy("fp", "salt").agg(F.min("doc_id").alias("low")))
+    nodes = materialize(parts.groupBy("fp").agg(F.min("low").alias("low")))
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))  # nodes are named by their fingerprints
+    linked = common.with_least(nodes.join(found.withColumnRenamed("node", "fp"), "fp"), ["component"], "low", "fp").select("fp", "least", "members")
+    names = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("members").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
+    return salted.join(parts.select("fp", "salt").join(names, "fp"), ["fp", "salt"]).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
