@@ -7,8 +7,8 @@ with its weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1), and
 (k, t) of the smallest a. Two documents agree at a position with probability sum(min w) / sum(max w),
 their generalised Jaccard similarity, so the share of equal positions estimates it.
 
-The next document of each row comes from one shuffle: ids are cut into ranges, each range is sorted
-within its task, and the first row of a range is also sent to the range before.
+The next document of each row comes from one shuffle: ids are cut into exact ranges (id_ranges), each
+range is sorted within its task, and the first row of a range is also sent to the range before.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm import common
+from segmill.llm.id_ranges import id_ranges
 from segmill.session import ship
 
 SHINGLE = 5
@@ -86,11 +87,13 @@ class Sampler:
         t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
         return ln_c - r * (t - b + np.float32(1)), t.astype(np.int32)
 
-    def signature(self, groups: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each group of (terms, weights) the smallest ln a and its cell at each position."""
+    def signature(self, groups: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each group of (terms, weights) the smallest ln a, its term and its cell at each position.
+        Of equal ln a the smaller term counts; terms come in order."""
         out = []
         for terms, weights in groups:
             low = np.full(self.samples, np.inf, np.float32)
+            term = np.zeros(self.samples, np.uint64)
             cell = np.zeros(self.samples, CELL)
             cols = np.arange(self.samples)
             for i in range(0, len(terms), BLOCK):
@@ -99,17 +102,17 @@ class Sampler:
                 at = a.argmin(0)
                 got = a[at, cols]
                 new = got < low
-                low = np.where(new, got, low)
+                low, term = np.where(new, got, low), np.where(new, k[at], term)
                 own = mix(k[at] ^ self.seeds ^ mix(t[at, cols].astype(np.int64).view(np.uint64)))
                 cell = np.where(new, (own >> np.uint64(48)).astype(CELL), cell)
-            out.append((low, cell))
+            out.append((low, term, cell))
         return out
 
     def weigh(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(self.hashes(text), return_counts=True)
 
     def fingerprint(self, text: str | None) -> np.ndarray:
-        return self.signature([self.weigh(text)])[0][1]
+        return self.signature([self.weigh(text)])[0][2]
 
     def pair(self, text: str | None, edited: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Both fingerprints; what both texts have with the same weight is drawn once."""
@@ -122,8 +125,9 @@ class Sampler:
         one[order[same]] = one[order[same + 1]] = False
         n = len(a[0])
         shared = both[order[same]], count[order[same]]
-        (s, sc), (x, xc), (y, yc) = self.signature([shared, (a[0][one[:n]], a[1][one[:n]]), (b[0][one[n:]], b[1][one[n:]])])
-        return np.where(x < s, xc, sc), np.where(y < s, yc, sc)
+        (s, st, sc), *own = self.signature([shared, (a[0][one[:n]], a[1][one[:n]]), (b[0][one[n:]], b[1][one[n:]])])
+        first, second = (np.where((x < s) | ((x == s) & (xt < st)), xc, sc) for x, xt, xc in own)
+        return first, second
 
 
 def show(cells: np.ndarray) -> str:
@@ -149,24 +153,6 @@ def sampler(samples: int, shingle: int) -> Sampler:
     return _samplers[samples, shingle]
 
 
-def _ranges(ids: DataFrame, parts: int) -> list[int]:
-    """Up to parts - 1 bounds that cut the ids into ranges of about the same size."""
-    if parts < 2:
-        return []
-    at = [k / parts for k in range(1, parts)]
-    got = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), max(10_000, 20 * parts)).alias("p")).first()["p"]
-    return sorted(set(got or []))
-
-
-def _range_of(bounds: list[int], lo: int = 0, hi: int | None = None):
-    """The number of bounds that are at most doc_id, by nested comparison; null counts as the lowest."""
-    hi = len(bounds) if hi is None else hi
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.col("doc_id") >= bounds[mid], _range_of(bounds, mid + 1, hi)).otherwise(_range_of(bounds, lo, mid))
-
-
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _OUT = pa.schema(
     [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
@@ -190,30 +176,27 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The next document is that with the next larger (doc_id, text); after the last comes the first, so
     a single document is its own next. Null texts count as empty and texts without a word share one
-    fingerprint; null doc_id comes first. Repeated rows follow each other. An empty table gives an
-    empty result; other columns are ignored.
+    fingerprint; null doc_id comes first. Repeated rows follow each other; rows of one doc_id (null
+    too) beyond the size of a range are ordered by a hash of the text. An empty table gives an empty
+    result; other columns are ignored.
     """
     spark = df.sparkSession
     ship(spark)
     docs = common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _ranges(ids, parts)
-    part = _range_of(bounds)
-    # The smallest id of each range that has rows: one number a range.
-    first = {r["part"]: r["low"] for r in ids.groupBy(part.alias("part")).agg(F.min("doc_id").alias("low")).collect()}
+    ranges = id_ranges(docs.select(F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("weight")), parts=parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    h = F.xxhash64("text") if ranges.hot else F.lit(0).cast("long")
+    ranged = ranges.with_part(docs.withColumn("h", h), "doc_id", F.col("h"))
+    # The first row of each range that has rows: two numbers a range.
+    first = {r["part"]: (r["low"], r["h"] if r["part"] in ranges.cut else None) for r in ranged.groupBy("part").agg(F.min("doc_id").alias("low"), F.min("h").alias("h")).collect()}
     have = sorted(first)
-    before = {p: have[k - 1] for k, p in enumerate(have)}
-    if have and first[have[0]] is not None and ids.filter("doc_id IS NULL").head(1):
-        first[have[0]] = None
-    known = spark.createDataFrame([(first[p], before[p]) for p in have], "low long, guest int")
-    marked = docs.join(F.broadcast(known), docs["doc_id"].eqNullSafe(known["low"]), "left").select("doc_id", "text", "guest")  # a row for each range
-    rows = marked.select(
-        "doc_id",
-        "text",
-        F.explode(F.when(F.col("guest").isNull(), F.array(_own(part, 0))).otherwise(F.array(_own(part, 0), _own(F.col("guest"), 1)))).alias("x"),
-    ).select("x.*", "doc_id", "text")
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("part"))
+    if ranges.null and ranges.null[1] == 1:
+        first[have[0]] = None, None
+    known = spark.createDataFrame([(p, *first[p], have[k - 1]) for k, p in enumerate(have)], "part int, low long, low_h long, before int")
+    leads = F.col("doc_id").eqNullSafe(F.col("low")) & F.coalesce(F.col("h") == F.col("low_h"), F.lit(True))
+    rows = ranged.join(F.broadcast(known), "part").select(
+        F.explode(F.when(leads, F.array(_own(F.col("part"), 0), _own(F.col("before"), 1))).otherwise(F.array(_own(F.col("part"), 0)))).alias("x"), "doc_id", "h", "text"
+    ).select("x.*", "doc_id", "h", "text")
+    dealt = rows.repartitionById(ranges.parts, F.col("part")).sortWithinPartitions("part", "guest", "doc_id", "h", "text").select("part", "guest", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(samples, shingle)
@@ -238,7 +221,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if open_ is not None:
             raise RuntimeError("a range without the first row of the next")
 
-    return dealt.sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(run, OUT)
+    return dealt.mapInArrow(run, OUT)
 
 
 def _own(part, guest: int):
