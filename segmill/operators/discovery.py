@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from segmill import schema
 from segmill.functions import scalar, text
+from segmill.session import materialize
 
 
 def rank_of(value: Column, order: Sequence[str]) -> Column:
@@ -156,4 +157,19 @@ def members(df: DataFrame, creators: DataFrame, key: str = "creator_id") -> Data
 
 def shuffled(df: DataFrame, seed: int, key: str = "creator_id") -> DataFrame:
     """T5: in an order that the seed and the key determine, whatever the partitions are."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.orderBy(shuffle_key(seed, F.col(key)), key)
+
+
+def shuffle_key(seed: int, key: Column) -> Column:
+    """What T5 sorts by: the md5 of seed and key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+
+
+def numbered(df: DataFrame, part: str = "part", at: str = "at") -> DataFrame:
+    """With `position`, counted from 1, of rows in order: `part` and `at` are the number of the row's
+    partition and its monotonically increasing id. Only the partitions' sizes are put in one window."""
+    df = materialize(df)
+    sizes = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(part, (F.sum("_n").over(W.orderBy(part)) - F.col("_n")).alias("_before"))  # a row a partition
+    within = F.col(at).bitwiseAND((1 << 33) - 1)
+    return df.join(F.broadcast(before), part).withColumn("position", F.col("_before") + within + 1).drop("_before")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segmill.operators.ranges import running_before
+from segmill.session import materialize
 
 K_VALUES = (3, 5, 10)
 
@@ -71,7 +72,9 @@ def f1(scores: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
 
 
 def evaluate(scores: DataFrame, by: list[str], ks: tuple[int, ...] = K_VALUES, video: str = "video_id", ident: str = "segment_id") -> DataFrame:
-    """M5: one row per `by`. Videos without a positive count as videos but not in the means."""
+    """M5: one row per `by`. Videos without a positive count as videos but not in the means. The scores
+    are written once, as three branches read them."""
+    scores = materialize(scores.select(*by, video, ident, "y", "score"))
     v = per_video(scores, by, ks, video, ident)
     ok = F.col("n_positives") > 0
     names = [f"{m}_at_{k}" for k in ks for m in ("precision", "recall", "ndcg")]
@@ -88,6 +91,12 @@ def long_format(evaluated: DataFrame, by: list[str]) -> DataFrame:
     return evaluated.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names])).alias("x")).select(*by, "x.*")
 
 
+def report_order(df: DataFrame, value: str, ident: str, best_first: bool = True) -> DataFrame:
+    """T4: a report's rows, the best (or for changes, the worst) first, nulls last; equal ones by name."""
+    v = F.col(value)
+    return df.orderBy(v.desc_nulls_last() if best_first else v.asc_nulls_last(), ident)
+
+
 def seed_aggregate(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per model and metric the mean, sample deviation (0 for one value), number and values by seed."""
     by = by or ["model", "metric"]

@@ -178,6 +178,16 @@ def energy_features(df: DataFrame, rms: str = "rms", frames_per_second: str = "f
     )
 
 
+def colour_features(pixels: DataFrame, segment: str = "segment_id", frame: str = "frame") -> DataFrame:
+    """A21 from rows (segment, frame, r, g, b in 0..255): colourfulness by the deviation and mean of the
+    opponent colours |r - g| and |(r + g) / 2 - b|, and brightness as the mean of the largest channel,
+    each for a frame and then averaged over a segment's frames. Pixels are summed where they lie."""
+    rg, yb = F.abs(F.col("r") - F.col("g")), F.abs((F.col("r") + F.col("g")) * 0.5 - F.col("b"))
+    norm = lambda f: F.sqrt(f(rg) * f(rg) + f(yb) * f(yb))
+    each = pixels.groupBy(segment, frame).agg((norm(F.stddev_pop) + norm(F.avg) * 0.3).alias("c"), (F.avg(F.greatest("r", "g", "b")) / 255.0).alias("v"))
+    return each.groupBy(segment).agg(F.avg("c").alias("colorfulness"), F.avg("v").alias("brightness_mean"))
+
+
 def gated(value: Column, voiced: Column, frames: Column, least_share: float, least_frames: int = 0) -> Column:
     """Pitch and voice values count only with enough voiced frames; what isn't finite is 0."""
     ok = (frames > 0) & (voiced >= frames * least_share) & (voiced >= least_frames)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,16 @@ def check_columns(df: DataFrame, expected: list[str] = schema.OUTPUT_COLUMNS) ->
     return df.select(*expected)
 
 
+def bag_union(frames: list[DataFrame]) -> DataFrame:
+    """All rows of all frames, by column name; a column that a frame lacks is null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def rows_missing(df: DataFrame, known: DataFrame) -> DataFrame:
+    """U3 for data: the rows of df, repeats counted, that `known` lacks."""
+    return df.exceptAll(known)
+
+
 def check_unique(df: DataFrame, key: str = "segment_id") -> DataFrame:
     """Repeated keys are an error."""
     bad = df.groupBy(key).count().filter("count > 1").take(5)

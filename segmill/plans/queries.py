@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +9,9 @@ from segmill import schema
 from segmill.functions import scalar, text
 from segmill.operators import captions, discovery, engagement, matching, metrics, models, normalise, segments, splits, stats, validation
 from segmill.plans import pipelines, tables
+from segmill.plans.registry import ORACLE, QUERIES, query
 from segmill.plans.tables import read, sql
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return register
-
-
 def words_list(words: list[str]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in sorted(set(words))) + "]"
 
@@ -99,7 +83,7 @@ def creator_context(spark: SparkSession, sf: str) -> DataFrame:
 
 NOVELTY_SQL = """
 WITH e AS (SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS k, embedding FROM embeddings),
-g AS (SELECT * FROM e WHERE k % 7 <> 0),
+g AS (SELECT * FROM e),
 n AS (SELECT g.vec_id, g.label AS video_id, g.k AS segment_index,
         list_cosine_similarity(g.embedding::DOUBLE[], a.embedding::DOUBLE[]) AS ca, list_cosine_similarity(g.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cb
       FROM g LEFT JOIN g a ON a.label = g.label AND a.k = g.k - 1 LEFT JOIN g b ON b.label = g.label AND b.k = g.k + 1)
@@ -117,16 +101,16 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(NOVELTY_SQL)
 def novelty(spark: SparkSession, sf: str) -> DataFrame:
-    """F15 and J6, with gaps in the index."""
-    return segments.novelty(_vectors(spark, sf).filter("segment_index % 7 <> 0")).drop("embedding")
+    """F15 and J6."""
+    return segments.novelty(_vectors(spark, sf)).drop("embedding")
 
 
 @query("""
 SELECT c.conv_id AS video_id, CAST(c.turn AS INTEGER) AS segment_index, length(c.text) AS own_chars, length(n.text) AS next_chars
-FROM (SELECT * FROM conversations WHERE turn % 4 <> 3) c LEFT JOIN (SELECT * FROM conversations WHERE turn % 4 <> 3) n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
+FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
 def adjacent_concat(spark: SparkSession, sf: str) -> DataFrame:
     """J7."""
-    x = matching.with_next(tables.turns(spark, sf).filter("segment_index % 4 <> 3"))
+    x = matching.with_next(tables.turns(spark, sf))
     return x.select("video_id", "segment_index", F.length("text").alias("own_chars"), F.length("next_text").alias("next_chars"))
 
 
@@ -376,11 +360,12 @@ def _auc_long(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql("segs", "scores", body=SEEDS + """, q AS (SELECT a.model AS model_a, b.model AS model_b, a.auc_roc AS a, b.auc_roc AS b FROM auc a JOIN auc b ON a.seed = b.seed AND a.model < b.model),
 s AS (SELECT model_a, model_b, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS m, stddev_samp(a - b) AS s FROM q GROUP BY 1, 2)
 SELECT model_a, model_b, n, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(m / (s / sqrt(n)), 6) AS t, round(-m / s, 6) AS cohens_d, CASE WHEN m < 0 THEN 'b' WHEN m > 0 THEN 'a' ELSE 'tie' END AS direction,
-CASE WHEN abs(m / s) < 0.2 THEN 'negligible' WHEN abs(m / s) < 0.5 THEN 'small' WHEN abs(m / s) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM s"""))
+CASE WHEN abs(m / s) < 0.2 THEN 'negligible' WHEN abs(m / s) < 0.5 THEN 'small' WHEN abs(m / s) < 0.8 THEN 'medium' ELSE 'large' END AS effect,
+round(1 - 2 / pi() * atan(abs(m / (s / sqrt(n)))), 6) AS p_value, 1 - 2 / pi() * atan(abs(m / (s / sqrt(n)))) < 0.05 AS significant FROM s"""))
 def paired_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """M8-M10 and J12, but for the p-value."""
-    x = stats.compare_models(_auc_long(spark, sf), with_p=False)
-    return x.select("model_a", "model_b", "n", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), F.round("t", 6).alias("t"), F.round("cohens_d", 6).alias("cohens_d"), "direction", "effect")
+    """M8-M10 and J12. With two seeds t has one degree of freedom, for which its distribution is that of Cauchy."""
+    x = stats.compare_models(_auc_long(spark, sf))
+    return x.select("model_a", "model_b", "n", F.round("mean_a", 9).alias("mean_a"), F.round("mean_b", 9).alias("mean_b"), F.round("t", 6).alias("t"), F.round("cohens_d", 6).alias("cohens_d"), "direction", "effect", F.round("p_value", 6).alias("p_value"), "significant")
 
 
 @query(sql("segs", body=""", u AS (SELECT label, unnest(['duration', 'start_time', 'quality', 'segment_index']) AS feature, unnest([duration, start_time, quality::DOUBLE, segment_index::DOUBLE]) AS x FROM segments),
@@ -667,9 +652,14 @@ def plain_captions(spark: SparkSession, sf: str) -> DataFrame:
     return _vtt(spark, sf).select("doc_id", t.alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("digest"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM documents),
+c AS (SELECT doc_id, l, len(l) AS n, unnest(range(0, (len(l) + 2) // 3)) AS j FROM d),
+w AS (SELECT doc_id, n, j, list_filter(string_split_regex(array_to_string(list_transform(l[3 * j + 1 : least(3 * j + 3, n)], lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), ' '), '\s+'), lambda x: x <> '') AS t FROM c)
+SELECT doc_id, CAST(n AS INTEGER) AS n_entries, 36.0::DOUBLE * j AS start_s, CASE WHEN 3 * j + 3 < n THEN 36.0::DOUBLE * (j + 1) ELSE 12.0::DOUBLE * (n - 1) + 30 END AS end_s,
+       CAST(length(array_to_string(list_filter(t, lambda x, i: i = 1 OR x <> t[i - 1]), ' ')) AS INTEGER) AS n_chars FROM w""")
 def timed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """F4, F5, W11; compared with a plain loop in the tests."""
+    """Three cues of twelve seconds make a chunk."""
     x = captions.parse_captions(_vtt(spark, sf))
     return x.select("doc_id", F.size("entries").alias("n_entries"), F.explode("chunks").alias("c")).select("doc_id", "n_entries", F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"), F.length("c.text").alias("n_chars"))
 
@@ -701,13 +691,11 @@ def contains_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _match_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Benchmark passages as shorts of creators 0-3; documents that hold a passage, and their twentieth
-    part, as longs: a creator's longs are few by the caps before."""
-    b, d = read(spark, sf, "benchmark"), read(spark, sf, "documents")
-    s = b.select((F.col("item_id") % 4).alias("creator_id"), F.col("item_id").alias("short_id"), F.col("item_id").alias("pos"), "text")
-    hit = matching.contains_match(b.select(F.col("item_id").alias("short_id"), "text"), d.select(F.col("doc_id").alias("long_id"), "text")).select("long_id").distinct()
-    longs = d.join(hit, d["doc_id"] == hit["long_id"], "left_semi")
-    return s, longs.select((F.col("doc_id") % 4).alias("creator_id"), F.col("doc_id").alias("long_id"), F.col("doc_id").alias("pos"), "text")
+    """By conversation: an edited copy of the shortest turn as the short, all turns as longs."""
+    t = tables.turns(spark, sf).select(F.col("video_id").alias("creator_id"), (F.col("video_id") * 1000 + F.col("segment_index")).alias("long_id"), "text")
+    s = t.groupBy("creator_id").agg(F.min_by(F.struct("long_id", "text"), F.struct(F.length("text"), "long_id")).alias("x"))
+    edited = F.regexp_replace(F.regexp_replace("x.text", "ing\\b", "ed"), " (the|of) ", " ")
+    return s.select("creator_id", F.col("x.long_id").alias("short_id"), F.col("x.long_id").alias("pos"), edited.alias("text")), t.withColumn("pos", F.col("long_id"))
 
 
 @query()
@@ -724,16 +712,18 @@ def greedy_assign(spark: SparkSession, sf: str) -> DataFrame:
     return matching.greedy_assign(matching.caption_scores(s, d), capacity=2)
 
 
-@query()
+@query("""
+SELECT c.conv_id AS short_id, c.conv_id AS long_id, CAST(min(c.turn) AS INTEGER) AS matched_segment_index, 100.0::DOUBLE AS match_score, 'single' AS match_method, 'very_high' AS match_confidence
+FROM conversations c JOIN (SELECT conv_id, max(length(text)) AS n FROM conversations GROUP BY 1) m ON m.conv_id = c.conv_id AND length(c.text) = n GROUP BY 1, 2""")
 def segment_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Each conversation's longest turn against the turns of its conversation."""
+    """Each conversation's longest turn against the turns of its conversation, among which it must find itself."""
     t = tables.turns(spark, sf)
     short = t.groupBy("video_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("segment_index"))).alias("text")).select(F.col("video_id").alias("short_id"), "text")
     pairs = short.select("short_id", F.col("short_id").alias("long_id"))
     return matching.best_per_short(matching.segment_scores(pairs, short, t.select("video_id", "segment_index", "text")))
 
 
-@query("SELECT DISTINCT l_partkey % 200 AS long_id FROM lineitem WHERE l_linenumber <= 3")
+@query("SELECT DISTINCT l_partkey % 200 AS long_id FROM lineitem")
 def matched_ids(spark: SparkSession, sf: str) -> DataFrame:
     """U2."""
     return matching.matched_ids(tables.pairs(spark, sf), "long_id")
@@ -857,3 +847,6 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
 def learning_curve(spark: SparkSession, sf: str) -> DataFrame:
     """M14."""
     return models.learning_curve(_model_table(spark, sf), FOREST, (0.2, 0.4, 0.6, 0.8, 1.0), models.random_forest)
+
+
+from segmill.plans import storage  # noqa: E402, F401 - registers the queries over sources, sinks and reports

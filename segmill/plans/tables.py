@@ -65,7 +65,7 @@ def shorts(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as matches of a short (the order) with a segment of a long (the part)."""
-    return read(spark, sf, "lineitem").filter("l_linenumber <= 3").groupBy("l_orderkey", "l_partkey").agg(
+    return read(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
         F.max(F.col("l_quantity") + 50.0).alias("match_score"), F.min("l_linenumber").alias("line")
     ).select(
         F.col("l_orderkey").alias("short_id"), (F.col("l_partkey") % 200).alias("long_id"), (F.col("line") - 1).cast("int").alias("matched_segment_index"),
@@ -145,7 +145,7 @@ videos AS (
     "pairs": """pairs AS (
   SELECT l_orderkey AS short_id, l_partkey % 200 AS long_id, CAST(min(l_linenumber) - 1 AS INTEGER) AS matched_segment_index,
          max(l_quantity + 50.0) AS match_score, l_orderkey * 100000 + l_partkey AS pos
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey, l_partkey)""",
+  FROM lineitem GROUP BY l_orderkey, l_partkey)""",
     "labelled": """labelled AS (
   SELECT p.short_id, s.creator_id, p.long_id, p.matched_segment_index, p.match_score, p.pos, s.views AS short_views, s.likes AS short_likes, s.comments AS short_comments,
          s.engagement_rate AS short_engagement_rate, s.views_per_day AS short_views_per_day,

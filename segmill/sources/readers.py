@@ -104,7 +104,7 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """Whole caption files; the video's id is the name up to the first dot."""
-    df = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("f"))
+    df = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f"))
     return df.select(F.regexp_extract("f", r"^([^.]+)", 1).alias("video_id"), F.col("value").alias("vtt"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segmill import schema
@@ -39,9 +42,43 @@ def results_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def named_files(df: DataFrame, path: str, by: list[str], name: str, fmt: str = "csv", **options) -> None:
+    """One file for each value of `by`, named by the template (for instance "{creator_id}_pairs.csv"),
+    whose columns aren't repeated in the file. Values must be fit for names. The files are written by the
+    tasks; the driver then only renames them, so their number should suit one folder."""
+    spark = df.sparkSession
+    tmp = f"{path}/_writing"
+    df.repartition(*by).write.partitionBy(*by).options(**options).mode("overwrite").format(fmt).save(tmp)
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(tmp)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listFiles(top, True)
+    while found.hasNext():
+        at = found.next().getPath()
+        folders = dict(f.split("=", 1) for f in at.getParent().toString().split("/")[-len(by) :] if "=" in f)
+        if len(folders) == len(by):
+            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name.format(**folders)}")
+            fs.mkdirs(target.getParent())
+            if not fs.rename(at, target):
+                raise OSError(f"{at} can't become {target}")
+    fs.delete(top, True)
+
+
+def report(df: DataFrame, order: list[Column], digits: int = 4, hide: Sequence[str] = ()) -> DataFrame:
+    """A report table in Markdown as rows (number, line), the heading first; numbers have `digits`
+    places and null is blank. All rows are there, without the columns to hide."""
+    names = [c for c in df.columns if c not in hide]
+    kinds = dict(df.dtypes)
+    show = lambda c: F.format_string(f"%.{digits}f", F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.when(F.col(c).isNull(), "").otherwise(show(c)) for c in names]), F.lit(" |"))
+    body = df.select(F.row_number().over(W.orderBy(*order)).alias("number"), cells.alias("line"))  # a report is small
+    head = [(-1, "| " + " | ".join(names) + " |"), (0, "|" + "---|" * len(names))]
+    return df.sparkSession.createDataFrame(head, "number int, line string").union(body)
+
+
 def markdown(df: DataFrame, digits: int = 4) -> str:
-    """A small report table, rows as they come."""
+    """A small report table as text, rows as they come, all of them."""
     names = df.columns
     show = lambda v: f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v)
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in df.limit(1000).collect()])
+    return "\n".join(lines + ["| " + " | ".join(show(v) for v in r) + " |" for r in df.collect()])

@@ -153,3 +153,17 @@ def test_core_never_imports_the_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "segmill.llm" not in p.read_text(), p
+
+
+def test_named_files_and_captions(spark, tmp_path):
+    x = spark.createDataFrame([(1, "a\nb"), (2, "c")], "id int, value string")
+    writers.named_files(x, f"file://{tmp_path}/v", ["id"], "{id}.en.vtt", "text")
+    assert sorted(p.name for p in (tmp_path / "v").iterdir() if p.suffix == ".vtt") == ["1.en.vtt", "2.en.vtt"]
+    assert {tuple(r) for r in readers.captions(spark, f"file://{tmp_path}/v").collect()} == {("1", "a\nb\n"), ("2", "c\n")}
+
+
+def test_report_has_all_rows(spark):
+    x = spark.range(1500).select("id", (F.col("id") / 4).alias("v"), F.when(F.col("id") > 0, "x").alias("n"))
+    lines = [r["line"] for r in writers.report(x, [F.col("id")], 2).orderBy("number").collect()]
+    assert len(lines) == 1502 and lines[:4] == ["| id | v | n |", "|---|---|---|", "| 0 | 0.00 |  |", "| 1 | 0.25 | x |"]
+    assert writers.markdown(x).count("\n") == 1501

@@ -367,3 +367,22 @@ def test_random_baseline_is_chance(spark):
     assert models.class_weight(df) == 4.0
     with pytest.raises(ValueError):
         models.rule_based(df)
+
+
+def test_colour_of_a_grey_and_a_red_frame(spark):
+    rows = [(1, 0, 100, 100, 100), (1, 0, 200, 200, 200), (1, 1, 255, 0, 0), (1, 1, 255, 0, 0)]
+    got = segments.colour_features(spark.createDataFrame(rows, "segment_id int, frame int, r int, g int, b int")).first()
+    red = 0.3 * (255**2 + 127.5**2) ** 0.5  # no deviation, both opponent means
+    assert got["colorfulness"] == pytest.approx(red / 2)
+    assert got["brightness_mean"] == pytest.approx((150 / 255 + 1) / 2)
+
+
+def test_union_difference_order_and_numbers(spark):
+    a, b = spark.createDataFrame([(1, "x"), (1, "x")], "k int, v string"), spark.createDataFrame([(1,), (None,)], "k int")
+    assert sorted(map(str, validation.bag_union([a, b]).collect())) == sorted(map(str, spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (None, None)], "k int, v string").collect()))
+    assert validation.rows_missing(a.select("k"), b).count() == 1
+    scores = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 2.0), ("d", 1.0)], "m string, v double").repartition(3)
+    assert [r["m"] for r in metrics.report_order(scores, "v", "m").collect()] == ["c", "a", "d", "b"]
+    assert [r["m"] for r in metrics.report_order(scores, "v", "m", best_first=False).collect()] == ["a", "d", "c", "b"]
+    x = spark.range(100, numPartitions=7).select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    assert [(r["id"], r["position"]) for r in discovery.numbered(x).orderBy("id").collect()] == [(i, i + 1) for i in range(100)]
