@@ -7,7 +7,8 @@ is fitted on them. A batch of texts is scored by two matrix products: presence r
 landmarks' rows, then kernel values with the coefficients.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS in all, as many of each
-language as there are, up to its share); what is predicted are all rows and whole texts.
+language as there are, up to its share; texts of at most SAMPLE_BYTES; the MOST_VALUES most frequent
+languages); what is predicted are all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ SAMPLE_ROWS = 2400
 LANDMARKS = 192
 FEATURES = 8192
 RIDGE = 1e-2
-SYMBOLS = 64
+#: Texts that models are fitted on have at most so many bytes: 2 x 2,400 x 16 KB reach the driver at most.
+SAMPLE_BYTES = 16 << 10
+MOST_VALUES = 256
+#: Of the symbols, the last BLOCKS are for rarer letters, by their Unicode block.
+SYMBOLS, BLOCKS = 128, 30
 UND = "und"
 LETTER = re.compile("[A-Za-z]")
 
@@ -43,12 +48,12 @@ def has_letter(text: str | None) -> bool:
 
 
 class Spectrum:
-    """Presence rows over a fixed list of n-grams. Symbols: 0 for anything but a letter, 1 for rare
-    letters, the rest for the sample's most frequent letters."""
+    """Presence rows over a fixed list of n-grams. Symbols: 0 for anything but a letter, one each for
+    the sample's most frequent letters, and BLOCKS for all others by their place in Unicode."""
 
     def __init__(self, texts: list[str], features: int):
         letters = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        self.letters = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
+        self.letters = [c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - BLOCKS - 1]]
         self._map()
         df = np.zeros(sum(SYMBOLS**n for n in (1, 2, 3)), np.int64)
         for t in texts:
@@ -64,10 +69,10 @@ class Spectrum:
             if 0xD800 <= block < 0xE000:
                 continue
             s = "".join(map(chr, range(block, block + 0x1000)))
-            self.table[block : block + 0x1000] = [c.isalpha() for c in s]
+            self.table[block : block + 0x1000] = [(SYMBOLS - BLOCKS + (ord(c) >> 7) % BLOCKS) * c.isalpha() for c in s]
         for k, c in enumerate(self.letters):
             if len(c) == 1:
-                self.table[ord(c)] = k + 2
+                self.table[ord(c)] = k + 1
 
     def grams(self, text: str) -> np.ndarray:
         a = self.table[np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)]
@@ -133,19 +138,25 @@ class Model:
         return lang, score
 
 
+def fits(text: str = "text"):
+    """Rows whose text is short enough to learn from."""
+    return F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES
+
+
 def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """About `most` of the rows (doc_id, by, ...), as evenly by value as there are rows, picked by a hash of the id."""
-    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for v, n in sizes.items():
-        share = F.when(F.col(by) == v, min(1.0, most / (len(sizes) * n))).otherwise(share)
-    return rows.filter((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)) < share)
+    """About `most` of the rows (doc_id, by, ...), as evenly by value as there are rows, picked by a hash
+    of the id; of a column with very many values the most frequent ones."""
+    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(MOST_VALUES).collect()}
+    if not sizes:
+        return rows.limit(0)
+    shares = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, min(1.0, most / (len(sizes) * n)))])
+    return rows.filter((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(shares[F.col(by)], F.lit(0.0)))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS, **how) -> Model:
     """Learn from the text and the non-null language of rows that aren't held out."""
     docs = common.pick(df, doc_id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & ~held_out())
-    got = sampled(docs, "lang", sample).filter("text IS NOT NULL").select(F.xxhash64("doc_id").alias("h"), "lang", "text").collect()
+    got = sampled(docs, "lang", sample).filter(F.col("text").isNotNull() & fits()).select(F.xxhash64("doc_id").alias("h"), "lang", "text").collect()
     got = sorted((r for r in got if has_letter(r["text"])), key=lambda r: (r["h"], r["lang"], r["text"]))[: 2 * sample]
     return Model([r["text"] for r in got], [r["lang"] for r in got], **how)
 
