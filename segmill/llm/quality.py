@@ -3,12 +3,15 @@
 Each word has a sparse ternary index vector that its hash determines. A word's vector is the sum of
 the index vectors of its neighbours in the sample (WINDOW words to either side), damped and scaled to
 length 1. A document is the mean of its words' vectors; a word that isn't among the frequent ones
-counts as its shape (runs of capitals, small letters, digits and the marks themselves). A network
+counts as its shape (runs of capitals, small letters, digits and the marks themselves). Repetition
+is told by three more words, which have index vectors like any other: one after each word that is
+the same as the one before, one for each word that the document had already, and one for each such
+line. A network
 with one hidden layer is trained on labelled documents, and a temperature, fitted on a part of them
 that the training left out, makes its output a calibrated probability.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS); all rows and whole texts are
-scored.
+The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, of texts of at most
+language_id.SAMPLE_BYTES); all rows and whole texts are scored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.llm import common
-from segmill.llm.language_id import held_out, sampled
+from segmill.llm.language_id import fits, held_out, sampled
 from segmill.session import ship
 
 SAMPLE_ROWS = 4000
@@ -44,12 +47,12 @@ CACHE = 400_000
 def shape(word: str) -> str:
     """Runs of capitals as A, of small letters as a, of digits as 9, of one mark as that mark."""
     out, last = [], ""
-    for c in word[:256]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if k != last:
             out.append(k)
             last = k
-    return "\0" + "".join(out[:12])
+    return "\0" + "".join(out)
 
 
 def index_vector(word: str) -> np.ndarray:
@@ -61,6 +64,10 @@ def index_vector(word: str) -> np.ndarray:
     return v
 
 
+#: The words that tell of repetition. No text has them, as they hold white space.
+MARKS = ("same as before", "had already", "line had already")
+
+
 class Words:
     """Word to place in the table of vectors; the last place is for whatever is unknown."""
 
@@ -71,7 +78,7 @@ class Words:
         for w, n in count.items():
             shapes[shape(w)] += n
         first = lambda c, n: [w for w, k in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n] if k > 1]
-        names = first(count, WORDS) + first(shapes, SHAPES)
+        names = [*MARKS, *first(count, WORDS), *first(shapes, SHAPES)]
         self.at = {w: i for i, w in enumerate(names)}
         self.size = len(names) + 1
         self.cache: dict[str, int] = {}
@@ -105,22 +112,17 @@ class Words:
         return np.array(got, np.int32)
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
-        """The mean vector, and how much repeats: the shares of distinct words, of words that repeat the
-        one before and of distinct lines, and the log of the number of words."""
+        """The mean vector of the words and marks."""
         counts = np.zeros((len(texts), self.size), np.float32)
         n = np.zeros(len(texts), np.float32)
-        more = np.zeros((len(texts), 4), np.float32)
         for k, t in enumerate(texts):
             words = t.split() if t else []
             if words:
                 counts[k] = np.bincount(self.ids(words), minlength=self.size)
                 n[k] = len(words)
                 lines = t.split("\n")
-                more[k] = (
-                    len(set(words)) / len(words), sum(map(eq, words, words[1:])) / len(words),
-                    len(set(lines)) / len(lines), np.log1p(len(words)) / 8,
-                )
-        return np.hstack([counts @ self.vectors / (n + PRIOR)[:, None], more])
+                counts[k, : len(MARKS)] = sum(map(eq, words, words[1:])), len(words) - len(set(words)), len(lines) - len(set(lines))
+        return counts @ self.vectors / (n + PRIOR)[:, None]
 
 
 class Network:
@@ -178,7 +180,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     known = common.pick(labels, doc_id="doc_id", quality="quality").filter(F.col("quality").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = sampled(known, "quality", sample).withColumnRenamed("doc_id", "label_id")
-    docs = common.pick(df, doc_id=id_col, text=text_col)
+    docs = common.pick(df, doc_id=id_col, text=text_col).filter(fits())
     got = docs.join(F.broadcast(some), docs["doc_id"] == some["label_id"]).select(F.xxhash64("doc_id").alias("h"), "quality", "text").collect()
     got = sorted(((r["h"], r["quality"], r["text"] or "") for r in got))[: 2 * sample]
     return Model([t for _, _, t in got], [q for _, q, _ in got])

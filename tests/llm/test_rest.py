@@ -137,12 +137,50 @@ def test_op3(spark):
 
 
 def test_kernel_scores_are_the_kernel_expansion():
-    texts = ["katimora tika", "schungeit er", "moka rati", "eiter ung", "tira", "scher"]
+    """Against sets of n-grams and sums over landmarks, one by one; letters beyond the frequent ones go by block."""
+    texts = ["katimora tika", "schungeit er ж", "moka rati 語", "eiter ung жз", "tira ka 語語", "scher ung"]
     m = language_id.Model(texts, ["a", "b"] * 3, landmarks=6)
-    grams = lambda t: {tuple(x) for n in (1, 2, 3) for x in zip(*[t.lower()[i:] for i in range(n)])}
-    a, b = m.spectrum.rows(texts[:2])
-    known = [g for g in grams(texts[0])]
-    assert abs(float(a @ a) - 1) < 1e-5 and float(a @ b) < 0.6 and known
+    frequent = {c: k + 1 for k, c in enumerate(m.spectrum.letters)}
+    symbol = lambda c: 0 if not c.isalpha() else frequent.get(c, language_id.SYMBOLS - language_id.BLOCKS + (ord(c) >> 7) % language_id.BLOCKS)
+    grams = lambda t: {tuple(x) for n in (1, 2, 3) for x in zip(*[[symbol(c) for c in t.lower()][i:] for i in range(n)])}
+    df = Counter(g for t in texts for g in grams(t))
+    known = {g for g, n in df.items() if n > 1}
+    assert m.spectrum.size == len(known)
+
+    def kernel(a, b):
+        a, b = grams(a) & known, grams(b) & known
+        return len(a & b) / max(1, len(a) * len(b)) ** 0.5
+
+    marks = texts[::2] + texts[1::2]
+    for t in [*texts, "kati ung", "new жж 語", "zz"]:
+        margin = np.array([sum(kernel(t, s) * m.coef[j, k] for j, s in enumerate(marks)) + m.bias[k] for k in range(2)])
+        e = np.exp(m.steep * (margin - margin.max()))
+        (lang,), (score,) = m.predict([t])
+        assert lang == "ab"[int(margin.argmax())] and abs(score - e.max() / e.sum()) < 1e-4
+
+
+def test_quality_scores_word_by_word():
+    """Against the mean of vectors and the two layers, one by one."""
+    rnd = random.Random(8)
+    good = [" ".join(rnd.choice(["the", "of", "house", "river"]) for _ in range(9)) for _ in range(30)]
+    bad = ["\n".join(["buy buy NOW!"] * rnd.randrange(1, 5)) for _ in range(30)]
+    m = quality.Model(good + bad, [1] * 30 + [0] * 30)
+    at, vectors, net = m.words.at, m.words.vectors, m.net
+    for t in [*good[:3], *bad[:3], "", None, "unseen Words 7!", "the the the\nthe the the", "x" * 3000]:
+        words = (t or "").split()
+        total = sum((vectors[at.get(w, at.get(quality.shape(w), len(vectors) - 1))] for w in words), np.zeros(quality.SIZE))
+        seen, lines, last = set(), set(), None
+        for w in words:
+            total = total + vectors[0] * (w == last) + vectors[1] * (w in seen)
+            seen.add(w)
+            last = w
+        for line in (t or "").split("\n"):
+            total = total + vectors[2] * (line in lines) * bool(words)
+            lines.add(line)
+        x = (total / (len(words) + quality.PRIOR) - net.mean) / net.std
+        hidden = [np.tanh(sum(x[i] * net.p[0][i, h] for i in range(len(x))) + net.p[1][h]) for h in range(quality.HIDDEN)]
+        z = (sum(v * w for v, w in zip(hidden, net.p[2])) + net.p[3][0]) / m.temperature
+        assert abs(m.score([t])[0] - 1 / (1 + np.exp(-z))) < 1e-3
 
 
 def test_op7(spark):
