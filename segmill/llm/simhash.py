@@ -3,8 +3,10 @@
 Fingerprints are linked if at most RADIUS bits differ. The comparison is exact: numpy compares a
 tile of fingerprints with another by exclusive-or and bit counts, and skips the pair of tiles if
 their population counts are further apart than the radius. Which tiles meet is settled without loss:
-of BLOCKS blocks of bits, at least BLOCKS - RADIUS are the same in two linked fingerprints, so tiles
-are made among fingerprints that share the bits of some choice of so many blocks. A group that
+of `blocks` blocks of bits (by default two more than the radius), all but as many as the radius are
+the same in two linked fingerprints, so tiles are made among fingerprints that share the bits of some
+choice of so many blocks. A wider radius makes more and shorter keys: with 2 there are 6 of 32 bits,
+with 6 there are 28 of 16, whose groups grow with the table; more blocks make longer keys. A group that
 shares them and is larger than a tile is cut into tiles by population count and hash, and each pair
 of tiles becomes a row of its own, so that no task holds a whole group.
 
@@ -15,7 +17,7 @@ not all of them, which leaves the components as they are.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,10 @@ from segmill.session import materialize, ship
 
 SHINGLE = 3
 RADIUS = 2
-BLOCKS = 4
 SEED = 42
 TILE = 2048
+#: Groups up to this size are compared all at once.
+SMALL = 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: 64 bit counts per byte value and position are summed this many shingles at a time.
 CHUNK = 1 << 15
@@ -126,10 +129,10 @@ def tile_links(fps: np.ndarray, other: np.ndarray | None, radius: int, tile: int
                     yield i, j
 
 
-def bands(radius: int, blocks: int = BLOCKS) -> list[int]:
+def bands(radius: int, blocks: int) -> list[int]:
     """The masks of the choices of blocks of which two fingerprints within the radius share one."""
-    width = 64 // blocks
-    one = [((1 << width) - 1) << (width * k) for k in range(blocks)]
+    cuts = [64 * k // blocks for k in range(blocks + 1)]
+    one = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
     return [sum(c) for c in combinations(one, blocks - radius)]
 
 
@@ -140,67 +143,71 @@ def _signed(x: int) -> int:
 LINKS = "a long, b long"
 
 
-def _emit(pairs: Iterable[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    out: list[tuple[int, int]] = []
-    for p in pairs:
-        out.append(p)
-        if len(out) == 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-
-
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray, list[bool]]]:
-    """Rows of (band, key, part, side, node, fp) sorted by the first three, cut by these."""
-    held, last = [], None
-    for cols in common.rows(iter(batches), 20_000):
-        for row in zip(*cols):
-            if row[:3] != last:
-                if len(held) > 1:
-                    yield last, held
-                held, last = [], row[:3]
-            held.append(row[3:])
-    if len(held) > 1:
-        yield last, held
-
-
-def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, side, node, fp) of whole groups, from rows (band, key, part, side, node, fp) sorted by the
+    first three, a batch at a time; starts has one more for the end."""
+    held: list[np.ndarray] | None = None
+    for b in chain(batches, [None]):
+        if b is not None:
+            cols = [c.to_numpy() for c in b.columns]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        if held is None or not len(held[0]):
+            continue
+        new = np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in held[:3]]))
+        starts = np.append(np.flatnonzero(new), len(new))
+        if b is not None:
+            starts = starts[:-1]  # the last group may go on
+        end = starts[-1]
+        if end:
+            yield starts, *(c[:end] for c in held[3:])
+        held = [c[end:] for c in held]
+
+
+def near_in_groups(starts: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within groups as positions: those of all small groups at once, then tile by tile."""
+    size = np.diff(starts)
+    small = np.flatnonzero((size > 1) & (size <= SMALL))
+    at = np.repeat(starts[small] - np.cumsum(size[small]) + size[small], size[small]) + np.arange(size[small].sum())
+    ends = np.repeat(starts[small] + size[small], size[small])
+    for step in range(1, int(size[small].max(initial=1))):
+        go = at + step < ends
+        at, ends = at[go], ends[go]
+        near = np.flatnonzero(np.bitwise_count(fps[at] ^ fps[at + step]) <= radius)
+        yield at[near], at[near] + step
+    for g in np.flatnonzero(size > SMALL).tolist():
+        a = starts[g]
+        found = np.array(list(tile_links(fps[a : starts[g + 1]], None, radius)), np.int64).reshape(-1, 2)
+        yield found[:, 0] + a, found[:, 1] + a
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between nodes (node, fp) with distinct fingerprints, enough for the components."""
-    masks = bands(radius)
+    masks = bands(radius, blocks or radius + 2)
     keyed = nodes.select(
         "node",
         "fp",
         F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("x"),
     ).select("x.band", "x.key", F.bit_count("fp").alias("pop"), "node", "fp")
     grouped = common.with_least(keyed, ["band", "key"], "fp", "fp").filter("members > 1").drop("least").withColumnRenamed("members", "n")
-    grouped = materialize(grouped)  # few: most fingerprints share no such key
+    grouped = materialize(grouped)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            for _, held in _runs(batches):
-                fps = np.array([f for _, _, f in held], np.int64).view(np.uint64)
-                for i, j in tile_links(fps, None, radius):
-                    yield held[i][1], held[j][1]
-
-        yield from _emit(pairs())
+        for starts, _, node, fp in _groups(batches):
+            for i, j in near_in_groups(starts, fp.view(np.uint64), radius):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs():
-            for _, held in _runs(batches):
-                left = [(n, f) for s, n, f in held if s == 0]
-                right = [(n, f) for s, n, f in held if s == 1]
-                if left and right:
-                    a, b = (np.array([f for _, f in side], np.int64).view(np.uint64) for side in (left, right))
-                    for i, j in tile_links(a, b, radius):
-                        yield left[i][0], right[j][0]
-
-        yield from _emit(pairs())
+        for starts, side, node, fp in _groups(batches):
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                one, two = (a + np.flatnonzero(side[a:b] == k) for k in (0, 1))
+                if len(one) and len(two):
+                    found = np.array(list(tile_links(fp[one].view(np.uint64), fp[two].view(np.uint64), radius)), np.int64).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[one[found[:, 0]]]), pa.array(node[two[found[:, 1]]])], names=["a", "b"])
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part")
 
-    small = grouped.filter(F.col("n") <= tile).select("band", "key", F.lit("").alias("part"), F.lit(0).alias("side"), "node", "fp")
+    small = grouped.filter(F.col("n") <= tile).select("band", "key", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "node", "fp")
     # Groups beyond a tile: tiles of one population count, cut by hash to about `tile` rows.
     big = grouped.filter(F.col("n") > tile)
     pops = big.groupBy("band", "key", "pop").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(tile))).cast("int").alias("cuts"))
@@ -214,7 +221,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     mates = mine.join(met, ["band", "key", "pop", "cut"])
     first, second = F.struct("pop", "cut"), F.struct(F.col("pop2").alias("pop"), F.col("cut2").alias("cut"))
     label = F.concat_ws(":", F.least(first, second).cast("string"), F.greatest(first, second).cast("string"))
-    large = mates.select("band", "key", label.alias("part"), F.when(first <= second, 0).otherwise(1).alias("side"), (first == second).alias("alone"), "node", "fp")
+    # A tile pair's name as a number: should two names agree, their rows are compared together, which is as right.
+    large = mates.select("band", "key", F.xxhash64(label).alias("part"), F.when(first <= second, 0).otherwise(1).alias("side"), (first == second).alias("alone"), "node", "fp")
     cols = ["band", "key", "part", "side", "node", "fp"]
     alone, crossed = large.filter("alone").select(*cols), large.filter("not alone").select(*cols)
     return (
@@ -222,7 +230,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame
     )
 
 
-def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row.
 
     component_id is the smallest doc_id that links lead to, the row's own included. Texts without a
@@ -236,7 +244,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     salted = fps.withColumn("salt", common.salt("row"))
     parts = materialize(salted.groupBy("fp", "salt").agg(F.min("doc_id").alias("low")))
     nodes = materialize(parts.groupBy("fp").agg(F.min("low").alias("low")))
-    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))  # nodes are named by their fingerprints
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, blocks=blocks))  # nodes are named by their fingerprints
     linked = common.with_least(nodes.join(found.withColumnRenamed("node", "fp"), "fp"), ["component"], "low", "fp").select("fp", "least", "members")
     names = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("members").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
     return salted.join(parts.select("fp", "salt").join(names, "fp"), ["fp", "salt"]).select(

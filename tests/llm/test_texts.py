@@ -300,8 +300,8 @@ def test_op6_against_brute_force(spark):
     assert simhash.simhash_groups(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("tile", [2048, 4])
-def test_links_of_close_fingerprints(spark, tile):
+@pytest.mark.parametrize("tile,radius,blocks", [(2048, 2, None), (4, 2, None), (2048, 6, None), (30, 6, None), (2048, 5, 9)])
+def test_links_of_close_fingerprints(spark, tile, radius, blocks):
     """Chains of small steps, groups beyond a tile among them."""
     rnd = random.Random(9)
     fps = []
@@ -313,8 +313,42 @@ def test_links_of_close_fingerprints(spark, tile):
                 f ^= 1 << rnd.randrange(64)
     fps = list(dict.fromkeys(fps))
     nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "node long, fp long")
-    found = {r["node"]: r["component"] for r in components(simhash.links(nodes, 2, tile)).collect()}
-    assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps)
+    found = {r["node"]: r["component"] for r in components(simhash.links(nodes, radius, tile, blocks)).collect()}
+    assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, radius)
+
+
+def test_groups_across_batches():
+    """Groups that go on from one batch to the next are seen whole, small and large ones."""
+    rnd = random.Random(3)
+    rows = sorted((rnd.randrange(3), rnd.randrange(4), rnd.randrange(2), 0, k, rnd.getrandbits(5)) for k in range(300))
+    rows += [(9, 0, 0, 0, 1000 + k, k) for k in range(40)] + [(9, 1, 0, 0, 2000, 0)]
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size])], names=list("abcdef")) for i in range(0, len(rows), size)]
+        got, seen = [], 0
+        for starts, _, node, fp in simhash._groups(batches):
+            seen += len(node)
+            for i, j in simhash.near_in_groups(starts, fp.view(np.uint64), 1):
+                got += zip(node[i].tolist(), node[j].tolist())
+        assert seen == len(rows) and list(simhash._groups([])) == []
+        by = {}
+        for *key, _, node, fp in rows:
+            by.setdefault(tuple(key), []).append((node, fp))
+        links = lambda own: {frozenset((a, b)) for a, x in own for b, y in own if a != b and (x ^ y).bit_count() <= 1}
+        want = {p for own in by.values() for p in links(own)}
+        got = {frozenset(p) for p in got}
+        small = {p for own in by.values() if len(own) <= simhash.SMALL for p in links(own)}
+        assert small <= got <= want
+        root = lambda pairs: {frozenset(c) for c in _classes(pairs)}
+        assert root(got) == root(want)
+
+
+def _classes(pairs):
+    of = {}
+    for p in pairs:
+        whole = set().union(p, *(of.get(x, ()) for x in p))
+        for x in whole:
+            of[x] = whole
+    return of.values()
 
 
 def test_components_of_a_long_path_and_a_star(spark):
