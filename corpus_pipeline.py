@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from segmill.llm import exact_dedup, language_id, packing, quality, queries, simhash
 from segmill.session import materialize, shared_dir
 
-#: A document goes if it has no letter, or if its likeliest language is less likely than this.
-LEAST_LANGUAGE = 0.3
-#: A document goes if its quality score is below this.
-LEAST_QUALITY = 0.3
+#: A document goes if it has no letter, or if its likeliest language is less likely than all others together.
+LEAST_LANGUAGE = 0.5
+#: A document goes if it is more likely bad than good.
+LEAST_QUALITY = 0.5
+#: Documents are near copies if their fingerprints differ in so many bits of 64 at most.
+NEAR_BITS = 6
 #: The column by which the verdict on a row finds it.
 KEY = "_row"
 
@@ -57,7 +59,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of linked fingerprints, that with the smallest id."""
     docs = _keyed(docs)
-    found = simhash.simhash_groups(docs, KEY)
+    found = simhash.simhash_groups(docs, KEY, radius=NEAR_BITS)
     return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
@@ -79,7 +81,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written and read again."""
+    """All stages over the documents; each stage's rows are written and read again.
+
+    No stage tells rows by doc_id alone: rows without one or with a repeated one are judged by their own
+    texts, so only texts that the stages reject or that have a copy go. Null texts have no letter and go
+    in the first stage; an empty table gives an empty result; other columns are carried to the last stage.
+    """
     docs = queries.table(spark, sf_dir, "documents")
     out = shared_dir(spark)
     for k, (name, stage) in enumerate(STAGES):
