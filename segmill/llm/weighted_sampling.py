@@ -48,11 +48,7 @@ class Sampler:
         self.seeds = mix(np.arange(1, samples + 1, dtype=np.uint64) * _MIX[2])
         self.words: dict[str, int] = {}
 
-    def hashes(self, text: str | None) -> np.ndarray:
-        """The hash of each shingle, repeats included."""
-        words = text.split() if text else []
-        if not words:
-            return np.array([EMPTY])
+    def word_hashes(self, words: list[str]) -> np.ndarray:
         got = list(map(self.words.get, words))
         if None in got:
             if len(self.words) > self.most:
@@ -63,7 +59,12 @@ class Sampler:
                     got[i] = h = xxhash.xxh64_intdigest(w.encode())
                     if len(w) <= 64:
                         self.words[w] = h
-        h = np.array(got, np.uint64)
+        return np.array(got, np.uint64)
+
+    def shingles(self, h: np.ndarray) -> np.ndarray:
+        """The hash of each shingle of these words, repeats included."""
+        if not len(h):
+            return np.array([EMPTY])
         n = min(self.shingle, len(h))
         out = mix(h[: len(h) - n + 1] + np.uint64(n))
         for k in range(1, n):
@@ -108,15 +109,19 @@ class Sampler:
             out.append((low, term, cell))
         return out
 
-    def weigh(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.hashes(text), return_counts=True)
+    def weigh(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.shingles(words), return_counts=True)
 
     def fingerprint(self, text: str | None) -> np.ndarray:
-        return self.signature([self.weigh(text)])[0][2]
-
-    def pair(self, text: str | None, edited: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Both fingerprints; what both texts have with the same weight is drawn once."""
-        a, b = self.weigh(text), self.weigh(edited)
+        return self.signature([self.weigh(self.word_hashes(text.split() if text else []))])[0][2]
+
+    def pair(self, text: str | None, edited: str | None, same: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Both fingerprints; what both texts have with the same weight is drawn once. Both begin with the
+        same characters, as many as `same`; of the words within these only the last may differ."""
+        first = self.word_hashes(text.split() if text else [])
+        k = max(0, len(text[:same].split()) - 1) if text else 0
+        second = np.concatenate([first[:k], self.word_hashes(edited.split()[k:] if edited else [])])
+        a, b = self.weigh(first), self.weigh(second)
         both = np.concatenate([a[0], b[0]])
         count = np.concatenate([a[1], b[1]])
         order = np.lexsort((count, both))
@@ -231,5 +236,5 @@ def _own(part, guest: int):
 def _edited(s: Sampler, doc: int | None, text: str, following: str) -> tuple[tuple, np.ndarray]:
     """The row but for its last column, and its fingerprint."""
     changed = edit(text, following)
-    own, other = s.pair(text, changed)
+    own, other = s.pair(text, changed, len(text) - len(text) // 4)
     return (doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), show(own), show(other), likeness(own, other)), own

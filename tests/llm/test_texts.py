@@ -408,3 +408,7 @@ def test_sampling_estimates_generalised_jaccard():
         assert abs(weighted_sampling.likeness(s.fingerprint(a), s.fingerprint(b)) - j) < 0.07
         both = s.pair(a, b)
         assert (both[0] == s.fingerprint(a)).all() and (both[1] == s.fingerprint(b)).all()
+    for a, following in (("one two three four five six", "7 8"), ("ab cd", "x y"), ("", "x"), (" a  b c d ", ""), ("word" * 9, "s t")):
+        b = weighted_sampling.edit(a, following)
+        both = s.pair(a, b, len(a) - len(a) // 4)
+        assert (both[0] == s.fingerprint(a)).all() and (both[1] == s.fingerprint(b)).all()
