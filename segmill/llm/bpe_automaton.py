@@ -9,7 +9,8 @@ path, as each pair of neighbours settles whether a token may follow another.
 Rows of the transition table would take states x tokens. So the gadgets are kept as they were made:
 what state a state was copied from and when, what arc it lost and when, and from which arc a token's
 arcs were made. An entry of the table is read from these and remembered. This needs memory in
-proportion to the merges only.
+proportion to the merges only. As every beginning of a word has one path as well, a word is encoded in
+one pass over its bytes, without search.
 """
 
 from __future__ import annotations
@@ -98,44 +99,36 @@ class Automaton:
         return got
 
     def encode(self, word: bytes) -> list[int]:
-        """The tokens on the word's only path. At each place the longest arcs are tried first; a place
-        without a way on is left and never entered again."""
-        n, at, state = len(word), 0, 0
-        path: list[int] = []
-        back: list[tuple[int, int, list[int]]] = []  # place, state and the arcs not yet tried
-        dead: set[tuple[int, int]] = set()
+        """The tokens on the word's only path. Each beginning of the word has just one path too, so one
+        pass from left to right finds the state and the last token at each place by entries of the table,
+        and ends once all places have theirs; the time is the word's length times the longest token's."""
+        n = len(word)
+        state, last = [-1] * (n + 1), [0] * (n + 1)
+        state[0], open_ = 0, n
         known, target, get = self.known, self.target, self.prefixes.get
-        while at < n:
-            arcs = []
-            end = at + 1
-            while (t := get(word[at:end])) is not None:
-                if t >= 0:
-                    arcs.append(t)
-                if end == n:
+        for at in range(n):
+            if (s := state[at]) < 0:
+                raise ValueError("no path: a byte has no token")
+            for end in range(at + 1, n + 1):
+                t = get(word[at:end])
+                if t is None:
                     break
-                end += 1
-            while True:
-                while arcs:
-                    t = arcs.pop()
-                    got = known.get(state << 20 | t)
+                if t >= 0 and state[end] < 0:  # a place has one path: what has its token needs no other
+                    got = known.get(s << 20 | t)
                     if got is None:
-                        got = self.follows(state, t)
+                        got = self.follows(s, t)
                     if got:
-                        nxt = at + len(self.labels[t])
-                        if not dead or (nxt, target[t]) not in dead:
-                            break
-                else:
-                    if not path:
-                        raise ValueError("no path: a byte has no token")
-                    dead.add((at, state))
-                    path.pop()
-                    at, state, arcs = back.pop()
-                    continue
+                        state[end], last[end] = target[t], t
+                        open_ -= 1
+            if not open_:
                 break
-            path.append(t)
-            back.append((at, state, arcs))
-            at, state = nxt, target[t]
-        return path
+        if state[n] < 0:
+            raise ValueError("no path: a byte has no token")
+        path = []
+        while n:
+            path.append(last[n])
+            n -= len(self.labels[last[n]])
+        return path[::-1]
 
 
 class Codec:
