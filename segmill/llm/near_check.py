@@ -1,0 +1,148 @@
+"""Exact check of near-duplicate groups: which of the linked documents really are near copies.
+
+Groups of linked fingerprints are candidates. Two documents of a group are near copies if their
+shingles of five words have a Jaccard similarity of 0.8 or more; documents that such links join, over
+others too, become one class.
+
+Groups of up to HEADS documents are compared within a task, each pair that isn't joined yet. Of a larger
+group the first HEADS documents that are like no earlier head are the heads of a round; all others, cut
+into salted parts, are compared with them and linked to one head of each class they belong to, until
+each document was a head or is like one. So no task holds a group and no pairs are listed. In these
+larger groups two classes are joined if a document is like heads of both; a link between two documents
+that are like different heads only isn't looked for.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from segmill.llm import common
+from segmill.llm.components import components
+from segmill.llm.simhash import LOWER, Forest
+from segmill.session import materialize, ship
+
+SHINGLE = 5
+LEAST = 0.8
+HEADS = 256
+
+
+def terms(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of the distinct shingles of words after lower-casing A-Z; fewer words than a shingle
+    are one term, no word gives none."""
+    words = text.encode().translate(LOWER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    some = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, some), np.uint64, len(some)))
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
+    """Whether the Jaccard similarity is at least so high; two texts without a term are alike."""
+    low, high = sorted((len(a), len(b)))
+    if low < least * high:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (low + high - both)
+
+
+def _heads(least: float, shingle: int):
+    """From rows (component_id, members, doc_id, text) sorted by the first and third: the rows with the
+    smallest id of their class as `head`. Only a component of one round, so HEADS rows at most, is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, forest = [], [], Forest(0)
+
+        def done() -> pa.RecordBatch:
+            cols = [*zip(*held), [held[forest.root(k)][2] for k in range(len(held))]]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["component_id", "members", "doc_id", "text", "head"])
+
+        for cols in common.by_bytes(batches, 3):
+            for row in zip(*cols):
+                if held and row[0] != held[-1][0]:
+                    yield done()
+                    held, own, forest = [], [], Forest(0)
+                k, t = len(held), terms(row[3], shingle)
+                forest.up.append(k)
+                for j, other in enumerate(own):
+                    if forest.root(j) != forest.root(k) and alike(t, other, least):
+                        forest.join(j, k)
+                held.append(row)
+                own.append(t)
+        if held:
+            yield done()
+
+    return run
+
+
+def _others(least: float, shingle: int):
+    """From rows (component_id, part, head, doc_id, text) sorted so that a part's heads come first: for
+    each other row one head of each class among the heads that it is like, as links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, own, up = None, [], [], []
+        for cols in common.by_bytes(batches, 4):
+            out = []
+            for component, part, head, doc, text in zip(*cols):
+                if (component, part) != now:
+                    now, ids, own, up = (component, part), [], [], []
+                t = terms(text, shingle)
+                if head is not None:
+                    ids.append(doc)
+                    own.append(t)
+                    up.append(head)
+                    continue
+                seen, links = set(), []
+                for j, other in enumerate(own):
+                    if up[j] not in seen and alike(t, other, least):
+                        seen.add(up[j])
+                        links.append(ids[j])
+                out.append((doc, links))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.list_(pa.int64())])], names=["doc_id", "links"])
+
+    return run
+
+
+def copies(df: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, heads: int = HEADS) -> DataFrame:
+    """doc_id of each document but the smallest of its class, given (doc_id, component_id) of all.
+
+    Each row needs an id of its own. Null and empty texts are alike. Rows without a component and
+    groups of one row have no copies; an empty table gives none; other columns are ignored.
+    """
+    ship(df.sparkSession)
+    many = common.with_least(groups.select("doc_id", "component_id"), ["component_id"], "doc_id", "doc_id").filter("members > 1")
+    docs = common.pick(df, doc_id=id_col, text=text_col)
+    rows = materialize(docs.join(many, "doc_id").select("component_id", "members", "doc_id", "text"))
+    open_ = rows
+    linked = "doc_id long, links array<long>"
+    found = []
+    while True:
+        rank = F.row_number().over(Window.partitionBy("component_id").orderBy("doc_id"))
+        first = open_.withColumn("rank", rank).filter(F.col("rank") <= heads).drop("rank").sortWithinPartitions("component_id", "doc_id")
+        first = materialize(first.mapInArrow(_heads(least, shingle), "component_id long, members long, doc_id long, text string, head long"))
+        found.append(first.select("doc_id", F.array("head").alias("links")))
+        open_ = open_.filter(F.col("members") > heads)
+        if not open_.head(1):
+            break
+        # All rows of the large groups that are still open somewhere, but for the heads themselves.
+        part = common.salt("doc_id").alias("part")
+        led = first.filter(F.col("members") > heads)
+        rest = rows.filter(F.col("members") > heads).join(led.select("doc_id"), "doc_id", "left_anti").join(led.select("component_id").distinct(), "component_id", "left_semi")
+        rest = rest.select("component_id", part, F.lit(None).cast("long").alias("head"), "doc_id", "text")
+        parts = rest.select("component_id", "part").distinct()
+        dealt = rest.union(led.join(parts, "component_id").select("component_id", "part", "head", "doc_id", "text")).repartition("component_id", "part")
+        judged = materialize(dealt.sortWithinPartitions("component_id", "part", F.col("head").isNull(), "doc_id").mapInArrow(_others(least, shingle), linked))
+        found.append(judged)
+        shut = judged.filter(F.size("links") > 0).select("doc_id").union(led.select("doc_id"))
+        open_ = materialize(open_.join(shut, "doc_id", "left_anti"))
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    return components(links.select(F.col("doc_id").alias("a"), F.explode("links").alias("b"))).filter("node <> component").select(F.col("node").alias("doc_id"))

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from segmill.llm import bpe_automaton, exact_dedup, packing, queries, simhash, token_counts, vocab, weighted_sampling
+from segmill.llm import bpe_automaton, exact_dedup, near_check, packing, queries, simhash, token_counts, vocab, weighted_sampling
 from segmill.llm.components import components
 from tests.llm.conftest import ROWS, docs, empty
 
@@ -412,3 +412,54 @@ def test_sampling_estimates_generalised_jaccard():
         b = weighted_sampling.edit(a, following)
         both = s.pair(a, b, len(a) - len(a) // 4)
         assert (both[0] == s.fingerprint(a)).all() and (both[1] == s.fingerprint(b)).all()
+
+
+@pytest.mark.parametrize("heads", [12, 256])
+def test_near_copies_against_brute_force(spark, heads):
+    """Groups larger and smaller than a round of heads; a class has one row that stays."""
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = []
+    for g in range(6):
+        base = [rnd.choice(words) for _ in range(90)]
+        for k in range(9 if g else 14):
+            w = list(base)
+            for _ in range(rnd.choice([0, 1, 1, 2, 7]) if k else 0):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            texts.append((g // 2, " ".join(w)))  # two unlike families share each component
+    texts += [(7, ""), (7, None), (7, "lone words"), (8, "x"), (None, "x")]
+    order = rnd.sample(range(len(texts)), len(texts))
+    rows = [(i, *texts[k]) for i, k in enumerate(order)]
+    df = spark.createDataFrame([(i, t, "z") for i, _, t in rows], "doc_id long, text string, component_id string")
+    groups = spark.createDataFrame([(i, c) for i, c, _ in rows], "doc_id long, component_id long")
+    gone = {r["doc_id"] for r in near_check.copies(df, groups, heads=heads).collect()}
+
+    def sh(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [sh(t) for _, _, t in rows]
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    up = list(range(len(rows)))
+
+    def root(i):
+        return i if up[i] == i else root(up[i])
+
+    for i, (_, c, _) in enumerate(rows):
+        for j in range(i):
+            if c is not None and c == rows[j][1] and near(sets[i], sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    want = {i for i in range(len(rows)) if root(i) != i}
+    assert 15 < len(want) < len(rows) - 12
+    if heads == 256:
+        assert gone == want
+    else:  # every row that stays is unlike all smaller heads, and what goes belongs to a class
+        assert gone <= want and len(want - gone) <= 2
+
+
+def test_near_copies_of_nothing(spark):
+    groups = spark.createDataFrame([], "doc_id long, component_id long")
+    assert near_check.copies(empty(spark), groups).count() == 0
+    two = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "doc_id long, component_id long")
+    same = spark.createDataFrame([(1, None), (2, ""), (3, "")], "doc_id long, text string")
+    assert [r["doc_id"] for r in near_check.copies(same, two).collect()] == [2]
