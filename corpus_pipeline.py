@@ -12,15 +12,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import exact_dedup, language_id, packing, quality, queries, simhash
+from segmill.llm import exact_dedup, language_id, near_check, packing, quality, queries, simhash
 from segmill.session import materialize, shared_dir
 
 #: A document goes if it has no letter, or if its likeliest language is less likely than all others together.
 LEAST_LANGUAGE = 0.5
 #: A document goes if it is more likely bad than good.
 LEAST_QUALITY = 0.5
-#: Documents are near copies if their fingerprints differ in so many bits of 64 at most.
-NEAR_BITS = 6
+#: Documents may be near copies if their fingerprints over so many words differ in so many bits of 64 at
+#: most; they are if their shingles of five words have a similarity of 0.8 or more (near_check).
+NEAR_WORDS = 2
+NEAR_BITS = 7
 #: The column by which the verdict on a row finds it.
 KEY = "_row"
 
@@ -42,9 +44,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key of their own, in the order of doc_id, nulls last. A doc_id that no row repeats is
-    the key; else rows are numbered, and written so that verdicts and rows come from one numbering."""
-    if not docs.groupBy("doc_id").count().filter("count > 1").head(1):
+    """Rows with a key of their own, in the order of doc_id, nulls last. A doc_id that no row repeats or
+    lacks is the key; else rows are numbered, and written so that verdicts and rows come from one numbering."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").head(1):
         return docs.withColumn(KEY, F.col("doc_id"))
     at = docs.withColumn(KEY, F.monotonically_increasing_id())  # parts a repeated doc_id among tasks
     return materialize(at.orderBy(F.col("doc_id").asc_nulls_last(), KEY).withColumn(KEY, F.monotonically_increasing_id()))
@@ -57,10 +59,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, that with the smallest id."""
+    """One document of each class of near copies among linked fingerprints, that with the smallest id."""
     docs = _keyed(docs)
-    found = simhash.simhash_groups(docs, KEY, radius=NEAR_BITS)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    found = materialize(simhash.simhash_groups(docs, KEY, shingle=NEAR_WORDS, radius=NEAR_BITS))
+    gone = near_check.copies(docs, found, KEY)
+    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col(KEY) == F.col("_gone"), "left_anti").drop(KEY)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
