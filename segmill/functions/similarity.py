@@ -2,87 +2,166 @@
 
 The score of two strings is 200 LCS / (length + length), LCS being the longest common subsequence;
 the partial score is the best score of the shorter string with any window of the longer one: windows
-of its own length, and shorter ones at both ends. LCS lengths come from a bit-parallel recurrence
-over Python's long integers. Windows are pruned without loss by counts of shared characters, which
-bound the LCS.
+of its own length, and shorter ones at both ends.
+
+Windows are found by bounds, for all pairs of a batch together. Windows that begin within a block of
+places lie within one stretch of the text, and the LCS with that stretch bounds theirs. Blocks that
+can't reach the best score so far are dropped, the others are halved until they are single windows;
+of each pair's most promising block one window is scored at each turn, which raises its best. Before
+the first LCS, counts of shared characters bound it.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 from segmill import schema
+from segmill.functions.lcs import Masks, lcs_lengths, word_class
+
+#: Characters of long texts that are encoded at once.
+BATCH_CHARS = 1 << 22
+
+
+def _chars(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _best_ratio(most: np.ndarray, n: np.ndarray, least_size: np.ndarray, most_size: np.ndarray) -> np.ndarray:
+    """The best score, of 2, of windows with sizes between the two if their LCS is `most` at most."""
+    size = np.clip(most, least_size, most_size)
+    return 2.0 * np.minimum(most, size) / (n + size)
+
+
+class _Blocks:
+    """Blocks of window starts [x, x + span) of pairs; a window of start x is [max(x, 0), min(x + n, m))."""
+
+    def __init__(self, pair: np.ndarray, x: np.ndarray, last: np.ndarray, n: np.ndarray, m: np.ndarray):
+        self.pair, self.x, self.last, self.n, self.m = pair, x, last, n[pair], m[pair]  # last: of the block's starts
+
+    def stretch(self) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.maximum(self.x, 0)
+        return begin, np.minimum(self.last + self.n, self.m) - begin
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest size of the windows: sizes rise, stay at n and fall."""
+        first, end = (np.minimum(x + self.n, self.m) - np.maximum(x, 0) for x in (self.x, self.last))
+        inner = np.minimum(self.n, self.m)
+        whole = (self.x <= 0) & (self.last >= 0) | (self.x <= self.m - self.n) & (self.last >= self.m - self.n) | (first == inner)
+        return np.minimum(first, end), np.where(whole, inner, np.maximum(first, end))
+
+
+def _scan(masks: Masks, which: np.ndarray, longs: list[np.ndarray], n: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Best scores, of 1, of pairs of text which[k] (n[k] characters) with longs[k]; 0 where it is below least[k]."""
+    m = np.array([len(x) for x in longs], np.int64)
+    at = np.cumsum(m) - m
+    codes = np.concatenate([masks.codes(k, x) for k, x in zip(which.tolist(), longs)])
+    best, hit = least.astype(np.float64).copy(), np.zeros(len(n), bool)
+
+    def lcs_of(blocks: _Blocks) -> np.ndarray:
+        begin, size = blocks.stretch()
+        return lcs_lengths(masks, codes, at[blocks.pair] + begin, size)
+
+    def may(bound: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        return np.where(hit[pair], bound > best[pair], bound >= best[pair])
+
+    # Sizes below `short` can't reach the least score even if all of the window is shared.
+    short = np.maximum(np.ceil(least * n / np.maximum(2 - least, 1e-9) - 1e-9).astype(np.int64), 1)
+    span = np.maximum(n // 2, 1)
+    low, high = short - n, m - short
+    count = np.maximum(-(-(high - low + 1) // span), 0)
+    pair = np.repeat(np.arange(len(n)), count)
+    x = low[pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)) * span[pair]
+    blocks = _Blocks(pair, x, np.minimum(x + span[pair] - 1, high[pair]), n, m)
+    shared = _shared(masks, which, codes, at, blocks)
+    bound = _best_ratio(shared, blocks.n, *blocks.sizes())
+    while len(blocks.pair):
+        left = may(bound, blocks.pair)
+        blocks = _Blocks(blocks.pair[left], blocks.x[left], blocks.last[left], n, m)
+        most = lcs_of(blocks)
+        bound = _best_ratio(most, blocks.n, *blocks.sizes())
+        single = blocks.x == blocks.last
+        np.maximum.at(best, blocks.pair[single], np.where(may(bound, blocks.pair), bound, 0)[single])
+        hit[blocks.pair[single & (bound >= best[blocks.pair])]] = True
+        left = np.flatnonzero(~single & may(bound, blocks.pair))
+        if not len(left):
+            break
+        # The middle window of each pair's best block.
+        order = left[np.lexsort((-bound[left], blocks.pair[left]))]
+        top = order[np.append(True, blocks.pair[order][1:] != blocks.pair[order][:-1])]
+        middle = (blocks.x[top] + blocks.last[top]) // 2
+        probe = _Blocks(blocks.pair[top], middle, middle, n, m)
+        got = _best_ratio(lcs_of(probe), probe.n, *probe.sizes())
+        better = may(got, probe.pair)
+        best[probe.pair[better]], hit[probe.pair[better]] = got[better], True
+        left = left[may(bound[left], blocks.pair[left])]
+        half = (blocks.x[left] + blocks.last[left]) // 2
+        pair = np.repeat(blocks.pair[left], 2)
+        x = np.stack([blocks.x[left], half + 1], 1).ravel()
+        last = np.stack([half, blocks.last[left]], 1).ravel()
+        bound = np.repeat(bound[left], 2)
+        blocks = _Blocks(pair, x, last, n, m)
+    return np.where(hit, best, 0.0)
+
+
+def _shared(masks: Masks, which: np.ndarray, codes: np.ndarray, at: np.ndarray, blocks: _Blocks) -> np.ndarray:
+    """How many characters, counted with repeats, a block's stretch shares with its text."""
+    begin, size = blocks.stretch()
+    begin = begin + at[blocks.pair]
+    held = np.bitwise_count(masks.table).sum(0, dtype=np.int64)  # how often its text has the character of a row
+    out = np.zeros(len(size), np.int64)
+    width = np.diff(masks.first)[which[blocks.pair]]
+    low = np.array(masks.first)[which[blocks.pair]]
+    i = 0
+    while i < len(size):
+        j = i + max(1, int(np.searchsorted(np.cumsum(size[i:] + width[i:]), BATCH_CHARS)))
+        base = np.cumsum(width[i:j]) - width[i:j]
+        place = np.repeat(begin[i:j] - np.cumsum(size[i:j]) + size[i:j], size[i:j]) + np.arange(size[i:j].sum())
+        counts = np.bincount(np.repeat(base - low[i:j], size[i:j]) + codes[place], minlength=int(width[i:j].sum()))
+        rows = np.repeat(low[i:j] - base, width[i:j]) + np.arange(len(counts))
+        out[i:j] = np.add.reduceat(np.minimum(counts, held[rows]), base)
+        i = j
+    return out
 
 
-def lcs(masks: dict[str, int], n: int, b: str) -> int:
-    """LCS length of the string that the masks describe with b."""
-    full = (1 << n) - 1
-    s = full
-    get = masks.get
-    for c in b:
-        u = s & get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return n - s.bit_count()
-
-
-def char_masks(a: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, c in enumerate(a):
-        out[c] = out.get(c, 0) | 1 << i
+def partial_ratios(a: list[str], b: list[str], least: float | np.ndarray = 0.0) -> np.ndarray:
+    """The score of each pair; where it is below `least`, 0."""
+    bound = np.broadcast_to(np.asarray(least, np.float64), (len(a),))
+    out = np.zeros(len(a), np.float64)
+    by_words: dict[int, list[tuple[int, str, str]]] = defaultdict(list)
+    for k, (x, y) in enumerate(zip(a, b)):
+        if len(x) > len(y):
+            x, y = y, x
+        if not x:
+            out[k] = 0.0 if y else 100.0
+        elif x in y:
+            out[k] = 100.0
+        else:
+            by_words[word_class(len(x))].append((k, x, y))
+    for words, rows in by_words.items():
+        i = 0
+        while i < len(rows):
+            j, chars = i, 0
+            while j < len(rows) and (j == i or chars + len(rows[j][2]) <= BATCH_CHARS):
+                chars += len(rows[j][2])
+                j += 1
+            some, i = rows[i:j], j
+            names = {x: n for n, x in enumerate(dict.fromkeys(x for _, x, _ in some))}
+            texts = {y: _chars(y) for y in dict.fromkeys(y for _, _, y in some)}
+            masks = Masks([_chars(x) for x in names], words)
+            ks = np.array([k for k, _, _ in some])
+            n = np.array([len(x) for _, x, _ in some], np.int64)
+            out[ks] = 100.0 * _scan(masks, np.array([names[x] for _, x, _ in some]), [texts[y] for _, _, y in some], n, bound[ks] / 100.0)
     return out
 
 
 def partial_ratio(a: str, b: str, least: float = 0.0) -> float:
-    """The best score; below `least` any value below it may be returned (0), which prunes more."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 100.0 if not b else 0.0
-    if a in b:
-        return 100.0
-    n, masks, want = len(a), char_masks(a), Counter(a)
-    best = least / 100.0
-    hit = False
-    have: Counter[str] = Counter()
-    shared = 0
-
-    def add(c: str) -> None:
-        nonlocal shared
-        have[c] += 1
-        shared += have[c] <= want[c]
-
-    def drop(c: str) -> None:
-        nonlocal shared
-        shared -= have[c] <= want[c]
-        have[c] -= 1
-
-    # Windows end at each place; at the end of b they shrink from the left. One step adds at most one
-    # to the LCS, so after a window the next ones that can't reach the best are passed over.
-    most = 0
-    for end in range(1, len(b) + n):
-        if end <= len(b):
-            add(b[end - 1])
-        lo = end - n
-        if lo > 0:
-            drop(b[lo - 1])
-        size = min(end, len(b)) - max(lo, 0)
-        if size <= 0:
-            break
-        most = min(most + 1, shared, size)
-        bound = 2.0 * most / (n + size)
-        if bound < best or (hit and bound <= best):
-            continue
-        most = lcs(masks, n, b[max(lo, 0) : min(end, len(b))])
-        got = 2.0 * most / (n + size)
-        if got > best or (got == best and not hit):
-            best, hit = got, True
-            if best >= 1.0:
-                break
-    return 100.0 * best if hit else 0.0
+    """The score of one pair."""
+    return float(partial_ratios([a], [b], least)[0])
 
 
 def windowed_score(short: str, long: str, least: float = schema.MATCH_SCORE) -> float:
@@ -101,28 +180,29 @@ def windowed_score(short: str, long: str, least: float = schema.MATCH_SCORE) ->
     return best
 
 
+def _scores(a: pd.Series, b: pd.Series, least: float | np.ndarray) -> pd.Series:
+    """Of each row; null and empty texts score 0."""
+    some = np.flatnonzero([bool(x) and bool(y) for x, y in zip(a, b)])
+    out = np.zeros(len(a))
+    bound = np.broadcast_to(np.asarray(least, np.float64), (len(a),))
+    out[some] = partial_ratios([a.iat[k].lower() for k in some], [b.iat[k].lower() for k in some], bound[some])
+    return pd.Series(out)
+
+
 def partial_ratio_udf(least: float = 0.0):
     @pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(x.lower(), y.lower(), least) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+        return _scores(a, b, least)
 
     return score
 
 
 def partial_ratio_from_udf():
-    """Like partial_ratio_udf with the least score of each row; null texts score 0."""
+    """Like partial_ratio_udf with the least score of each row."""
 
     @pandas_udf("double")
     def score(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(x.lower(), y.lower(), z) if x and y else 0.0 for x, y, z in zip(a, b, least)], dtype="float64")
-
-    return score
-
-
-def windowed_score_udf(least: float = schema.MATCH_SCORE):
-    @pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([windowed_score(x, y, least) if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+        return _scores(a, b, least.fillna(0.0).to_numpy())
 
     return score
 

@@ -1,8 +1,8 @@
 """Linking shorts to longs and to segments by fuzzy text.
 
 Scores come from an Arrow UDF after an equi-join on the creator (or on the long that captions
-matched), never from a cross join. The candidate step is lossless: one edit destroys at most two of
-a text's bigrams, so a score of 80 leaves a known number of them.
+matched), never from a cross join. The UDF scores a batch of pairs together and leaves out, without
+loss, what bounds on the LCS exclude.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill import schema
-from segmill.functions.similarity import partial_ratio_from_udf, partial_ratio_udf, windowed_score_udf
+from segmill.functions.similarity import partial_ratio_from_udf, partial_ratio_udf
 from segmill.functions.text import let, tokens
 from segmill.session import ship
 
@@ -90,13 +90,37 @@ def contains_match(short: DataFrame, long: DataFrame, words: int = 8) -> DataFra
     return found.filter(F.contains(F.col("long_text"), F.col("short_text"))).select("short_id", "long_id").distinct()
 
 
+#: Pairs of a creator's shorts and windows that one task scores.
+PAIRS = 4096
+
+
+def creator_pairs(shorts: DataFrame, windows: DataFrame, by: str, pairs: int = PAIRS) -> DataFrame:
+    """All pairs of a short with a window of the same creator.
+
+    A creator with more than `pairs` of them has its shorts dealt out over as many parts as that takes,
+    each of which meets all its windows, so no task scores a hot creator alone.
+    """
+    n_s, n_w = shorts.groupBy(by).agg(F.count(F.lit(1)).alias("_a")), windows.groupBy(by).agg(F.count(F.lit(1)).alias("_b"))
+    cuts = n_s.join(n_w, by).select(by, F.ceil(F.col("_a") * F.col("_b") / F.lit(float(pairs))).alias("_cuts"))
+    s = shorts.join(cuts, by).withColumn("_part", F.pmod(F.xxhash64("short_id"), F.col("_cuts"))).drop("_cuts")
+    w = windows.join(cuts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1))).drop("_cuts")
+    # Scoring costs far more than the bytes tell, so small partitions are not to be merged.
+    n = int(shorts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return s.repartition(n, by, "_part").join(w.repartition(n, by, "_part"), [by, "_part"]).drop("_part")
+
+
 def caption_scores(shorts: DataFrame, longs: DataFrame, by: str = "creator_id", least: float = schema.MATCH_SCORE) -> DataFrame:
-    """(by, short_id, long_id, score) of all pairs of a creator that may reach `least`."""
+    """(by, short_id, long_id, short_pos, long_pos, score) of all pairs of a creator that reach `least`.
+
+    Each window of a long is scored on its own, exactly if it reaches `least`; the first one that does
+    gives the pair's score. Shorts below 20 characters and longs up to 100 take no part.
+    """
     ship(shorts.sparkSession)
-    s = shorts.filter(F.length("text") >= 20).select(by, "short_id", F.col("text").alias("_s"), F.col("pos").alias("short_pos"))
-    t = longs.filter(F.length("text") > 100).select(by, "long_id", F.col("text").alias("_t"), F.col("pos").alias("long_pos"))
-    near = s.join(t, by).filter(may_match(F.col("_s"), F.col("_t"), least))
-    return near.withColumn("score", windowed_score_udf(least)(F.col("_s"), F.col("_t"))).drop("_s", "_t")
+    s = shorts.filter(F.length("text") >= 20).select(by, "short_id", F.lower("text").alias("_s"), F.col("pos").alias("short_pos"))
+    t = longs.filter(F.length("text") > 100).select(by, "long_id", F.lower("text").alias("_t"), F.col("pos").alias("long_pos"))
+    w = t.select(by, "long_id", "long_pos", F.explode(window_chunks(F.col("_t"))).alias("_w")).select(by, "long_id", "long_pos", F.col("_w.start").alias("_start"), F.col("_w.text").alias("_w"))
+    scored = creator_pairs(s, w, by).withColumn("score", partial_ratio_udf(least)(F.col("_s"), F.col("_w"))).filter(F.col("score") >= least)
+    return scored.groupBy(by, "short_id", "long_id", "short_pos", "long_pos").agg(F.min_by("score", "_start").alias("score"))
 
 
 def greedy_assign(scores: DataFrame, by: str = "creator_id", capacity: int = schema.MAX_PAIRS_PER_LONG, least: float = schema.MATCH_SCORE) -> DataFrame:

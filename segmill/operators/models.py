@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill import schema
 from segmill.functions.scalar import rule_score
-from segmill.operators import metrics, stats
+from segmill.operators import boosting, metrics, splits, stats
 
 SCORE_COLUMNS = ["model", "seed", "split", "video_id", "segment_id", "y", "score"]
 
@@ -51,17 +51,16 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
 
 
-def _weighted(train: DataFrame, balanced: bool) -> DataFrame:
+def _balanced(train: DataFrame) -> DataFrame:
     r = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
     n, p = max(r["n"], 1), max(r["p"], 1)
-    pos, neg = ((n + p) / (2 * p), (n + p) / (2 * n)) if balanced else (n / p, 1.0)
-    return train.withColumn("_w", F.when(F.col("label") == 1, pos).otherwise(neg))
+    return train.withColumn("_w", F.when(F.col("label") == 1, (n + p) / (2 * p)).otherwise((n + p) / (2 * n)))
 
 
 def random_forest(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), trees: int = 100, depth: int = 20, name: str = "random_forest"):
     """L4: (scores of all splits, importances) for each seed; balanced weights, depth up to 30."""
     x = _vectors(df, columns)
-    train = _weighted(x.filter("split = 'train'"), True).persist()
+    train = _balanced(x.filter("split = 'train'")).persist()
     scores, weights = None, []
     for s in seeds:
         m = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="_w", numTrees=trees, maxDepth=depth, seed=s).fit(train)
@@ -72,25 +71,42 @@ def random_forest(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (0
     return scores, df.sparkSession.createDataFrame(weights, "seed int, importance array<double>")
 
 
-def boosted_trees(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), rounds: int = 200, depth: int = 6, rate: float = 0.1, name: str = "boosted"):
-    """Boosting that stops by the loss on the validation split; positives weigh negatives / positives."""
-    x = _vectors(df, columns)
-    train = _weighted(x.filter("split <> 'test'"), False).withColumn("_val", F.col("split") == "val").persist()
-    scores, weights = None, []
-    for s in seeds:
-        m = GBTClassifier(
-            featuresCol="_x", labelCol="label", weightCol="_w", validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth, stepSize=rate, validationTol=1e-4, seed=s
-        ).fit(train)
-        one = _scores(m.transform(x), name, s, vector_to_array("probability")[1])
-        scores = one if scores is None else scores.union(one)
-        weights.append((s, [float(v) for v in m.featureImportances.toArray()]))
-    train.unpersist()
-    return scores, df.sparkSession.createDataFrame(weights, "seed int, importance array<double>")
+def boosted_runs(
+    df: DataFrame, runs: dict[str, list[str]], where: dict[str, Column] | None = None, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), params: boosting.Params = boosting.Params()
+) -> tuple[DataFrame, boosting.Study]:
+    """L5 for several sets of columns, or parts of the training rows, in the same jobs. Growing draws
+    nothing at random, so every seed has the same scores."""
+    study = boosting.boost(df, runs, where, params)
+    s = study.scores().withColumn("seed", F.explode(F.array(*[F.lit(k) for k in seeds])))
+    return s.select("model", "seed", "split", "video_id", "segment_id", "y", "score"), study
+
+
+def boosted_trees(
+    df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), rounds: int = 200, depth: int = 6, rate: float = 0.1, patience: int = 20, name: str = "boosted"
+) -> tuple[DataFrame, DataFrame]:
+    """Boosting that stops by the area under precision by recall on the validation split; positives weigh
+    negatives / positives. (scores of all splits, importances) for each seed."""
+    scores, study = boosted_runs(df, {name: columns}, None, seeds, boosting.Params(rounds, depth, rate, patience))
+    own = study.importance(study.models[0])
+    return scores, df.sparkSession.createDataFrame([(s, own) for s in seeds], "seed int, importance array<double>")
 
 
 Learner = Callable[..., tuple[DataFrame, DataFrame]]
 
 
+def _all_runs(df: DataFrame, runs: dict[str, list[str]], where: dict[str, Column], learner: Learner, how: dict) -> DataFrame:
+    """Scores of every run: boosting grows them together, other learners one after the other."""
+    if learner is boosted_trees:
+        settings = {k: how[k] for k in boosting.Params._fields if k in how}
+        return boosted_runs(df, runs, where, params=boosting.Params(**settings), **{k: v for k, v in how.items() if k not in settings})[0]
+    scores = None
+    for name, columns in runs.items():
+        some = df.filter((F.col("split") != "train") | where[name]) if name in where else df
+        one, _ = learner(some, columns, name=name, **how)
+        scores = one if scores is None else scores.union(one)
+    return scores
+
+
 def ablation(df: DataFrame, groups: dict[str, list[str]], learner: Learner, **how) -> DataFrame:
     """Without each group and with it alone, against all features: mean AUC, its difference and the
     paired test. The scores of all runs are evaluated in one pass."""
@@ -98,10 +114,7 @@ def ablation(df: DataFrame, groups: dict[str, list[str]], learner: Learner, **ho
     runs = {"baseline": every}
     runs |= {f"without:{k}": [c for c in every if c not in g] for k, g in groups.items() if len(groups) > 1}
     runs |= {f"only:{k}": g for k, g in groups.items()}
-    scores = None
-    for name, columns in runs.items():
-        one, _ = learner(df, columns, name=name, **how)
-        scores = one if scores is None else scores.union(one)
+    scores = _all_runs(df, runs, {}, learner, how)
     auc = metrics.auc(scores.filter("split = 'test'"), ["model", "seed"]).select("model", "seed", F.col("auc_roc").alias("value"))
     base = auc.filter("model = 'baseline'").select("seed", F.col("value").alias("a"))
     pairs = auc.filter("model <> 'baseline'").join(base, "seed").select("model", "seed", "a", F.col("value").alias("b"))
@@ -113,14 +126,10 @@ def ablation(df: DataFrame, groups: dict[str, list[str]], learner: Learner, **ho
 
 def learning_curve(df: DataFrame, columns: list[str], fractions: tuple[float, ...], learner: Learner, **how) -> DataFrame:
     """Test AUC by the share of training groups."""
-    from segmill.operators.splits import fraction_of_groups
-
-    out = None
-    for f in fractions:
-        some = fraction_of_groups(df.filter("split = 'train'"), f).union(df.filter("split <> 'train'"))
-        scores, _ = learner(some, columns, **how)
-        n = some.filter("split = 'train'").agg(F.sum("label")).first()[0]
-        one = metrics.auc(scores.filter("split = 'test'"), ["model", "seed"]).groupBy("model").agg(F.avg("auc_roc").alias("auc"), F.coalesce(F.stddev_samp("auc_roc"), F.lit(0.0)).alias("auc_std"))
-        one = one.withColumn("fraction", F.lit(f)).withColumn("n_positives", F.lit(int(n or 0)))
-        out = one if out is None else out.union(one)
-    return out
+    where = {str(f): splits.in_fraction(f) for f in fractions}
+    scores = _all_runs(df, {str(f): columns for f in fractions}, where, learner, how)
+    n = df.filter("split = 'train'").agg(*[F.coalesce(F.sum(F.when(w, F.col("label"))), F.lit(0)).cast("int").alias(f) for f, w in where.items()])
+    n = n.select(F.explode(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.col(f"`{f}`").alias("n_positives")) for f in where])).alias("x")).select("x.*")
+    auc = metrics.auc(scores.filter("split = 'test'"), ["model", "seed"]).groupBy(F.col("model").cast("double").alias("fraction"))
+    each = auc.agg(F.avg("auc_roc").alias("auc"), F.coalesce(F.stddev_samp("auc_roc"), F.lit(0.0)).alias("auc_std"))
+    return each.join(n, "fraction").select(F.lit(how.get("name", learner.__name__)).alias("model"), "auc", "auc_std", "fraction", "n_positives")

@@ -104,6 +104,11 @@ def with_transcripts(splits: DataFrame, transcripts: DataFrame, key: str = "segm
     return splits.join(t, key, "left").withColumn("text", F.coalesce("_text", F.lit(""))).drop("_text")
 
 
+def in_fraction(fraction: float, group: str = "video_id", seed: int = 42) -> Column:
+    """Whether a group is in a share of the groups; larger shares contain the smaller ones."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(10_000)) < int(fraction * 10_000)
+
+
 def fraction_of_groups(df: DataFrame, fraction: float, group: str = "video_id", seed: int = 42) -> DataFrame:
-    """The training rows of a share of the groups; larger shares contain the smaller ones."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(10_000)) < int(fraction * 10_000))
+    """The training rows of a share of the groups."""
+    return df.filter(in_fraction(fraction, group, seed))

@@ -691,11 +691,11 @@ def contains_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _match_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """By conversation: an edited copy of the shortest turn as the short, all turns as longs."""
-    t = tables.turns(spark, sf).select(F.col("video_id").alias("creator_id"), (F.col("video_id") * 1000 + F.col("segment_index")).alias("long_id"), "text")
-    s = t.groupBy("creator_id").agg(F.min_by(F.struct("long_id", "text"), F.struct(F.length("text"), "long_id")).alias("x"))
-    edited = F.regexp_replace(F.regexp_replace("x.text", "ing\\b", "ed"), " (the|of) ", " ")
-    return s.select("creator_id", F.col("x.long_id").alias("short_id"), F.col("x.long_id").alias("pos"), edited.alias("text")), t.withColumn("pos", F.col("long_id"))
+    """By conversation: edited copies of all turns as shorts, all turns as longs."""
+    t = tables.turns(spark, sf).select(F.col("video_id").alias("creator_id"), F.struct(F.col("video_id"), F.col("segment_index")).alias("x"), "text")
+    t = t.select("creator_id", F.concat_ws("-", "x.video_id", "x.segment_index").alias("long_id"), F.col("x.segment_index").alias("pos"), "text")
+    edited = F.regexp_replace(F.regexp_replace("text", "ing\\b", "ed"), " (the|of) ", " ")
+    return t.select("creator_id", F.col("long_id").alias("short_id"), "pos", edited.alias("text")), t
 
 
 @query()
@@ -804,7 +804,9 @@ def _model_table(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("segment_id", "video_id", "split", "label", *[c for c in schema.FEATURE_COLUMNS if c in x.columns])
 
 
-FOREST = ["word_count", "words_per_second", "position_ratio", "is_intro", "is_outro"]
+def _features(x: DataFrame) -> list[str]:
+    """All feature columns there are: the other groups need external extractors or the creators' table."""
+    return [c for c in schema.FEATURE_COLUMNS if c in x.columns]
 
 
 @query()
@@ -824,14 +826,16 @@ def random_baseline(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def rf_scores(spark: SparkSession, sf: str) -> DataFrame:
     """L4, L8."""
-    s, _ = models.random_forest(_model_table(spark, sf), FOREST)
+    x = _model_table(spark, sf)
+    s, _ = models.random_forest(x, _features(x))
     return s
 
 
 @query()
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     """L5."""
-    s, _ = models.boosted_trees(_model_table(spark, sf), FOREST)
+    x = _model_table(spark, sf)
+    s, _ = models.boosted_trees(x, _features(x))
     return s
 
 
@@ -840,13 +844,14 @@ def ablation(spark: SparkSession, sf: str) -> DataFrame:
     """M11 with the feature groups that need no external extractor."""
     x = _model_table(spark, sf)
     groups = {g: own for g, columns in schema.GROUPS.items() if (own := [c for c in columns if c in x.columns])}
-    return models.ablation(x, groups, models.random_forest)
+    return models.ablation(x, groups, models.boosted_trees)
 
 
 @query()
 def learning_curve(spark: SparkSession, sf: str) -> DataFrame:
     """M14."""
-    return models.learning_curve(_model_table(spark, sf), FOREST, (0.2, 0.4, 0.6, 0.8, 1.0), models.random_forest)
+    x = _model_table(spark, sf)
+    return models.learning_curve(x, _features(x), (0.2, 0.4, 0.6, 0.8, 1.0), models.boosted_trees)
 
 
 from segmill.plans import storage  # noqa: E402, F401 - registers the queries over sources, sinks and reports
