@@ -193,6 +193,8 @@ def cluster_links(starts: np.ndarray, regs: np.ndarray, n: np.ndarray, percent:
         for i in range(b - a - 1):
             left = labels.apart(i, np.arange(i + 1, b - a))
             if not len(left):
+                if not i:
+                    break
                 continue
             for j in _near(regs[a:b], n[a:b], i, left, percent).tolist():
                 if labels.of[i] != labels.of[j]:
@@ -211,16 +213,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: float) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def true_links(sets: list[np.ndarray], regs: np.ndarray, labels: np.ndarray, percent: float, cut: int | None = None) -> Iterator[tuple[int, int]]:
-    """Links confirmed on sets, enough to connect all that are linked. Positions with one label are
-    known to be; with `cut`, only pairs of a position before it and one from it on are compared."""
+def true_links(sets: list[np.ndarray], regs: np.ndarray, known: Labels, percent: float, cut: int | None = None) -> Iterator[tuple[int, int]]:
+    """Links confirmed on sets, enough to connect all that are linked; `known` has what is, and is kept
+    up to date. With `cut`, only pairs of a position before it and one from it on are compared."""
     n = np.array([len(s) for s in sets], np.int64)
-    known = Labels(labels)
     for i in range(len(sets) if cut is None else cut):
         for j in _near(regs, n, i, known.apart(i, np.arange(i + 1 if cut is None else cut, len(sets))), percent).tolist():
             if known.of[i] != known.of[j] and similar(sets[i], sets[j], percent):
+                yield int(known.of[i]), int(known.of[j])
                 known.join(i, j)
-                yield i, j
 
 
 LINKS = "a long, b long"
@@ -265,60 +266,59 @@ def _texts(placed: DataFrame, sigs: DataFrame) -> DataFrame:
     return placed.join(sigs.select(F.col("row").alias("node"), "text", "keys"), "node")
 
 
+NAMED = "component long, bucket int, cut int, tiles int, node long, label long"
+
+
 def confirm(clusters: DataFrame, sigs: DataFrame, percent: float = PERCENT, shingle: int = SHINGLE, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """True links (a, b), enough to connect all that are linked, within clusters (node, component)."""
+    """(node, label) of each node of the clusters (node, component): nodes that true links connect have one
+    label, which is one of them."""
     facts = sigs.select(F.col("row").alias("node"), "n", "size")
-    placed = materialize(_tiles(clusters, facts, tile, tile_bytes))
+    placed = _tiles(clusters, facts, tile, tile_bytes)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for starts, t in _groups(batches, 1):
+        for starts, t in _groups(batches, 3):
             node, regs = t.column("node").to_numpy(), _registers_of(t)
+            label = node.copy()
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if b - a == 1:
-                    continue
+                known = Labels(np.arange(b - a))
                 sets = [shingles(x, shingle) for x in t.column("text").slice(a, b - a).to_pylist()]
-                found = np.array(list(true_links(sets, regs[a:b], np.arange(b - a), percent)), np.int64).reshape(-1, 2) + a
-                yield _links(node[found[:, 0]], node[found[:, 1]])
+                for _ in true_links(sets, regs[a:b], known, percent):
+                    pass
+                label[a:b] = node[a:b][known.of]
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("component", "bucket", "cut", "tiles", "node")), pa.array(label)], names=["component", "bucket", "cut", "tiles", "node", "label"])
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, t in _groups(batches, 1):
-            node, regs, side, label = t.column("node").to_numpy(), _registers_of(t), t.column("side").to_numpy(), t.column("label").to_numpy()
-            texts = t.column("text")
+            regs, side, label = _registers_of(t), t.column("side").to_numpy(), t.column("label").to_numpy()
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 cut = int((side[a:b] == 0).sum())  # rows are sorted by side
                 if not 0 < cut < b - a:
                     continue
-                sets = [shingles(x, shingle) for x in texts.slice(a, b - a).to_pylist()]
-                found = np.array(list(true_links(sets, regs[a:b], label[a:b], percent, cut)), np.int64).reshape(-1, 2) + a
-                yield _links(node[found[:, 0]], node[found[:, 1]])
+                sets = [shingles(x, shingle) for x in t.column("text").slice(a, b - a).to_pylist()]
+                found = np.array(list(true_links(sets, regs[a:b], Labels(label[a:b]), percent, cut)), np.int64).reshape(-1, 2)
+                yield _links(found[:, 0], found[:, 1])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, one, two in common.rows(batches, 64):
-            ok = [similar(shingles(x, shingle), shingles(y, shingle), percent) for x, y in zip(one, two)]
-            keep = np.flatnonzero(ok)
+            keep = np.flatnonzero([similar(shingles(x, shingle), shingles(y, shingle), percent) for x, y in zip(one, two)])
             yield _links(np.array(a, np.int64)[keep], np.array(b, np.int64)[keep])
 
-    group = F.xxhash64("component", "bucket", "cut").alias("part")  # should two names agree, their rows are compared together
-    inside = _texts(placed, sigs).select(group, "node", "text", "keys").repartition("part").sortWithinPartitions("part").mapInArrow(within, LINKS)
-    large = placed.filter("tiles > 1")
+    dealt = _texts(placed, sigs).select("component", "bucket", "cut", "tiles", "node", "text", "keys").repartition("component", "bucket", "cut")
+    named = materialize(dealt.sortWithinPartitions("component", "bucket", "cut").mapInArrow(within, NAMED))
+    large = named.filter("tiles > 1")
     if not large.head(1):
-        return inside
-    inside = materialize(inside)
-
-    def labelled(links: DataFrame) -> DataFrame:
-        """Large clusters' nodes with the part that links connect them to."""
-        known = components(links.join(large.select(F.col("node").alias("a")), "a", "left_semi"))
-        return materialize(large.join(known.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
-
+        return named.select("node", "label")
     # One node of each part against one of its cluster.
-    heads = labelled(inside).filter(F.col("label") == F.col("node"))
+    heads = large.filter(F.col("label") == F.col("node"))
     pivot = heads.groupBy("component").agg(F.min("node").alias("pivot"))
     body = sigs.select(F.col("row").alias("node"), "text")
     pairs = heads.join(pivot, "component").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     pairs = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
-    links = inside.union(materialize(pairs.select("a", "b", "one", "two").mapInArrow(exact, LINKS)))
+    linked = pairs.select("a", "b", "one", "two").mapInArrow(exact, LINKS).select(F.col("a").alias("label"), F.col("b").alias("pivot"))
+    at = large.join(linked, "label", "left").select("component", "bucket", "cut", "node", F.coalesce("pivot", "label").alias("label"))
+    at = materialize(at)
+    small = named.filter("tiles = 1").select("node", "label")
     # Tiles that aren't known to be one part as a whole, pair by pair.
-    at = labelled(links)
     tiles = at.groupBy("component", "bucket", "cut").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     one = tiles.select("component", *(F.col(c).alias(f"{c}1") for c in ("bucket", "cut", "low", "high")))
     two = tiles.select("component", *(F.col(c).alias(f"{c}2") for c in ("bucket", "cut", "low", "high")))
@@ -326,10 +326,14 @@ def confirm(clusters: DataFrame, sigs: DataFrame, percent: float = PERCENT, shin
         (F.struct("bucket1", "cut1") < F.struct("bucket2", "cut2")) & (F.abs(F.col("bucket1") - F.col("bucket2")) <= 1)
         & ~((F.col("low1") == F.col("high1")) & (F.col("low2") == F.col("high2")) & (F.col("low1") == F.col("low2")))
     ).withColumn("part", F.xxhash64("component", "bucket1", "cut1", "bucket2", "cut2"))
+    met = materialize(met)
+    if not met.head(1):
+        return small.union(at.select("node", "label"))
     sides = [met.select("component", F.col(f"bucket{k}").alias("bucket"), F.col(f"cut{k}").alias("cut"), "part", F.lit(k - 1).alias("side")) for k in (1, 2)]
-    dealt = _texts(at.select("node", "component", "bucket", "cut", "label").join(sides[0].union(sides[1]), ["component", "bucket", "cut"]), sigs)
-    across = dealt.select("part", "side", "node", "label", "text", "keys").repartition("part").sortWithinPartitions("part", "side").mapInArrow(between, LINKS)
-    return links.union(across)
+    dealt = _texts(at.join(sides[0].union(sides[1]), ["component", "bucket", "cut"]), sigs).select("part", "side", "node", "label", "text", "keys")
+    across = dealt.repartition("part").sortWithinPartitions("part", "side").mapInArrow(between, LINKS)
+    known = components(across).select(F.col("node").alias("label"), F.col("component").alias("root"))
+    return small.union(at.join(known, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
 def near_copies(
@@ -353,8 +357,8 @@ def near_copies(
     firsts = classes.select("node")
     nodes = materialize(full.select(F.col("row").alias("node"), "n", "keys").join(firsts, "node", "left_semi"))
     clusters = components(candidates(nodes, percent, tile))
-    found = components(confirm(clusters, full, percent, shingle, tile, tile_bytes))
-    linked = common.with_least(classes.join(found, "node"), ["component"], "low", "node").select("node", "least", F.lit(True).alias("linked"))
+    found = confirm(clusters, full, percent, shingle, tile, tile_bytes)
+    linked = common.with_least(classes.join(found, "node"), ["label"], "low", "node").select("node", "least", F.lit(True).alias("linked"))
     names = classes.join(linked, "node", "left").select("s1", "s2", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id"))
     named = salted.join(parts.select("s1", "s2", "salt").join(names, ["s1", "s2"]), ["s1", "s2", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sigs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
