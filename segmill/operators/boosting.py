@@ -139,14 +139,14 @@ def bin_bounds(train: DataFrame, columns: list[str], bins: int = BINS) -> list[n
 def _binned(df: DataFrame, columns: list[str], cuts: list[np.ndarray], uses: list[Column], keys: list[str]) -> DataFrame:
     """Keys, y, split, the row's bins (16 bits each), and which models train on it."""
     x = df.select(*keys, "split", F.col("label").cast("int").alias("y"), F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"), F.array(*[F.coalesce(u, F.lit(False)).cast("tinyint") for u in uses]).alias("used"))
-    lead = len(keys) + 2
+    lead, n_models = len(keys) + 2, len(uses)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = b.column(lead).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(columns)) if b.num_rows else np.zeros((0, len(columns)))
             bins = np.stack([np.where(np.isnan(v[:, k]), MISSING, np.searchsorted(c, v[:, k], "left")) for k, c in enumerate(cuts)], 1).astype(np.uint16) if len(columns) else np.zeros((b.num_rows, 0), np.uint16)
-            used = b.column(lead + 1).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, len(uses))
-            yield pa.RecordBatch.from_arrays([*b.columns[:lead], _rows(bins), _rows(used), _rows(np.zeros((b.num_rows, len(uses))))], names=[*b.schema.names[:lead], "x", "used", "margin"])
+            used = b.column(lead + 1).flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(b.num_rows, n_models)
+            yield pa.RecordBatch.from_arrays([*b.columns[:lead], _rows(bins), _rows(used), _rows(np.zeros((b.num_rows, n_models)))], names=[*b.schema.names[:lead], "x", "used", "margin"])
 
     kinds = dict(x.dtypes)
     return x.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in x.columns[:lead]) + ", x binary, used binary, margin binary")
@@ -201,7 +201,8 @@ def histograms(data: DataFrame, models: dict[int, Model], trees: dict[int, Tree]
             yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cols[:4]), *map(pa.array, cols[4:])], names=["model", "node", "feature", "bin", "g", "h"])
 
     got = data.filter("split = 'train'").select("x", "used", "margin", "y").mapInArrow(run, HISTOGRAM)
-    return got.groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    # Tasks have summed their rows, so one shuffle serves these sums and the windows after them.
+    return got.repartition("model", "node", "feature").groupBy("model", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def best_splits(sums: DataFrame, bits: dict[int, int], p: Params) -> DataFrame:

@@ -94,14 +94,14 @@ def contains_match(short: DataFrame, long: DataFrame, words: int = 8) -> DataFra
 PAIRS = 4096
 
 
-def creator_pairs(shorts: DataFrame, windows: DataFrame, by: str, pairs: int = PAIRS) -> DataFrame:
+def creator_pairs(shorts: DataFrame, windows: DataFrame, by: str, pairs: int | None = None) -> DataFrame:
     """All pairs of a short with a window of the same creator.
 
-    A creator with more than `pairs` of them has its shorts dealt out over as many parts as that takes,
+    A creator with more than `pairs` (PAIRS) of them has its shorts dealt out over as many parts as that takes,
     each of which meets all its windows, so no task scores a hot creator alone.
     """
     n_s, n_w = shorts.groupBy(by).agg(F.count(F.lit(1)).alias("_a")), windows.groupBy(by).agg(F.count(F.lit(1)).alias("_b"))
-    cuts = n_s.join(n_w, by).select(by, F.ceil(F.col("_a") * F.col("_b") / F.lit(float(pairs))).alias("_cuts"))
+    cuts = n_s.join(n_w, by).select(by, F.ceil(F.col("_a") * F.col("_b") / F.lit(float(pairs or PAIRS))).alias("_cuts"))
     s = shorts.join(cuts, by).withColumn("_part", F.pmod(F.xxhash64("short_id"), F.col("_cuts"))).drop("_cuts")
     w = windows.join(cuts, by).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1))).drop("_cuts")
     # Scoring costs far more than the bytes tell, so small partitions are not to be merged.

@@ -164,3 +164,60 @@ def test_pruning_loses_nothing(spark):
         rows.append((s, "".join(t)))
     got = spark.createDataFrame(rows, "s string, t string").withColumn("ok", may_match(F.col("s"), F.col("t"))).collect()
     assert all(r["ok"] for r in got if similarity.windowed_score(r["s"], r["t"]) >= 80)
+
+
+def naive_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def naive_partial(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if not n:
+        return 0.0 if m else 100.0
+    windows = [b[max(x, 0) : min(x + n, m)] for x in range(1 - n, m)]
+    return max(200.0 * naive_lcs(a, w) / (n + len(w)) for w in windows)
+
+
+def some_pairs(seed, n):
+    """Pairs with planted edited copies, also of several words of bits, and beyond the basic plane."""
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        letters = rnd.choice(["ab", "abc", "abcdefgh", "aé\u20ac\U0001f600"])
+        a = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 5, 20, 63, 64, 65, 90])))
+        b = "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 3, 30, 80, 130])))
+        if rnd.random() < 0.5 and a and b:
+            k = rnd.randrange(len(b))
+            b = b[:k] + "".join(c for c in a if rnd.random() > 0.15) + b[k:]
+        out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("way", ["array", "integer"])
+def test_partial_ratios_of_many_pairs(monkeypatch, seed, way):
+    """Both ways to step are exact, and no score of at least the bound is lost."""
+    from segmill.functions import lcs
+
+    monkeypatch.setattr(lcs, "_CALL", 0.0 if way == "array" else 1e9)
+    monkeypatch.setattr(lcs, "_ROW", 0.0)
+    pairs = some_pairs(seed, 60)
+    want = [naive_partial(a, b) for a, b in pairs]
+    for least in (0.0, 60.0, 80.0):
+        got = similarity.partial_ratios([a for a, _ in pairs], [b for _, b in pairs], least)
+        for g, w in zip(got, want):
+            assert g == pytest.approx(w) if w >= least else g == 0.0 or g == pytest.approx(w)
+
+
+def test_word_classes():
+    from segmill.functions.lcs import word_class
+
+    assert [word_class(64 * k) for k in (0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 13, 17, 24, 25)] == [1, 1, 2, 3, 4, 6, 6, 8, 12, 12, 16, 24, 24, 32]

@@ -386,3 +386,31 @@ def test_union_difference_order_and_numbers(spark):
     assert [r["m"] for r in metrics.report_order(scores, "v", "m", best_first=False).collect()] == ["a", "d", "c", "b"]
     x = spark.range(100, numPartitions=7).select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     assert [(r["id"], r["position"]) for r in discovery.numbered(x).orderBy("id").collect()] == [(i, i + 1) for i in range(100)]
+
+
+@pytest.mark.parametrize("pairs", [4096, 3])
+def test_caption_scores_against_brute_force(spark, monkeypatch, pairs):
+    """Windows in turn, the first that reaches the bound settles the score; hot creators are dealt out."""
+    from segmill.functions import similarity
+
+    monkeypatch.setattr(matching, "PAIRS", pairs)
+    rnd = random.Random(3)
+    words = lambda n: " ".join("".join(rnd.choice("abcdeFGH") for _ in range(rnd.randint(2, 7))) for _ in range(n))
+    shorts, longs = [], []
+    for k in range(24):
+        c = "hot" if k % 3 else f"c{k % 2}"
+        body = words(30)
+        cut = body.split(" ")
+        del cut[rnd.randrange(len(cut)) : rnd.randrange(len(cut))]
+        shorts.append((c, k, k, " ".join(cut) if k % 4 else words(rnd.choice([1, 25]))))
+        longs.append((c, k, k, words(rnd.choice([0, 10, 300])) + " " + body + " " + words(rnd.choice([0, 200, 500])) if k % 5 else None))
+    s, t = make(spark, "creator_id string, short_id int, pos int, text string", shorts), make(spark, "creator_id string, long_id int, pos int, text string", longs)
+    got = {(r["short_id"], r["long_id"]): r["score"] for r in rows(matching.caption_scores(s, t))}
+    want = {}
+    for c, i, _, a in shorts:
+        for d, j, _, b in longs:
+            if c == d and a and b and len(a) >= 20 and len(b) > 100:
+                x = similarity.windowed_score(a, b)
+                if x >= 80:
+                    want[i, j] = x
+    assert got == pytest.approx(want) and len(want) > 5
