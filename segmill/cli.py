@@ -48,8 +48,10 @@ def verify(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def relabel(spark: SparkSession, a: argparse.Namespace) -> None:
-    pairs = readers.pairs(spark, a.pairs)
-    engagement.viral_split(pairs).show()
+    """Labels of the segments from pairs at the given thresholds; the shares of viral pairs before and after."""
+    old = readers.pairs(spark, a.pairs)
+    pairs = engagement.relabel_pairs(old, a.eng_mult, a.vpd_mult)
+    engagement.viral_split(old).union(engagement.viral_split(pairs)).show()
     _save(engagement.relabel(spark.read.parquet(a.input), pairs).select(*schema.OUTPUT_COLUMNS), a.out)
 
 
@@ -73,7 +75,7 @@ def scale(spark: SparkSession, a: argparse.Namespace) -> None:
 def post(spark: SparkSession, a: argparse.Namespace) -> None:
     """Merge, relabel, split, PCA and normalise in one plan."""
     e = readers.embeddings(spark, a.embeddings) if a.embeddings else None
-    writers.matrix(pipelines.post_extraction(readers.features(spark, a.input), readers.pairs(spark, a.pairs), e), a.out)
+    writers.matrix(pipelines.post_extraction(readers.features(spark, a.input), readers.pairs(spark, a.pairs), e, thresholds=(a.eng_mult, a.vpd_mult)), a.out)
 
 
 def run_model(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -133,6 +135,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--pairs")
     p.add_argument("--embeddings")
     p.add_argument("--model", choices=["random", "rules", "forest", "boosted"], default="rules")
+    p.add_argument("--eng-mult", type=float, default=schema.ENGAGEMENT_MULTIPLIER, help="a pair is viral above so many medians of the engagement rate")
+    p.add_argument("--vpd-mult", type=float, default=schema.VIEWS_MULTIPLIER, help="or above so many medians of the views per day")
     p.add_argument("--metric", default="auc_roc")
     p.add_argument("--machines", type=int, default=1)
     p.add_argument("--exact", action="store_true", help="exact numbers of groups instead of the hash split")

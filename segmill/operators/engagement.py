@@ -80,9 +80,7 @@ def label_pairs(
         F.col("median_views_per_day").alias("creator_median_views_per_day"),
     )
     joined = pairs.drop("creator_id").join(s, "short_id").join(b, "creator_id", "left")
-    er = scalar.exceeds(F.col("short_engagement_rate"), F.col("creator_median_engagement_rate"), engagement_times)
-    vpd = scalar.exceeds(F.col("short_views_per_day"), F.col("creator_median_views_per_day"), views_times)
-    return joined.select("*", er.alias("meets_engagement_threshold"), vpd.alias("meets_views_threshold"), F.when(er | vpd, 1).otherwise(0).alias("label"))
+    return relabel_pairs(joined, engagement_times, views_times)
 
 
 def relabel(segments: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -92,6 +90,13 @@ def relabel(segments: DataFrame, pairs: DataFrame) -> DataFrame:
     return segments.drop("label").join(hit, ["video_id", "segment_index"], "left").withColumn("label", F.coalesce("_new", F.lit(0))).drop("_new")
 
 
+def relabel_pairs(pairs: DataFrame, engagement_times: float = schema.ENGAGEMENT_MULTIPLIER, views_times: float = schema.VIEWS_MULTIPLIER) -> DataFrame:
+    """F21 for stored pairs: flags and label at these thresholds, from the rates and medians they carry."""
+    er = scalar.exceeds(F.col("short_engagement_rate"), F.col("creator_median_engagement_rate"), engagement_times)
+    vpd = scalar.exceeds(F.col("short_views_per_day"), F.col("creator_median_views_per_day"), views_times)
+    return pairs.withColumns({"meets_engagement_threshold": er, "meets_views_threshold": vpd, "label": F.when(er | vpd, 1).otherwise(0)})
+
+
 def viral_split(pairs: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
     """The share of viral pairs, and whether it lies outside the usual range."""
     pct = F.when(F.count(F.lit(1)) > 0, 100.0 * F.sum("label") / F.count(F.lit(1))).otherwise(F.lit(0.0))

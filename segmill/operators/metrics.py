@@ -5,7 +5,9 @@ All models, seeds and splits are evaluated at once: `by` names the columns that
 
 from __future__ import annotations
 
+import math
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,32 +25,44 @@ def ranked(scores: DataFrame, by: list[str], video: str = "video_id", ident: str
     return scores.withColumn("rank", F.row_number().over(w))
 
 
+def _discounts(n: int) -> list[float]:
+    """Sums of the discounts of the first 0, 1, ... n ranks."""
+    return [0.0, *accumulate(1.0 / math.log2(r + 1) for r in range(1, n + 1))]
+
+
 def per_video(scores: DataFrame, by: list[str], ks: tuple[int, ...] = K_VALUES, video: str = "video_id", ident: str = "segment_id") -> DataFrame:
-    """M3 and M4 for each video: one shuffle, as all windows and the aggregate share (by, video).
+    """M3 and M4 for each video, of labels 0 or 1, without gathering a video.
 
     k is at most the number of segments. In NDCG equal scores share their mean gain, the ideal order
-    ignores ties, and a video of one segment has 0.
+    ignores ties, and a video of one segment has 0. Rows are counted by score first; of a video only the
+    first max(ks) scores, and for the hits its first max(ks) rows, are ever ranked, and both limits hold
+    within tasks before anything is shuffled by video.
     """
-    keys = [*by, video]
-    x = ranked(scores, by, video, ident)
-    x = x.withColumn("_gain", F.avg(F.col("y").cast("double")).over(W.partitionBy(*keys, "score")))
-    x = x.withColumn("_ideal", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("y"), ident)))
-    discount = lambda r: F.lit(1.0) / F.log2(F.col(r) + F.lit(1.0))
-    y = F.col("y").cast("double")
-    aggs: list[Column] = [F.count(F.lit(1)).alias("n_segments"), F.sum("y").cast("bigint").alias("n_positives")]
-    for k in ks:
-        aggs += [
-            F.sum(F.when(F.col("rank") <= k, y).otherwise(0.0)).alias(f"_hit{k}"),
-            F.sum(F.when(F.col("rank") <= k, F.col("_gain") * discount("rank")).otherwise(0.0)).alias(f"_dcg{k}"),
-            F.sum(F.when(F.col("_ideal") <= k, y * discount("_ideal")).otherwise(0.0)).alias(f"_top{k}"),
-        ]
-    g = x.groupBy(*keys).agg(*aggs)
+    keys, top = [*by, video], max(ks)
+    sums = F.array(*map(F.lit, _discounts(top)))
+    upto = lambda n, k: F.element_at(sums, F.least(n, F.lit(k)).cast("int") + 1)
+    groups = scores.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("bigint").alias("p"))
+    first = groups.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score")))).filter(F.col("_rank") <= top)
+    before = F.sum("n").over(W.partitionBy(*keys).orderBy("_rank").rowsBetween(W.unboundedPreceding, -1))
+    first = first.withColumn("_before", F.coalesce(before, F.lit(0)))
+    gain = lambda k: F.col("p") / F.col("n") * (upto(F.col("_before") + F.col("n"), k) - upto(F.col("_before"), k))
+    rows = ranked(scores, by, video, ident).filter(F.col("rank") <= top)
+    hit = lambda k: F.when(F.col("rank") <= k, F.col("y")).otherwise(0).cast("double")
+    # What the three say of a video meets in one sum.
+    names = ["n_segments", "n_positives", *[f"{c}{k}" for k in ks for c in ("_dcg", "_hit")]]
+    pieces = [
+        groups.select(*keys, F.col("n").alias("n_segments"), F.col("p").alias("n_positives")),
+        first.select(*keys, *[gain(k).alias(f"_dcg{k}") for k in ks]),
+        rows.select(*keys, *[hit(k).alias(f"_hit{k}") for k in ks]),
+    ]
+    g = reduce(lambda a, b: a.unionByName(b, True), pieces).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
     out: list[Column] = []
     for k in ks:
+        ideal = upto(F.col("n_positives"), k)
         out += [
             (F.col(f"_hit{k}") / F.least(F.lit(k), F.col("n_segments"))).alias(f"precision_at_{k}"),
             F.when(F.col("n_positives") > 0, F.col(f"_hit{k}") / F.col("n_positives")).otherwise(F.lit(0.0)).alias(f"recall_at_{k}"),
-            F.when((F.col("n_segments") > 1) & (F.col(f"_top{k}") > 0), F.col(f"_dcg{k}") / F.col(f"_top{k}")).otherwise(F.lit(0.0)).alias(f"ndcg_at_{k}"),
+            F.when((F.col("n_segments") > 1) & (F.col("n_positives") > 0), F.col(f"_dcg{k}") / ideal).otherwise(F.lit(0.0)).alias(f"ndcg_at_{k}"),
         ]
     return g.select(*keys, "n_segments", "n_positives", *out)
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill import schema
+from segmill.session import materialize
 
 
 def hash_bucket(group: Column, buckets: int = 100) -> Column:
@@ -39,18 +40,55 @@ def split_counts(groups: int, shares: dict[str, int] = schema.SPLITS) -> dict[st
     return {names[0]: groups - held, names[1]: held - test, names[2]: test}
 
 
+#: Bits of the hash by which groups are put in order, and how many of them a count refines.
+HASH_BITS, STEP_BITS = 60, 12
+
+
+def group_hash(group: Column, seed: int) -> Column:
+    """A whole number of HASH_BITS bits from the md5 of the seed and the group's id."""
+    text = F.concat(F.lit(f"{seed}:"), group.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+def nth_smallest(values: DataFrame, column: str, ns: list[int]) -> list[int]:
+    """The value below which exactly n of the distinct whole numbers of HASH_BITS bits lie, for each n.
+
+    Numbers are counted by their first bits, then those of the cell that holds the n-th by further
+    bits, until a cell is one number: a few counts of at most 4,096 cells, whatever the number of rows.
+    """
+    out = []
+    for n in ns:
+        shift, low, rest = HASH_BITS, 0, n
+        while shift:
+            shift -= STEP_BITS
+            some = values.filter((F.col(column) >= low) & (F.col(column) < low + (1 << (shift + STEP_BITS))))
+            cells = some.groupBy(F.shiftright(column, shift).alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy("c").collect()
+            for r in cells:
+                if rest < r["n"]:
+                    break
+                rest -= r["n"]
+            else:  # all of them are below
+                low, shift = low + (1 << (shift + STEP_BITS)), 0
+                break
+            low = r["c"] << shift
+        out.append(low)
+    return out
+
+
 def exact_group_split(df: DataFrame, group: str = "video_id", seed: int = 42, shares: dict[str, int] = schema.SPLITS) -> DataFrame:
-    """Parity mode: the exact numbers of groups of split_counts. The distinct ids go to the driver once,
-    as the reference data has thousands; the hash split is the one for large data."""
-    ids = sorted(r[0] for r in df.select(group).distinct().collect())
-    sizes = split_counts(len(ids), shares)
-    random.Random(seed).shuffle(ids)
-    rows, at = [], 0
-    for name, n in sizes.items():
-        rows += [(i, name) for i in ids[at : at + n]]
-        at += n
-    table = df.sparkSession.createDataFrame(rows, f"{group} {dict(df.dtypes)[group]}, split string")
-    return df.join(table, group)
+    """L1 with exactly the numbers of groups of split_counts: groups in the order of a hash of seed and id.
+
+    Where the splits end is found by counts over the distinct groups, written once; rows get their split
+    by comparing their hash with two numbers, so no id is collected and nothing is joined. Rows whose
+    group is null have no split.
+    """
+    own = group_hash(F.col(group), seed)
+    ids = materialize(df.filter(F.col(group).isNotNull()).select(own.alias("h")).distinct())
+    sizes = split_counts(ids.count(), shares)
+    names = list(sizes)
+    ends = nth_smallest(ids, "h", list(accumulate(sizes.values()))[:-1])
+    split = F.when(own < ends[0], names[0]).when(own < ends[1], names[1]).when(own.isNotNull(), names[2])
+    return df.withColumn("split", split)
 
 
 def counts(df: DataFrame, group: str = "video_id") -> DataFrame:

@@ -29,9 +29,13 @@ def rank_metrics(spark, sf: str) -> DataFrame:
     return metrics.evaluate(scores, ["model"])
 
 
-def post_extraction(features: DataFrame, pairs: DataFrame, embeddings: DataFrame | None = None, k: int = schema.PCA_DIMS) -> DataFrame:
-    """Relabel, split, fill PCA columns and normalise: one lazy plan but for the fits on training rows."""
-    x = splits.group_split(engagement.relabel(features, pairs))
+def post_extraction(
+    features: DataFrame, pairs: DataFrame, embeddings: DataFrame | None = None, k: int = schema.PCA_DIMS,
+    thresholds: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Relabel, split, fill PCA columns and normalise: one lazy plan but for the fits on training rows. With
+    thresholds (of engagement and of views) the pairs' labels are recomputed, else the stored ones count."""
+    x = splits.group_split(engagement.relabel(features, engagement.relabel_pairs(pairs, *thresholds) if thresholds else pairs))
     if embeddings is not None:
         x = x.drop(*[f"clip_pca_{i:02d}" for i in range(k)]).join(embeddings, ["video_id", "segment_index"], "left")
         x = normalise.pca_columns(x, normalise.fit_pca(x.filter("split = 'train'"), k)).drop("embedding")

@@ -218,6 +218,18 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return splits.counts(splits.check_no_leak(splits.group_split(tables.doc_segments(spark, sf))))
 
 
+EXACT = """WITH h AS (SELECT DISTINCT o_custkey, ('0x' || substr(md5('42:' || o_custkey), 1, 15))::BIGINT AS h FROM orders), n AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS k, count(*) OVER () AS n FROM h),
+s AS (SELECT *, ceil(n * 0.3) AS held FROM n)
+SELECT o_custkey AS creator_id, CASE WHEN k < n - held THEN 'train' WHEN k < n - ceil(held * 0.5) THEN 'val' ELSE 'test' END AS split FROM s"""
+
+
+@query(EXACT)
+def exact_split(spark: SparkSession, sf: str) -> DataFrame:
+    """L1 with the exact numbers of groups: the split of each creator of the orders."""
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("creator_id"))
+    return splits.exact_group_split(o, "creator_id").distinct()
+
+
 @query(sql("segs", body=f"""SELECT category, coalesce(sum(label) FILTER (WHERE split = 'train'), 0)::BIGINT AS train, coalesce(sum(label) FILTER (WHERE split = 'val'), 0)::BIGINT AS val,
 coalesce(sum(label) FILTER (WHERE split = 'test'), 0)::BIGINT AS test FROM (SELECT *, {SPLIT} AS split FROM segments) GROUP BY 1"""))
 def pivot_category_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -427,12 +439,27 @@ def virality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(sql(*PAIRS, body="""SELECT g.long_id AS video_id, g.i AS segment_index, coalesce(max(m.label), 0)::INTEGER AS label
-FROM (SELECT DISTINCT long_id, unnest([0, 1, 2, 3])::INTEGER AS i FROM pairs) g LEFT JOIN marked m ON m.long_id = g.long_id AND m.matched_segment_index = g.i GROUP BY 1, 2"""))
+FROM (SELECT long_id, i::INTEGER AS i FROM (SELECT DISTINCT long_id FROM pairs), range((SELECT max(matched_segment_index) + 1 FROM pairs)) r(i)) g LEFT JOIN marked m ON m.long_id = g.long_id AND m.matched_segment_index = g.i GROUP BY 1, 2"""))
 def relabel_any(spark: SparkSession, sf: str) -> DataFrame:
     """J2."""
     m = _labelled(spark, sf)
-    grid = tables.pairs(spark, sf).select(F.col("long_id").alias("video_id")).distinct().select("video_id", F.explode(F.array(*map(F.lit, range(4)))).alias("segment_index"))
-    return engagement.relabel(grid.withColumn("label", F.lit(0)), m).select("video_id", "segment_index", "label")
+    return engagement.relabel(_grid(spark, sf), m).select("video_id", "segment_index", "label")
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every long with the indexes up to the largest that is matched anywhere."""
+    p = tables.pairs(spark, sf)
+    longs, most = p.select(F.col("long_id").alias("video_id")).distinct(), p.agg(F.max("matched_segment_index").alias("most"))
+    return longs.join(F.broadcast(most)).select("video_id", F.explode(F.sequence(F.lit(0), "most")).alias("segment_index"), F.lit(0).alias("label"))
+
+
+@query(sql(*PAIRS, body="""SELECT g.long_id AS video_id, g.i AS segment_index, coalesce(max((coalesce(creator_median_engagement_rate > 0 AND short_engagement_rate > 1.5::DOUBLE * creator_median_engagement_rate, false)
+  OR coalesce(creator_median_views_per_day > 0 AND short_views_per_day > 2.0::DOUBLE * creator_median_views_per_day, false))::INTEGER), 0)::INTEGER AS label
+FROM (SELECT long_id, i::INTEGER AS i FROM (SELECT DISTINCT long_id FROM pairs), range((SELECT max(matched_segment_index) + 1 FROM pairs)) r(i)) g LEFT JOIN marked m ON m.long_id = g.long_id AND m.matched_segment_index = g.i GROUP BY 1, 2"""))
+def relabel_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 and F21 at other thresholds than those the pairs were labelled with."""
+    m = engagement.relabel_pairs(_labelled(spark, sf), 1.5, 2.0)
+    return engagement.relabel(_grid(spark, sf), m).select("video_id", "segment_index", "label")
 
 
 @query(sql(*PAIRS, body="""SELECT long_id, matched_segment_index, short_id, match_score, label FROM (
@@ -442,8 +469,8 @@ def label_best_pair(spark: SparkSession, sf: str) -> DataFrame:
     return engagement.best_pair(_labelled(spark, sf)).select("long_id", "matched_segment_index", "short_id", "match_score", "label")
 
 
-LABEL_SQL = """, longs AS (SELECT DISTINCT long_id AS video_id FROM pairs),
-cut AS (SELECT video_id::VARCHAR AS video_id, video_id AS vid, unnest(range(0, ceil((30.0::DOUBLE + video_id % 7 * 11) / 30)::BIGINT))::INTEGER AS segment_index, 30.0::DOUBLE + video_id % 7 * 11 AS video_duration FROM longs),
+LABEL_SQL = """, longs AS (SELECT long_id AS video_id, max(matched_segment_index) AS most FROM pairs GROUP BY 1),
+cut AS (SELECT video_id::VARCHAR AS video_id, video_id AS vid, unnest(range(0, most + 1))::INTEGER AS segment_index, 30.0::DOUBLE * (most + 1) - video_id % 7 * 3 AS video_duration FROM longs),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY long_id, matched_segment_index ORDER BY match_score DESC, pos) AS k FROM marked) WHERE k = 1),
 j AS (SELECT cut.*, segment_index * 30.0::DOUBLE AS st, least(segment_index * 30.0::DOUBLE + 30, video_duration) AS en, b.short_id, b.match_score, b.label AS lab, b.short_views, b.short_engagement_rate
       FROM cut LEFT JOIN best b ON b.long_id = cut.vid AND b.matched_segment_index = cut.segment_index)
@@ -457,8 +484,10 @@ FROM j"""
 
 def _label_segments(spark: SparkSession, sf: str) -> DataFrame:
     m = _labelled(spark, sf).withColumn("long_id", F.col("long_id").cast("string")).withColumn("short_id", F.col("short_id").cast("string"))
-    longs = tables.pairs(spark, sf).select("long_id").distinct()
-    v = longs.select(F.col("long_id").cast("string").alias("video_id"), F.lit("CR0001").alias("creator_id"), F.lit("tech").alias("category"), (30.0 + F.col("long_id") % 7 * 11).cast("double").alias("duration"))
+    # A long reaches into its last matched segment.
+    longs = tables.pairs(spark, sf).groupBy("long_id").agg(F.max("matched_segment_index").alias("most"))
+    length = F.lit(30.0) * (F.col("most") + 1) - F.col("long_id") % 7 * 3
+    v = longs.select(F.col("long_id").cast("string").alias("video_id"), F.lit("CR0001").alias("creator_id"), F.lit("tech").alias("category"), length.cast("double").alias("duration"))
     return engagement.label_segments(engagement.segments_of(v), m)
 
 
@@ -586,7 +615,7 @@ def round_robin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey AS creator_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) AND c_custkey NOT IN (SELECT user_id FROM events)")
 def pool_anti(spark: SparkSession, sf: str) -> DataFrame:
-    """J11 and U4."""
+    """J11 and U4; a creator with an order of the third part counts as done."""
     all_ = read(spark, sf, "customer").select(F.col("c_custkey").alias("creator_id"))
     done = read(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("creator_id")).distinct()
     active = read(spark, sf, "events").select(F.col("user_id").alias("creator_id")).distinct()
@@ -731,8 +760,9 @@ def matched_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 # Checks and summaries.
 
-CHECKS = """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label NOT IN (0, 1)) AS bad, sum(label) AS pos, count(DISTINCT segment_id) AS ids FROM segments)
-SELECT unnest(['segments_exist', 'labels_0_or_1', 'positives_exist', 'unique_segment_ids', 'position_ratio_in_unit']) AS check_name, unnest([n > 0, bad = 0, pos > 0, ids = n, true]) AS passed FROM c"""
+CHECKS = """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE label NOT IN (0, 1)) AS bad, sum(label) AS pos, count(DISTINCT segment_id) AS ids,
+  bool_and(round(start_time / video_duration, 4) BETWEEN 0 AND 1) AS inside FROM segments)
+SELECT unnest(['segments_exist', 'labels_0_or_1', 'positives_exist', 'unique_segment_ids', 'position_ratio_in_unit']) AS check_name, unnest([n > 0, bad = 0, pos > 0, ids = n, inside]) AS passed FROM c"""
 
 
 @query(sql("segs", body=CHECKS))
@@ -784,16 +814,16 @@ def progress_summary(spark: SparkSession, sf: str) -> DataFrame:
 WITH a AS (SELECT user_id AS id, max(epoch(ts)) AS hb FROM events GROUP BY 1), d AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 50 = 0), n AS (SELECT max(hb) + 100 AS now FROM a),
 x AS (SELECT c_custkey AS id, d.id IS NOT NULL AS fin, hb, now FROM customer LEFT JOIN d ON d.id = c_custkey LEFT JOIN a ON a.id = c_custkey, n)
 SELECT count(*) AS total, count(*) FILTER (WHERE fin) AS done, count(*) FILTER (WHERE NOT fin AND hb IS NOT NULL AND now - hb <= 7200) AS active, count(*) FILTER (WHERE NOT fin AND hb IS NOT NULL AND now - hb > 7200) AS stale,
-count(*) FILTER (WHERE NOT fin AND hb IS NULL) AS pending FROM x""")
+count(*) FILTER (WHERE NOT fin AND hb IS NULL) AS pending, round(max(now - hb) FILTER (WHERE NOT fin), 6) AS oldest_claim_s FROM x""")
 def pool_status(spark: SparkSession, sf: str) -> DataFrame:
-    """A12 and F19."""
+    """A12 and F19; a creator with an order of the fiftieth part counts as done."""
     e = read(spark, sf, "events")
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     now = e.agg(F.max(ts)).first()[0] + 100
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("creator_id"))
     done = read(spark, sf, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("creator_id"))
     claims = e.select(F.col("user_id").alias("creator_id"), ts.alias("heartbeat"))
-    return validation.pool_status(c, done, claims, now).drop("oldest_claim_s")
+    return validation.pool_status(c, done, claims, now).withColumn("oldest_claim_s", F.round("oldest_claim_s", 6))
 
 
 # Models.
@@ -811,9 +841,9 @@ def _features(x: DataFrame) -> list[str]:
 
 @query()
 def pca_project(spark: SparkSession, sf: str) -> DataFrame:
-    """Fitted on the training rows, zeros where a vector is missing."""
-    v = splits.group_split(_vectors(spark, sf).withColumn("embedding", F.when(F.col("segment_index") % 11 != 0, F.col("embedding"))), "segment_index")
-    model = normalise.fit_pca(v.filter("split = 'train'"), 8)
+    """L2: fitted on the training rows, with the schema's number of components."""
+    v = splits.group_split(_vectors(spark, sf), "segment_index")
+    model = normalise.fit_pca(v.filter("split = 'train'"), schema.PCA_DIMS)
     return normalise.project(v, model).select("vec_id", "split", F.transform("pca", lambda x: F.round(F.abs(x), 6)).alias("pca"))
 
 

@@ -414,3 +414,46 @@ def test_caption_scores_against_brute_force(spark, monkeypatch, pairs):
                 if x >= 80:
                     want[i, j] = x
     assert got == pytest.approx(want) and len(want) > 5
+
+
+def test_hot_videos_are_not_gathered(spark):
+    """A video with a third of all rows, most of them tied: the result of brute force, and ranks that are
+    limited before the shuffle by video."""
+    rnd = random.Random(21)
+    data = [("m", "hot" if i % 3 == 0 else f"v{i % 11}", i, int(rnd.random() < 0.2), rnd.choice([0.5, 0.5, 0.25, rnd.randrange(40) / 40])) for i in range(900)]
+    df = make(spark, SCORES, data).repartition(5)
+    x = metrics.per_video(df, ["model"])
+    assert x._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
+    for v in rows(x):
+        own = sorted(((-s, i, y) for _, w, i, y, s in data if w == v["video_id"]))
+        assert (v["n_segments"], v["n_positives"]) == (len(own), sum(y for _, _, y in own))
+        for k in (3, 5, 10):
+            hits = sum(y for _, _, y in own[:k])
+            assert v[f"precision_at_{k}"] == pytest.approx(hits / min(k, len(own))) and v[f"recall_at_{k}"] == pytest.approx(hits / max(1, v["n_positives"]))
+            mean = {s: sum(y for t, _, y in own if t == s) / sum(1 for t, _, _ in own if t == s) for s, _, _ in own[:k]}
+            dcg = sum(mean[s] / math.log2(r + 2) for r, (s, _, _) in enumerate(own[:k]))
+            ideal = sum(1 / math.log2(r + 2) for r in range(min(k, v["n_positives"])))
+            assert v[f"ndcg_at_{k}"] == pytest.approx(dcg / ideal if ideal else 0.0)
+
+
+def test_nth_smallest(spark):
+    rnd = random.Random(2)
+    some = sorted({rnd.randrange(1 << 60) for _ in range(300)} | {5, 6, 7, (1 << 60) - 1, 1 << 48, (1 << 48) + 1})
+    df = make(spark, "h long", [(h,) for h in some])
+    ns = [0, 1, 2, 3, 150, len(some) - 1, len(some)]
+    assert [sum(h < b for h in some) for b in splits.nth_smallest(df, "h", ns)] == ns
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 101])
+def test_exact_split_has_the_counts(spark, n):
+    df = make(spark, "video_id long, label int", [(k % n, k % 2) for k in range(3 * n)] + [(None, 1)])
+    x = splits.exact_group_split(df, seed=7)
+    got = {r["split"]: r["n"] for r in rows(x.groupBy("split").agg(F.countDistinct("video_id").alias("n")))}
+    assert {k: v for k, v in got.items() if k} == {k: v for k, v in splits.split_counts(n).items() if v}
+    assert not rows(splits.leaks(x.filter("video_id IS NOT NULL"))) and x.filter("split IS NULL").count() == 1
+
+
+def test_relabel_at_thresholds(spark):
+    cols = "short_engagement_rate double, creator_median_engagement_rate double, short_views_per_day double, creator_median_views_per_day double, label int"
+    p = make(spark, cols, [(0.3, 0.1, 1.0, 10.0, 0), (0.15, 0.1, 25.0, 10.0, 0), (0.3, 0.0, None, None, 1)])
+    assert [r["label"] for r in rows(engagement.relabel_pairs(p))] == [1, 0, 0] and [r["label"] for r in rows(engagement.relabel_pairs(p, 4.0, 2.0))] == [0, 1, 0]
