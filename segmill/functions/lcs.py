@@ -12,10 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Rows that are stepped through together.
-ROWS = 1 << 14
-#: Microseconds of an array operation, of it a row, of a step of Python's integers, and of that a word.
-_CALL, _ROW, _STEP, _WORD = 1.2, 0.0012, 0.35, 0.02
+#: Words of rows that are stepped through together.
+WORDS = 1 << 14
+#: Microseconds of a step of arrays, of that a word and a row's word, and of a step of Python's integers and of that a word.
+_CALL, _TAKE, _ROW, _STEP, _WORD = 10.0, 1.0, 0.004, 0.25, 0.02
 
 
 def word_class(n: int) -> int:
@@ -42,7 +42,7 @@ class Masks:
         table = np.zeros((first[-1], self.words * 64), bool)
         for k, t in enumerate(texts):
             table[self.codes(k, t), np.arange(len(t))] = True
-        self.table = np.ascontiguousarray(np.packbits(table, axis=1, bitorder="little").view(np.uint64).T)
+        self.table = np.ascontiguousarray(np.packbits(table, axis=1, bitorder="little").view(np.uint64))
 
     def codes(self, k: int, chars: np.ndarray) -> np.ndarray:
         """Rows of the table for the characters, as text k has them."""
@@ -51,34 +51,50 @@ class Masks:
         return np.where(own[at] == chars, at + 1, 0) + self.first[k]
 
 
+#: Texts of more words go one by one.
+MOST_WORDS = 48
+_ONE = np.uint64(1)
+
+
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Each row's flags as the bits of a number."""
+    out = np.zeros((len(flags), 8), np.uint8)
+    some = np.packbits(flags, axis=1, bitorder="little")
+    out[:, : some.shape[1]] = some
+    return out.view(np.uint64)[:, 0]
+
+
 def _by_array(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    state = np.full((masks.words, len(begin)), _ALL)
+    state = np.full((len(begin), masks.words), _ALL)
+    places, total, over = np.empty_like(state), np.empty_like(state), np.empty(state.shape, bool)
     running = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
-    for step, k in enumerate(running.tolist()):
-        row = codes[begin[:k] + step]
-        carry = None
-        for word, table in zip(state, masks.table):
-            s = word[:k]
-            u = table[row]
-            rest = s & ~u
-            u &= s
-            t = s + u
-            over = t < s
-            if carry is not None:
-                t += carry
-                over |= t < carry
-            carry = over.astype(np.uint64) if masks.words > 1 else None
-            np.bitwise_or(t, rest, out=s)
+    at, last = begin.copy(), 0
+    for k in running.tolist():
+        if k != last:
+            s, u, t, c = state[:k], places[:k], total[:k], over[:k]
+            at, last = at[:k], k
+        np.take(masks.table, codes[at], axis=0, out=u, mode="clip")
+        at += 1
+        np.bitwise_and(s, u, out=u)
+        np.add(s, u, out=t)
+        if masks.words > 1:
+            # Which words overflow, and which are full and pass a carry on, as bits of one number a row:
+            # adding the two shows where carries arrive.
+            out_of, full = _bits(np.less(t, s, out=c)), _bits(np.equal(t, _ALL, out=c))
+            arrive = ((out_of << _ONE) + full) ^ full
+            t += np.unpackbits(arrive.view(np.uint8).reshape(k, 8), axis=1, count=masks.words, bitorder="little")
+        np.bitwise_xor(s, u, out=u)
+        np.bitwise_or(t, u, out=s)
     out = np.empty(len(order), np.int64)
-    out[order] = masks.words * 64 - np.bitwise_count(state).sum(0, dtype=np.int64)
+    out[order] = masks.words * 64 - np.bitwise_count(state).sum(1, dtype=np.int64)
     return out
 
 
 def _by_integer(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     used = np.unique(np.concatenate([np.unique(codes[b : b + n]) for b, n in zip(begin.tolist(), size.tolist())]))
-    places = {int(c): int.from_bytes(np.ascontiguousarray(masks.table[:, c]).tobytes(), "little") for c in used}
+    places = {int(c): int.from_bytes(np.ascontiguousarray(masks.table[c]).tobytes(), "little") for c in used}
     full = (1 << 64 * masks.words) - 1
     out = []
     for b, n in zip(begin.tolist(), size.tolist()):
@@ -94,10 +110,12 @@ def lcs_lengths(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.nda
     """For each row the LCS length of a text with its window codes[begin : begin + size]."""
     out = np.zeros(len(begin), np.int64)
     some = np.flatnonzero(size > 0)
-    for i in range(0, len(some), ROWS):
-        x = some[i : i + ROWS]
+    some = some[np.argsort(size[some], kind="stable")]  # rows of like length go together
+    rows = max(64, WORDS // masks.words)
+    for i in range(0, len(some), rows):
+        x = some[i : i + rows]
         b, n = begin[x], size[x]
-        arrays = int(n.max()) * masks.words * 8 * (_CALL + _ROW * len(x) * float(n.mean()) / int(n.max()))
+        arrays = int(n.max()) * (_CALL + _TAKE * masks.words) + int(n.sum()) * masks.words * _ROW
         integers = int(n.sum()) * (_STEP + _WORD * masks.words)
-        out[x] = (_by_array if arrays < integers else _by_integer)(masks, codes, b, n)
+        out[x] = (_by_array if arrays < integers and masks.words <= MOST_WORDS else _by_integer)(masks, codes, b, n)
     return out

@@ -71,8 +71,9 @@ def _scan(masks: Masks, which: np.ndarray, longs: list[np.ndarray], n: np.ndarra
 
     # Sizes below `short` can't reach the least score even if all of the window is shared.
     short = np.maximum(np.ceil(least * n / np.maximum(2 - least, 1e-9) - 1e-9).astype(np.int64), 1)
-    span = np.maximum(n // 2, 1)
     low, high = short - n, m - short
+    # Stretches of one and a half short texts, or all of a long one that isn't much longer.
+    span = np.where(5 * m <= 6 * n, np.maximum(high - low + 1, 1), np.maximum(n // 2, 1))
     count = np.maximum(-(-(high - low + 1) // span), 0)
     pair = np.repeat(np.arange(len(n)), count)
     x = low[pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)) * span[pair]
@@ -112,7 +113,7 @@ def _shared(masks: Masks, which: np.ndarray, codes: np.ndarray, at: np.ndarray,
     """How many characters, counted with repeats, a block's stretch shares with its text."""
     begin, size = blocks.stretch()
     begin = begin + at[blocks.pair]
-    held = np.bitwise_count(masks.table).sum(0, dtype=np.int64)  # how often its text has the character of a row
+    held = np.bitwise_count(masks.table).sum(1, dtype=np.int64)  # how often its text has the character of a row
     out = np.zeros(len(size), np.int64)
     width = np.diff(masks.first)[which[blocks.pair]]
     low = np.array(masks.first)[which[blocks.pair]]
