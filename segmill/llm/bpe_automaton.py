@@ -136,6 +136,8 @@ class Codec:
 
     def __init__(self, path: str, most: int = 500_000):
         v = Vocab(path)
+        if v.steps.get("type") != "ByteLevel" or not v.steps.get("use_regex", True) or v.steps.get("add_prefix_space") or v.normalizer or v.end or v.odd:
+            raise ValueError("a byte-level file with the usual split pattern and plain special strings is expected")
         self.labels = v.labels
         self.automaton = Automaton(v.base.tolist(), v.merges, v.labels)
         self.words = regex.compile(PATTERN)
@@ -163,7 +165,7 @@ class Codec:
         """Ids as little-endian 32-bit numbers."""
         if not text:
             return b""
-        if self.cut and "<" in text and self.cut.search(text):
+        if self.cut and self.cut.search(text):
             return b"".join(self.special.get(s) or self._plain(s) for s in self.cut.split(text) if s)
         return self._plain(text)
 
@@ -209,13 +211,13 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     Null and empty texts have no ids and decode to an empty text. Repeated rows give repeated rows; an
     empty table gives an empty result; other columns are ignored. Words of any length are encoded
-    whole.
+    whole. A file whose steps before the merges are others than byte-level splitting raises an error.
     """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for docs, texts in common.rows(batches, 200):
+        for docs, texts in common.by_bytes(batches, 1, rows=200):
             ids = [c.encode(t) for t in texts]
             decoded = [c.decode(i) for i in ids]
             cols = [

@@ -20,17 +20,16 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
 
 
 def keep_rows(df: DataFrame, text_col: str, judge: Callable[[], Callable[[list], list[bool]]], step: int = 128) -> DataFrame:
-    """The rows, with all their columns, whose text passes; judge() gives the test to each task. No shuffle."""
+    """The rows, with all their columns, whose text passes; judge() gives the test to each task. No shuffle;
+    runs of rows are bounded in bytes of text too."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = judge()
-        for b in batches:
-            for i in range(0, b.num_rows, step):
-                some = b.slice(i, step)
-                kept = some.filter(pa.array(passes(some.column(at).to_pylist()), pa.bool_()))
-                if kept.num_rows:
-                    yield kept
+        for some in slices(batches, at, rows=step):
+            kept = some.filter(pa.array(passes(some.column(at).to_pylist()), pa.bool_()))
+            if kept.num_rows:
+                yield kept
 
     return df.mapInArrow(run, df.schema)
 
@@ -52,19 +51,25 @@ def rows(batches: Iterator[pa.RecordBatch], step: int = 500) -> Iterator[list[li
             yield [c.to_pylist() for c in b.slice(i, step).columns]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[list[list]]:
-    """Columns as lists, of runs of rows whose values in column `at` have about `most` bytes together.
-    One longer value is a run of its own."""
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose values in column `at` have about `most` bytes together. One longer value is a run
+    of its own."""
     for b in batches:
         ends = np.cumsum(pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         i = 0
         while i < b.num_rows:
             before = int(ends[i - 1]) if i else 0
             j = min(max(int(np.searchsorted(ends, before + most, "right")), i + 1), i + rows)
-            yield [c.to_pylist() for c in b.slice(i, j - i).columns]
+            yield b.slice(i, j - i)
             i = j
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[list[list]]:
+    """Columns as lists, of the runs of slices()."""
+    for b in slices(batches, at, most, rows):
+        yield [c.to_pylist() for c in b.columns]
+
+
 def smallest_of_copies(df: DataFrame, key: str, ident: str) -> DataFrame:
     """(key, salt) -> smallest ident of the key, and the size of its group.
 

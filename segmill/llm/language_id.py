@@ -132,7 +132,9 @@ class Model:
             for i in some:
                 lang[i], score[i] = self.langs[0], 1.0
             return lang, score
-        p = self._soft((self.spectrum.rows([texts[i] for i in some]) @ self.marks) @ self.coef + self.bias, self.steep)
+        # In doubles, rounded: how a text is batched changes only what lies beyond.
+        k = self.spectrum.rows([texts[i] for i in some]).astype(np.float64) @ self.marks.astype(np.float64)
+        p = self._soft(k @ self.coef.astype(np.float64) + self.bias, self.steep).round(9)
         for i, k, s in zip(some, p.argmax(1).tolist(), p.max(1).tolist()):
             lang[i], score[i] = self.langs[k], min(max(s, 0.0), 1.0)
         return lang, score
@@ -143,20 +145,21 @@ def fits(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_BYTES
 
 
-def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
+def sampled(rows: DataFrame, by: str, most: int, most_values: int = MOST_VALUES) -> DataFrame:
     """About `most` of the rows (doc_id, by, ...), as evenly by value as there are rows, picked by a hash
-    of the id; of a column with very many values the most frequent ones."""
-    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(MOST_VALUES).collect()}
+    of the id; of a column with more values the `most_values` most frequent ones."""
+    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most_values).collect()}
     if not sizes:
         return rows.limit(0)
     shares = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, min(1.0, most / (len(sizes) * n)))])
     return rows.filter((F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)) < F.coalesce(shares[F.col(by)], F.lit(0.0)))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS, **how) -> Model:
-    """Learn from the text and the non-null language of rows that aren't held out."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_ROWS, most_values: int = MOST_VALUES, **how) -> Model:
+    """Learn from the text and the non-null language of rows that aren't held out: of about `sample` rows, and
+    of the `most_values` most frequent languages, both of which a table with more may raise."""
     docs = common.pick(df, doc_id=id_col, text=text_col, lang=lang_col).filter(F.col("lang").isNotNull() & ~held_out())
-    got = sampled(docs, "lang", sample).filter(F.col("text").isNotNull() & fits()).select(F.xxhash64("doc_id").alias("h"), "lang", "text").collect()
+    got = sampled(docs, "lang", sample, most_values).filter(F.col("text").isNotNull() & fits()).select(F.xxhash64("doc_id").alias("h"), "lang", "text").collect()
     got = sorted((r for r in got if has_letter(r["text"])), key=lambda r: (r["h"], r["lang"], r["text"]))[: 2 * sample]
     return Model([r["text"] for r in got], [r["lang"] for r in got], **how)
 
@@ -166,7 +169,9 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     A null text and a text without any letter are `und` with score 0. With no labelled row all texts
     are `und`; with one language all that have a letter are that language. Equal texts get equal
-    predictions; an empty table gives an empty result; other columns are ignored.
+    predictions, as scores are rounded to 9 places before the largest is taken, the first of equal ones;
+    repeated rows give repeated rows. Texts may be of any length. An empty table gives an empty result; other
+    columns are ignored.
     """
     spark = df.sparkSession
     ship(spark)
@@ -174,7 +179,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for ids, out, texts in common.rows(batches, 128):
+        for ids, out, texts in common.by_bytes(batches, 2, rows=128):
             lang, score = m.predict(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(lang, pa.string()), pa.array(score, pa.float64())],

@@ -113,8 +113,8 @@ class Words:
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
         """The mean vector of the words and marks."""
-        counts = np.zeros((len(texts), self.size), np.float32)
-        n = np.zeros(len(texts), np.float32)
+        counts = np.zeros((len(texts), self.size))
+        n = np.zeros(len(texts))
         for k, t in enumerate(texts):
             words = t.split() if t else []
             if words:
@@ -122,7 +122,7 @@ class Words:
                 n[k] = len(words)
                 lines = t.split("\n")
                 counts[k, : len(MARKS)] = sum(map(eq, words, words[1:])), len(words) - len(set(words)), len(lines) - len(set(lines))
-        return counts @ self.vectors / (n + PRIOR)[:, None]
+        return counts @ self.vectors.astype(np.float64) / (n + PRIOR)[:, None]
 
 
 class Network:
@@ -146,7 +146,7 @@ class Network:
         self.p = [a.astype(np.float32) for a in p]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(((x - self.mean) / self.std) @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
+        return np.tanh(((x - self.mean) / self.std) @ self.p[0].astype(np.float64) + self.p[1]) @ self.p[2].astype(np.float64) + self.p[3]
 
 
 class Model:
@@ -172,7 +172,8 @@ class Model:
         if self.words is None:
             return np.full(len(texts), self.constant)
         z = self.net.logits(self.words.pooled(texts)) / self.temperature
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
+        # Rounded: how a text is batched changes only what lies beyond, so equal texts score equally.
+        return (1 / (1 + np.exp(-np.clip(z, -60, 60)))).round(9)
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_ROWS) -> Model:
@@ -191,7 +192,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null texts count as empty; the empty text has the score of a document without words. Where no
     label or only one kind is known the score is its mean, 0.5 without any. Equal texts get equal
-    scores; an empty table gives an empty result; other columns are ignored.
+    scores, rounded to 9 places; a score of just the threshold is predicted 1. Repeated rows give repeated
+    rows; texts may be of any length. An empty table gives an empty result; other columns are ignored.
     """
     spark = df.sparkSession
     ship(spark)
@@ -199,7 +201,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for ids, out, texts in common.rows(batches, 128):
+        for ids, out, texts in common.by_bytes(batches, 2, rows=128):
             s = m.score(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), pa.array(s), pa.array((s >= threshold).astype(np.int32))],

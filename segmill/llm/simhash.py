@@ -40,12 +40,15 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
     """Of the text's shingles of words after lower-casing A-Z; a bit is 1 if over half the hashes have
-    it. Fewer words than a shingle are hashed as one; no word gives zero."""
+    it. Fewer words than a shingle are hashed as one; no word gives zero. With `distinct`, of its distinct
+    words, in any order."""
     words = text.encode().translate(LOWER).split() if text else []
     if not words:
         return 0
+    if distinct:
+        words = sorted(set(words))
     body = b" ".join(words)
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(body, SEED)
@@ -63,14 +66,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > seen).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """(doc_id, row, fp) with the row's own number and the fingerprint as a signed long."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = common.partition_id() << 36
         for ids, texts in common.by_bytes(batches, 1):
-            fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle, distinct) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(range(row, row + len(ids)), pa.int64()), pa.array(fps)], names=["doc_id", "row", "fp"])
             row += len(ids)
 

@@ -42,7 +42,10 @@ class Vocab:
         self.ids, self.end = ids, model.get("end_of_word_suffix") or ""
         self.size = max(ids.values()) + 1
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        steps = spec.get("pre_tokenizer") or {}
+        #: Whether special strings have other rules than to be found as they are.
+        self.odd = any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        self.normalizer = spec.get("normalizer")
+        self.steps = steps = spec.get("pre_tokenizer") or {}
         #: The file's own split pattern, None where it leaves that to the byte-level step.
         self.split: str | None = next((p["pattern"].get("Regex") for p in steps.get("pretokenizers", [steps]) if p.get("type") == "Split"), None)
         symbols = byte_symbols()

@@ -170,7 +170,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(samples, shingle)
-        for ids, texts in common.rows(batches):
+        for ids, texts in common.by_bytes(batches, 1, rows=500):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([show(s.fingerprint(t)) for t in texts], pa.string())], names=["doc_id", "fingerprint"])
 
     return common.pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint string")
@@ -207,7 +207,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         s = sampler(samples, shingle)
         open_ = None  # the last own row, which still waits for its next
         drawn = None  # the row before it and its fingerprint, which waits for the fingerprint of open_
-        for cols in common.rows(batches, 200):
+        for cols in common.by_bytes(batches, 3, rows=200):
             out = []
             for p, guest, doc, text in zip(*cols):
                 if open_ is not None:

@@ -287,3 +287,87 @@ def test_new_queries_read_whole_tables(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
     assert found(queries.op13_hyperminhash(spark, sf)) == plain_components(rows)
     assert d.filter(F.col("text").isNull()).count() == 0
+
+
+# Near copies of the pipeline, and promises of the classifiers.
+
+
+def test_near_groups_drop_only_near_copies(spark):
+    """Every link found is one on the sets, and nearly all links are found."""
+    from segmill.llm import near_text
+
+    rows = [(i, t) for i, t in copies(11, 30, 6) if len(t.split()) > 8]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, node int").repartition(3)
+    group = {r["doc_id"]: r["group"] for r in near_text.near_groups(df).collect()}
+    sets = {i: plain_set(t, 5) for i, t in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    links = [(a, b) for a in sets for b in sets if a < b and near(a, b)]
+    assert sum(group.get(a) == group.get(b) is not None for a, b in links) >= 0.9 * len(links) and len(links) > 30
+    for i, g in group.items():
+        assert any(j != i and group[j] == g and near(i, j) for j in group) and min(j for j in group if group[j] == g) == g
+    assert near_text.near_groups(df.limit(0)).count() == 0
+
+
+def test_equal_texts_score_equally_in_any_batch(spark, sf):
+    from segmill.llm import language_id, quality
+
+    d = queries.table(spark, sf, "documents")
+    texts = [r["text"] for r in d.orderBy("doc_id").select("text").collect()][:101]
+    q = quality.fit(d, queries.table(spark, sf, "labels"))
+    lang = language_id.fit(d)
+    for t in texts[:12]:
+        some = [t, *texts[:100], t]
+        for size in (1, 2, 7, 33, 102):
+            batches = [some[i : i + size] for i in range(0, len(some), size)]
+            assert len({q.score(b)[k] for b in batches for k, x in enumerate(b) if x == t}) == 1
+            assert len({(x, s) for b in batches for x, s, y in zip(*lang.predict(b), b) if y == t}) == 1
+
+
+def test_automaton_wants_a_byte_level_file(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from segmill.llm import bpe_automaton
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in (("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "NFC"}), ("added_tokens", [dict(spec["added_tokens"][0], lstrip=True)])):
+        with open(path := f"{tmp_path}/{key}.json", "w") as f:
+            json.dump(spec | {key: value}, f)
+        with pytest.raises(ValueError):
+            bpe_automaton.Codec(path)
+
+
+def test_special_strings_need_no_bracket(tmp_path):
+    import json
+
+    import public_tokenizers
+    import tokenizers
+
+    from segmill.llm import bpe_automaton
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"] = [dict(spec["added_tokens"][0], content="[end]", id=50256)]
+    spec["model"]["vocab"].pop("<|endoftext|>", None)
+    spec["model"]["vocab"]["[end]"] = 50256
+    with open(path := f"{tmp_path}/t.json", "w") as f:
+        json.dump(spec, f)
+    t = tokenizers.Tokenizer.from_file(path)
+    for text in ("a [end] b", "[end][end]", "no end"):
+        assert np.frombuffer(bpe_automaton.Codec(path).encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    import corpus_pipeline
+
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text), (2, text + " more"), (2, "another text of its own, a few words long"), (None, text.upper()), (5, text + " more")]
+    cols = "doc_id long, text string, lang string, source string, n_chars long, _row string, _kept int, row_key string, Other_Key long, n int"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), f"r{k}", k, f"k{k}", k, k) for k, (i, t) in enumerate(rows)], cols).repartition(2)
+    exact = corpus_pipeline.exact_dedup_stage(spark, df, sf)
+    near = corpus_pipeline.near_dedup_stage(spark, exact, sf)
+    assert exact.columns == near.columns == df.columns
+    assert sorted((r["_row"], r["_kept"], r["row_key"], r["Other_Key"]) for r in exact.collect()) == [(f"r{k}", k, f"k{k}", k) for k in (0, 1, 2, 3)]
+    assert sorted(r["_row"] for r in near.collect()) == ["r0", "r2"]
