@@ -12,23 +12,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import exact_dedup, language_id, packing, quality, queries, simhash
+from segmill.llm import exact_dedup, language_id, near_text, packing, quality, queries
 from segmill.session import materialize, shared_dir
 
 #: A document goes if it has no letter, or if its likeliest language is less likely than all others together.
 LEAST_LANGUAGE = 0.5
 #: A document goes if it is more likely bad than good.
 LEAST_QUALITY = 0.5
-#: Documents are near copies if their fingerprints differ in so many bits of 64 at most.
-NEAR_BITS = 6
-#: The column by which the verdict on a row finds it.
-KEY = "_row"
+#: Documents are near copy candidates if the fingerprints of their distinct words differ in so many bits of
+#: 64 at most; their sets of 5-word shingles decide.
+NEAR_BITS = 7
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows with these keys, with the columns of the documents."""
-    kept = docs.join(keys.select(F.col("doc_id").alias("_kept")).distinct(), F.col(KEY).eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.drop(KEY)
+def _new_name(docs: DataFrame, name: str) -> str:
+    """A name that no column has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _only(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """The rows with these keys, or with others, with the columns of the documents."""
+    kept = keys.select(F.col(keys.columns[0]).alias(other := _new_name(docs, "other_key"))).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(other)), how).drop(key)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,26 +48,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_quality(docs, queries.table(spark, sf_dir, "labels"), LEAST_QUALITY)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key of their own, in the order of doc_id, nulls last. A doc_id that no row repeats is
-    the key; else rows are numbered, and written so that verdicts and rows come from one numbering."""
-    if not docs.groupBy("doc_id").count().filter("count > 1").head(1):
-        return docs.withColumn(KEY, F.col("doc_id"))
-    at = docs.withColumn(KEY, F.monotonically_increasing_id())  # parts a repeated doc_id among tasks
-    return materialize(at.orderBy(F.col("doc_id").asc_nulls_last(), KEY).withColumn(KEY, F.monotonically_increasing_id()))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a key of their own, in the order of doc_id, nulls last, and the key's name. A doc_id that no
+    row repeats or lacks is the key; else rows are numbered, and written so that verdicts and rows come from
+    one numbering."""
+    key = _new_name(docs, "row_key")
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if not counts.filter("n > 1 OR doc_id IS NULL").head(1):
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    at = docs.withColumn(key, F.monotonically_increasing_id())  # parts a repeated doc_id among tasks
+    return materialize(at.orderBy(F.col("doc_id").asc_nulls_last(), key).withColumn(key, F.monotonically_increasing_id())), key
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    docs = _keyed(docs)
-    return _only(docs, exact_dedup.exact_dedup(docs, KEY).filter("kept"))
+    docs, key = _keyed(docs)
+    return _only(docs, exact_dedup.exact_dedup(docs, key).filter("kept").select("doc_id"), key, "left_semi")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints, that with the smallest id."""
-    docs = _keyed(docs)
-    found = simhash.simhash_groups(docs, KEY, radius=NEAR_BITS)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group of near copies, that with the smallest id."""
+    docs, key = _keyed(docs)
+    found = near_text.near_groups(docs, key, radius=NEAR_BITS)
+    return _only(docs, found.filter(F.col("doc_id") != F.col("group")).select("doc_id"), key, "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
