@@ -2,13 +2,15 @@
 
 A short text's places are bits, 64 to a word; a step takes one character of each row's window and
 updates all rows' words together: with m the places of that character among the bits s that are
-still set, s becomes (s + (s & m)) | (s & ~m), the carry going from word to word. The bits that end
-up cleared are the length. Rows are sorted by length, so those still running are always the first.
+still set, s becomes (s + (s & m)) | (s & ~m), the carry going from word to word. The length is how
+often the last word has overflowed. Rows are sorted by length, so those still running are always the first.
 Few rows of long texts go the same way one by one over Python's integers, where arrays would be slow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -44,6 +46,17 @@ class Masks:
             table[self.codes(k, t), np.arange(len(t))] = True
         self.table = np.ascontiguousarray(np.packbits(table, axis=1, bitorder="little").view(np.uint64))
 
+    def backwards(self) -> Masks:
+        """The same of the texts read backwards; rows keep their numbers."""
+        out = Masks.__new__(Masks)
+        out.words, out.known, out.first = self.words, self.known, self.first
+        bits = np.unpackbits(self.table.view(np.uint8), axis=1, bitorder="little")
+        owner = np.repeat(np.arange(len(self.known)), np.diff(self.first))
+        size = np.array([int(bits[a:b].any(0).sum()) for a, b in zip(self.first, self.first[1:])])
+        at = size[owner][:, None] - 1 - np.arange(bits.shape[1])
+        out.table = np.packbits(np.where(at >= 0, np.take_along_axis(bits, np.maximum(at, 0), 1), 0), axis=1, bitorder="little").view(np.uint64)
+        return out
+
     def codes(self, k: int, chars: np.ndarray) -> np.ndarray:
         """Rows of the table for the characters, as text k has them."""
         own = self.known[k]
@@ -64,14 +77,16 @@ def _bits(flags: np.ndarray) -> np.ndarray:
     return out.view(np.uint64)[:, 0]
 
 
-def _by_array(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _by_array(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, trace: np.ndarray | None) -> np.ndarray:
     order = np.argsort(-size, kind="stable")
     begin, size = begin[order], size[order]
-    state = np.full((len(begin), masks.words), _ALL)
+    words = masks.words
+    state = np.full((len(begin), words), _ALL)
     places, total, over = np.empty_like(state), np.empty_like(state), np.empty(state.shape, bool)
     running = len(size) - np.searchsorted(size[::-1], np.arange(1, size[0] + 1))
     at, last = begin.copy(), 0
-    for k in running.tolist():
+    length = np.zeros(len(begin), np.int64)
+    for step, k in enumerate(running.tolist()):
         if k != last:
             s, u, t, c = state[:k], places[:k], total[:k], over[:k]
             at, last = at[:k], k
@@ -79,43 +94,70 @@ def _by_array(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarr
         at += 1
         np.bitwise_and(s, u, out=u)
         np.add(s, u, out=t)
-        if masks.words > 1:
+        np.less(t, s, out=c)
+        # The length grows by one where the last word overflows.
+        if words == 1:
+            grown = c[:, 0]
+        else:
             # Which words overflow, and which are full and pass a carry on, as bits of one number a row:
             # adding the two shows where carries arrive.
-            out_of, full = _bits(np.less(t, s, out=c)), _bits(np.equal(t, _ALL, out=c))
+            out_of, full = _bits(c), _bits(np.equal(t, _ALL, out=c))
             arrive = ((out_of << _ONE) + full) ^ full
-            t += np.unpackbits(arrive.view(np.uint8).reshape(k, 8), axis=1, count=masks.words, bitorder="little")
+            t += np.unpackbits(arrive.view(np.uint8).reshape(k, 8), axis=1, count=words, bitorder="little")
+            grown = (arrive >> np.uint64(words)).astype(bool)
+        length[:k] += grown
+        if trace is not None:
+            trace[step + 1, order[:k]] = length[:k]
         np.bitwise_xor(s, u, out=u)
         np.bitwise_or(t, u, out=s)
     out = np.empty(len(order), np.int64)
-    out[order] = masks.words * 64 - np.bitwise_count(state).sum(1, dtype=np.int64)
+    out[order] = length
     return out
 
 
-def _by_integer(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _by_integer(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, trace: np.ndarray | None) -> np.ndarray:
     used = np.unique(np.concatenate([np.unique(codes[b : b + n]) for b, n in zip(begin.tolist(), size.tolist())]))
     places = {int(c): int.from_bytes(np.ascontiguousarray(masks.table[c]).tobytes(), "little") for c in used}
-    full = (1 << 64 * masks.words) - 1
+    top = 64 * masks.words
+    full = (1 << top) - 1
     out = []
-    for b, n in zip(begin.tolist(), size.tolist()):
-        s = full
+    for k, (b, n) in enumerate(zip(begin.tolist(), size.tolist())):
+        s, lengths = full, [0]
         for c in codes[b : b + n].tolist():
             u = s & places[c]
-            s = (s + u | s - u) & full
-        out.append(64 * masks.words - s.bit_count())
+            t = s + u
+            lengths.append(lengths[-1] + (t >> top))
+            s = (t | s - u) & full
+        out.append(lengths[-1])
+        if trace is not None:
+            trace[: n + 1, k] = lengths
     return np.array(out, np.int64)
 
 
-def lcs_lengths(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each row the LCS length of a text with its window codes[begin : begin + size]."""
-    out = np.zeros(len(begin), np.int64)
+def _batches(masks: Masks, size: np.ndarray) -> Iterator[tuple[np.ndarray, Callable]]:
+    """Rows of like length, and the way to step through them."""
     some = np.flatnonzero(size > 0)
-    some = some[np.argsort(size[some], kind="stable")]  # rows of like length go together
+    some = some[np.argsort(size[some], kind="stable")]
     rows = max(64, WORDS // masks.words)
     for i in range(0, len(some), rows):
         x = some[i : i + rows]
-        b, n = begin[x], size[x]
+        n = size[x]
         arrays = int(n.max()) * (_CALL + _TAKE * masks.words) + int(n.sum()) * masks.words * _ROW
         integers = int(n.sum()) * (_STEP + _WORD * masks.words)
-        out[x] = (_by_array if arrays < integers and masks.words <= MOST_WORDS else _by_integer)(masks, codes, b, n)
+        yield x, _by_array if arrays < integers and masks.words <= MOST_WORDS else _by_integer
+
+
+def lcs_lengths(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each row the LCS length of a text with its window codes[begin : begin + size]."""
+    out = np.zeros(len(begin), np.int64)
+    for x, way in _batches(masks, size):
+        out[x] = way(masks, codes, begin[x], size[x], None)
     return out
+
+
+def lcs_traces(masks: Masks, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, lengths) in batches: lengths[j, k] is that of the first j characters of the k-th row's window."""
+    for x, way in _batches(masks, size):
+        trace = np.zeros((int(size[x].max()) + 1, len(x)), np.int32)
+        way(masks, codes, begin[x], size[x], trace)
+        yield x, trace

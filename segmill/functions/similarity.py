@@ -5,10 +5,10 @@ the partial score is the best score of the shorter string with any window of the
 of its own length, and shorter ones at both ends.
 
 Windows are found by bounds, for all pairs of a batch together. Windows that begin within a block of
-places lie within one stretch of the text, and the LCS with that stretch bounds theirs. Blocks that
-can't reach the best score so far are dropped, the others are halved until they are single windows;
-of each pair's most promising block one window is scored at each turn, which raises its best. Before
-the first LCS, counts of shared characters bound it.
+places lie within one stretch of the text, and the LCS with that stretch bounds theirs; before that,
+counts of shared characters do. Of the blocks that may reach the least score each window gets a bound
+of its own from two passes over the stretch, and windows are scored by falling bound until none that is
+left can be better.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 from segmill import schema
-from segmill.functions.lcs import Masks, lcs_lengths, word_class
+from segmill.functions.lcs import Masks, lcs_lengths, lcs_traces, word_class
 
 #: Characters of long texts that are encoded at once.
 BATCH_CHARS = 1 << 22
@@ -41,7 +41,10 @@ class _Blocks:
     """Blocks of window starts [x, x + span) of pairs; a window of start x is [max(x, 0), min(x + n, m))."""
 
     def __init__(self, pair: np.ndarray, x: np.ndarray, last: np.ndarray, n: np.ndarray, m: np.ndarray):
-        self.pair, self.x, self.last, self.n, self.m = pair, x, last, n[pair], m[pair]  # last: of the block's starts
+        self.pair, self.x, self.last, self.n, self.m = pair, x, last, n, m  # last: of the block's starts
+
+    def only(self, some: np.ndarray) -> _Blocks:
+        return _Blocks(*(v[some] for v in (self.pair, self.x, self.last, self.n, self.m)))
 
     def stretch(self) -> tuple[np.ndarray, np.ndarray]:
         begin = np.maximum(self.x, 0)
@@ -77,38 +80,67 @@ def _scan(masks: Masks, which: np.ndarray, longs: list[np.ndarray], n: np.ndarra
     count = np.maximum(-(-(high - low + 1) // span), 0)
     pair = np.repeat(np.arange(len(n)), count)
     x = low[pair] + (np.arange(len(pair)) - np.repeat(np.cumsum(count) - count, count)) * span[pair]
-    blocks = _Blocks(pair, x, np.minimum(x + span[pair] - 1, high[pair]), n, m)
+    blocks = _Blocks(pair, x, np.minimum(x + span[pair] - 1, high[pair]), n[pair], m[pair])
     shared = _shared(masks, which, codes, at, blocks)
     bound = _best_ratio(shared, blocks.n, *blocks.sizes())
-    while len(blocks.pair):
-        left = may(bound, blocks.pair)
-        blocks = _Blocks(blocks.pair[left], blocks.x[left], blocks.last[left], n, m)
-        most = lcs_of(blocks)
-        bound = _best_ratio(most, blocks.n, *blocks.sizes())
-        single = blocks.x == blocks.last
-        np.maximum.at(best, blocks.pair[single], np.where(may(bound, blocks.pair), bound, 0)[single])
-        hit[blocks.pair[single & (bound >= best[blocks.pair])]] = True
-        left = np.flatnonzero(~single & may(bound, blocks.pair))
+    blocks = blocks.only(may(bound, blocks.pair))
+    bound = _best_ratio(lcs_of(blocks), blocks.n, *blocks.sizes())
+    blocks = blocks.only(may(bound, blocks.pair))
+    if not len(blocks.pair):
+        return np.zeros(len(n))
+    windows, bound = _windows(masks.backwards(), masks, codes, at, blocks)
+    each = 1
+    while True:
+        left = np.flatnonzero(may(bound, windows.pair))
         if not len(left):
             break
-        # The middle window of each pair's best block.
-        order = left[np.lexsort((-bound[left], blocks.pair[left]))]
-        top = order[np.append(True, blocks.pair[order][1:] != blocks.pair[order][:-1])]
-        middle = (blocks.x[top] + blocks.last[top]) // 2
-        probe = _Blocks(blocks.pair[top], middle, middle, n, m)
-        got = _best_ratio(lcs_of(probe), probe.n, *probe.sizes())
-        better = may(got, probe.pair)
-        best[probe.pair[better]], hit[probe.pair[better]] = got[better], True
-        left = left[may(bound[left], blocks.pair[left])]
-        half = (blocks.x[left] + blocks.last[left]) // 2
-        pair = np.repeat(blocks.pair[left], 2)
-        x = np.stack([blocks.x[left], half + 1], 1).ravel()
-        last = np.stack([half, blocks.last[left]], 1).ravel()
-        bound = np.repeat(bound[left], 2)
-        blocks = _Blocks(pair, x, last, n, m)
+        # Of each pair the windows with the highest bounds, twice as many each time.
+        order = left[np.lexsort((-bound[left], windows.pair[left]))]
+        new = np.append(True, windows.pair[order][1:] != windows.pair[order][:-1])
+        first = np.flatnonzero(new)
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        top = windows.only(order[rank < each])
+        got = _best_ratio(lcs_of(top), top.n, *top.sizes())
+        good = may(got, top.pair)
+        np.maximum.at(best, top.pair[good], got[good])
+        hit[top.pair[good]] = True
+        rest = order[rank >= each]
+        windows, bound, each = windows.only(rest), bound[rest], 2 * each
     return np.where(hit, best, 0.0)
 
 
+def _windows(back: Masks, masks: Masks, codes: np.ndarray, at: np.ndarray, blocks: _Blocks) -> tuple[_Blocks, np.ndarray]:
+    """All windows of the blocks, and a bound on the score of each.
+
+    With f the LCS of the short text and a part of the long one, f is largest on a whole stretch, and what
+    its parts lose adds up: f(window) <= f(up to its end) + f(from its start) - f(stretch). One pass gives
+    the second for all ends, one from the back the third for all starts.
+    """
+    begin, size = blocks.stretch()
+    ends = np.empty(len(size), object)
+    for rows, trace in lcs_traces(masks, codes, at[blocks.pair] + begin, size):
+        for k, r in enumerate(rows.tolist()):
+            ends[r] = trace[: size[r] + 1, k].copy()
+    starts = np.empty(len(size), object)
+    total = len(codes)
+    for rows, trace in lcs_traces(back, codes[::-1], total - (at[blocks.pair] + begin + size), size):
+        for k, r in enumerate(rows.tolist()):
+            starts[r] = trace[: size[r] + 1, k].copy()
+    count = blocks.last - blocks.x + 1
+    block = np.repeat(np.arange(len(size)), count)
+    x = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count) + blocks.x[block]
+    windows = _Blocks(blocks.pair[block], x, x, blocks.n[block], blocks.m[block])
+    most = np.empty(len(block), np.int64)
+    low, own = windows.stretch()
+    low = low - begin[block]
+    i = 0
+    for r, c in enumerate(count.tolist()):
+        a, e = low[i : i + c], low[i : i + c] + own[i : i + c]
+        most[i : i + c] = ends[r][e] + starts[r][size[r] - a] - ends[r][size[r]]
+        i += c
+    return windows, _best_ratio(most, windows.n, *windows.sizes())
+
+
 def _shared(masks: Masks, which: np.ndarray, codes: np.ndarray, at: np.ndarray, blocks: _Blocks) -> np.ndarray:
     """How many characters, counted with repeats, a block's stretch shares with its text."""
     begin, size = blocks.stretch()
