@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segmill import schema
+from segmill.session import ship
+from segmill.sources.named import NamedFiles
 
 
 def ordered(df: DataFrame, columns: list[str] = schema.OUTPUT_COLUMNS) -> DataFrame:
@@ -42,26 +45,28 @@ def results_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def named_files(df: DataFrame, path: str, by: list[str], name: str, fmt: str = "csv", **options) -> None:
+def _named(template: str) -> Column:
+    """The template with the columns in braces filled in."""
+    parts = []
+    for text, column, _, _ in Formatter().parse(template):
+        parts += [F.lit(text)] * bool(text) + ([F.col(column).cast("string")] if column else [])
+    return F.concat(*parts)
+
+
+def named_files(df: DataFrame, path: str, by: list[str], name: str, fmt: str = "csv", header: bool = False, **options: str) -> None:
     """One file for each value of `by`, named by the template (for instance "{creator_id}_pairs.csv"),
-    whose columns aren't repeated in the file. Values must be fit for names. The files are written by the
-    tasks; the driver then only renames them, so their number should suit one folder."""
+    whose columns aren't repeated in the file. Values must be fit for names; rows with a null one go to no
+    file. Lines are made by Spark as its own writers make them; the tasks write and name the files, each
+    file in one task."""
     spark = df.sparkSession
-    tmp = f"{path}/_writing"
-    df.repartition(*by).write.partitionBy(*by).options(**options).mode("overwrite").format(fmt).save(tmp)
-    jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(tmp)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = fs.listFiles(top, True)
-    while found.hasNext():
-        at = found.next().getPath()
-        folders = dict(f.split("=", 1) for f in at.getParent().toString().split("/")[-len(by) :] if "=" in f)
-        if len(folders) == len(by):
-            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name.format(**folders)}")
-            fs.mkdirs(target.getParent())
-            if not fs.rename(at, target):
-                raise OSError(f"{at} can't become {target}")
-    fs.delete(top, True)
+    ship(spark)
+    spark.dataSource.register(NamedFiles)
+    own = [c for c in df.columns if c not in by]
+    lines = {"csv": lambda: F.to_csv(F.struct(*own), options), "json": lambda: F.to_json(F.struct(*own), options), "text": lambda: F.col(own[0])}
+    first = df.sparkSession.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in own]), options)).first()[0] if header else ""
+    rows = df.select(_named(name).alias("name"), lines[fmt]().alias("line")).filter(F.col("name").isNotNull())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, "name").sortWithinPartitions("name").write.format("named_files").option("path", path).option("header", first).mode("append").save()
 
 
 def report(df: DataFrame, order: list[Column], digits: int = 4, hide: Sequence[str] = ()) -> DataFrame:

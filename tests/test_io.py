@@ -167,3 +167,36 @@ def test_report_has_all_rows(spark):
     lines = [r["line"] for r in writers.report(x, [F.col("id")], 2).orderBy("number").collect()]
     assert len(lines) == 1502 and lines[:4] == ["| id | v | n |", "|---|---|---|", "| 0 | 0.00 |  |", "| 1 | 0.25 | x |"]
     assert writers.markdown(x).count("\n") == 1501
+
+
+def test_named_files_of_a_failed_task(spark, tmp_path):
+    """A task that fails leaves nothing behind, and the files of the others have no other names beside them."""
+    import os
+
+    x = spark.range(40).select((F.col("id") % 5).alias("g"), F.col("id").alias("v"), F.when(F.col("id") % 4 == 0, 'a "b"\nc').alias("t"))
+    writers.named_files(x, f"file://{tmp_path}/a", ["g"], "sub{g}/part-{g}.csv", header=True, escape='"')
+    assert sorted(os.listdir(f"{tmp_path}/a")) == [f"sub{k}" for k in range(5)] and os.listdir(f"{tmp_path}/a/sub3") == ["part-3.csv"]
+    got = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"file://{tmp_path}/a/*")
+    assert sorted((int(r["v"]), r["t"]) for r in got.collect()) == [(k, None if k % 4 else 'a "b"\nc') for k in range(40)]
+    writers.named_files(x, f"file://{tmp_path}/a", ["g"], "sub{g}/part-{g}.csv", header=True, escape='"')  # again: the same files
+    assert os.listdir(f"{tmp_path}/a/sub3") == ["part-3.csv"]
+    bad = x.withColumn("t", F.when(F.col("v") == 38, F.raise_error(F.lit("no"))).otherwise(F.lit("x")).cast("string"))
+    with pytest.raises(Exception):
+        writers.named_files(bad.coalesce(1), f"file://{tmp_path}/b", ["g"], "{g}.csv")
+    assert not os.path.exists(f"{tmp_path}/b") or not any(f.endswith(".csv") and f.startswith("_") for f in os.listdir(f"{tmp_path}/b"))
+
+
+def test_named_files_writer_cleans_up(tmp_path):
+    import os
+
+    import pyarrow as pa
+
+    from segmill.sources.named import NamedFilesWriter
+
+    def rows():
+        yield pa.RecordBatch.from_arrays([pa.array(["a.txt", "b.txt"]), pa.array(["1", "2"])], names=["name", "line"])
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        NamedFilesWriter(f"file://{tmp_path}/w", "").write(rows())
+    assert os.listdir(f"{tmp_path}/w") == []
