@@ -7,15 +7,14 @@ loss, what bounds on the LCS exclude.
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segmill import schema
 from segmill.functions.similarity import partial_ratio_from_udf, partial_ratio_udf
 from segmill.functions.text import let, tokens
-from segmill.session import ship
+from segmill.session import materialize, ship
 
 
 def window_chunks(text: Column, size: int = schema.WINDOW_CHARS, step: int = schema.WINDOW_STEP, whole: int = schema.WHOLE_CHARS) -> Column:
@@ -123,32 +122,39 @@ def caption_scores(shorts: DataFrame, longs: DataFrame, by: str = "creator_id",
     return scored.groupBy(by, "short_id", "long_id", "short_pos", "long_pos").agg(F.min_by("score", "_start").alias("score"))
 
 
+#: More turns than any input needs whose shorts compete for fewer longs than this.
+ASSIGN_TURNS = 1000
+
+
 def greedy_assign(scores: DataFrame, by: str = "creator_id", capacity: int = schema.MAX_PAIRS_PER_LONG, least: float = schema.MATCH_SCORE) -> DataFrame:
     """Shorts in list order each take the best long that has fewer than `capacity` pairs; of equal
     scores the first long. A short that reaches no long takes nothing.
 
-    The order of decisions within a creator is what defines the result, so a creator's candidates
-    (at most 200 x 20 by the caps before) are walked in one task; creators are independent.
+    All longs prefer earlier shorts, so what the walk through the list gives is the one stable matching,
+    which proposals in turns give as well: each short asks the best long that may still take it, a long
+    keeps the first `capacity` of those that ask, and once it is full, later shorts than its last one ask
+    it no more. Each turn is a join, a minimum a short and a limited rank a long, so no creator is walked
+    in one task; a long's limit is written to the shared folder from turn to turn.
     """
-    ship(scores.sparkSession)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        out = []
-        for _, own in pdf.sort_values(["short_pos", "short_id", "long_pos", "long_id"]).groupby(["short_pos", "short_id"], sort=False):
-            best = None
-            for row in own.itertuples(index=False):
-                if used.get(row.long_id, 0) < capacity and (best is None or row.score > best.score):
-                    best = row
-            if best is not None and best.score >= least:
-                used[best.long_id] = used.get(best.long_id, 0) + 1
-                out.append((getattr(best, by), best.short_id, best.long_id, round(best.score, 1)))
-        return pd.DataFrame(out, columns=[by, "short_id", "long_id", "caption_score"])
-
-    kind = dict(scores.dtypes)
-    cols = [by, "short_id", "long_id", "score", "short_pos", "long_pos"]
-    ddl = f"{by} {kind[by]}, short_id {kind['short_id']}, long_id {kind['long_id']}, caption_score double"
-    return scores.filter(F.col("score") >= least).select(*cols).groupBy(by).applyInPandas(walk, ddl)
+    first = F.struct("short_pos", "short_id")
+    want = F.struct(-F.col("score"), F.col("long_pos"), F.col("long_id"))
+    asks = materialize(scores.filter(F.col("score") >= least).select(F.col(by).alias("_by"), "short_id", "long_id", "score", first.alias("_first"), want.alias("_want")))
+    limits, before = None, None
+    for _ in range(ASSIGN_TURNS):
+        open_ = asks
+        if limits is not None:
+            full = limits.select(F.col("_by").alias("_of"), F.col("long_id").alias("_full"), "_last")
+            open_ = asks.join(full, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("long_id") == F.col("_full")), "left").filter(F.col("_last").isNull() | (F.col("_first") <= F.col("_last")))
+        asked = open_.groupBy("_by", "_first").agg(F.min_by(F.struct("short_id", "long_id", "score"), "_want").alias("x")).select("_by", "_first", "x.*")
+        rank = F.row_number().over(W.partitionBy("_by", "long_id").orderBy("_first"))
+        held = asked.withColumn("_rank", rank).filter(F.col("_rank") <= capacity)
+        new = materialize(held)
+        limits = new.filter(F.col("_rank") == capacity).select("_by", "long_id", F.col("_first").alias("_last"))
+        now = limits.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_by", "long_id", "_last").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            return new.select(F.col("_by").alias(by), "short_id", "long_id", F.round("score", 1).alias("caption_score"))
+        before = now
+    raise RuntimeError(f"assignment did not settle in {ASSIGN_TURNS} turns")
 
 
 def locate(pairs: DataFrame, shorts: DataFrame, chunks: DataFrame) -> DataFrame:

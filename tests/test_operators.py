@@ -457,3 +457,25 @@ def test_relabel_at_thresholds(spark):
     cols = "short_engagement_rate double, creator_median_engagement_rate double, short_views_per_day double, creator_median_views_per_day double, label int"
     p = make(spark, cols, [(0.3, 0.1, 1.0, 10.0, 0), (0.15, 0.1, 25.0, 10.0, 0), (0.3, 0.0, None, None, 1)])
     assert [r["label"] for r in rows(engagement.relabel_pairs(p))] == [1, 0, 0] and [r["label"] for r in rows(engagement.relabel_pairs(p, 4.0, 2.0))] == [0, 1, 0]
+
+
+@pytest.mark.parametrize("seed,capacity", [(1, 1), (2, 2), (3, 5)])
+def test_assignment_equals_the_walk(spark, seed, capacity):
+    """One creator has most rows; scores tie, and shorts compete for the same longs."""
+    rnd = random.Random(seed)
+    data = []
+    for s in range(90):
+        c = "hot" if s % 4 else rnd.choice(["a", None])
+        for t in rnd.sample(range(14), rnd.randint(0, 8)):
+            data.append((c, s, f"L{t}", (s * 7) % 90, t // 2, float(rnd.choice([79, 80, 80, 85, 85, 90, 95]))))
+    used, want = {}, set()
+    for c, s in sorted({(d[0], d[1]) for d in data}, key=lambda x: ((x[1] * 7) % 90, x[1])):
+        best = None
+        for d in sorted((d for d in data if d[0] == c and d[1] == s), key=lambda d: (d[4], d[2])):
+            if used.get((c, d[2]), 0) < capacity and (best is None or d[5] > best[5]) and d[5] >= 80:
+                best = d
+        if best:
+            used[c, best[2]] = used.get((c, best[2]), 0) + 1
+            want.add((c, s, best[2], best[5]))
+    df = make(spark, "creator_id string, short_id int, long_id string, short_pos int, long_pos int, score double", data)
+    assert {(r["creator_id"], r["short_id"], r["long_id"], r["caption_score"]) for r in rows(matching.greedy_assign(df, capacity=capacity))} == want
