@@ -124,15 +124,12 @@ def language_and_repurpose_gate(df: DataFrame) -> DataFrame:
 def creator_ids(creators: DataFrame, categories: Sequence[str] = schema.CATEGORIES) -> DataFrame:
     """CR0001... by category in the fixed order, then by subscribers, then by channel id.
 
-    Ranks within a category come from a window for each; their offsets from the categories' counts, so
-    no window spans the whole table.
+    Numbers come from the partitions of a global sort and their sizes, so no window spans a category or
+    the table.
     """
-    ranked = creators.withColumn("_cat", rank_of(F.col("category"), categories))
-    within = F.row_number().over(W.partitionBy("_cat").orderBy(F.desc("subscribers"), "channel_id"))
-    sizes = ranked.groupBy("_cat").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("_cat", (F.sum("n").over(W.orderBy("_cat")) - F.col("n")).alias("_before"))  # one row a category
-    numbered = ranked.withColumn("_k", within).join(F.broadcast(offsets), "_cat")
-    return numbered.withColumn("creator_id", F.format_string("CR%04d", F.col("_before") + F.col("_k"))).drop("_cat", "_k", "_before")
+    ranked = creators.withColumn("_cat", rank_of(F.col("category"), categories)).orderBy("_cat", F.desc("subscribers"), "channel_id")
+    x = numbered(in_order(ranked.drop("_cat"), "_part", "_at"), "_part", "_at")
+    return x.withColumn("creator_id", F.format_string("CR%04d", F.col("position"))).select(*creators.columns, "creator_id")
 
 
 def round_robin(creators: DataFrame, machines: int, by: str = "longs_count", ident: str = "creator_id") -> DataFrame:
@@ -165,6 +162,11 @@ def shuffle_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+def in_order(df: DataFrame, part: str = "part", at: str = "at") -> DataFrame:
+    """What numbered() takes, from sorted rows."""
+    return df.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()})
+
+
 def numbered(df: DataFrame, part: str = "part", at: str = "at") -> DataFrame:
     """With `position`, counted from 1, of rows in order: `part` and `at` are the number of the row's
     partition and its monotonically increasing id. Only the partitions' sizes are put in one window."""

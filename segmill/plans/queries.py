@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segmill import schema
 from segmill.functions import scalar, text
-from segmill.operators import captions, discovery, engagement, matching, metrics, models, normalise, segments, splits, stats, validation
+from segmill.operators import captions, discovery, engagement, fusion, matching, metrics, models, normalise, segments, splits, stats, validation
 from segmill.plans import pipelines, tables
 from segmill.plans.registry import ORACLE, QUERIES, query
 from segmill.plans.tables import read, sql
@@ -869,6 +869,18 @@ def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
     return s
 
 
+@query()
+def fusion_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A network over text features, structural features and vectors, and without each of the three."""
+    x = _model_table(spark, sf)
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("segment_id"), "embedding")
+    x = x.join(v, "segment_id", "left")
+    groups = {g: [c for c in schema.GROUPS[g] if c in x.columns] for g in ("text", "structural")}
+    x = x.withColumns({g: F.array(*[F.col(c).cast("double") for c in own]) for g, own in groups.items()})
+    branches = {"text": "text", "structural": "structural", "vectors": "embedding"}
+    return fusion.fit(x, branches, fusion.without_each(list(branches))).scores()
+
+
 @query()
 def ablation(spark: SparkSession, sf: str) -> DataFrame:
     """M11 with the feature groups that need no external extractor."""

@@ -181,8 +181,8 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {RESULT} SELECT model, CAST(row_number() OVER (ORDER BY p3 DESC, model) AS INTEGER) AS number FROM r")
 def report_order(spark: SparkSession, sf: str) -> DataFrame:
     """T4: the rows of a report in order; numbered as they come, since a result has no order of its own."""
-    x = metrics.report_order(_results(spark, sf), "p3", "model").coalesce(1)
-    return x.select("model", (F.monotonically_increasing_id() + 1).cast("int").alias("number"))
+    x = discovery.numbered(discovery.in_order(metrics.report_order(_results(spark, sf), "p3", "model")))
+    return x.select("model", F.col("position").cast("int").alias("number"))
 
 
 @query("SELECT d.doc_id, coalesce(b.text, '') AS text FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segmill import schema
+from segmill.operators.discovery import in_order, numbered
 from segmill.session import ship
 from segmill.sources.named import NamedFiles
 
@@ -76,7 +76,7 @@ def report(df: DataFrame, order: list[Column], digits: int = 4, hide: Sequence[s
     kinds = dict(df.dtypes)
     show = lambda c: F.format_string(f"%.{digits}f", F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).cast("string")
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.when(F.col(c).isNull(), "").otherwise(show(c)) for c in names]), F.lit(" |"))
-    body = df.select(F.row_number().over(W.orderBy(*order)).alias("number"), cells.alias("line"))  # a report is small
+    body = numbered(in_order(df.orderBy(*order).select(cells.alias("line")))).select(F.col("position").cast("int").alias("number"), "line")
     head = [(-1, "| " + " | ".join(names) + " |"), (0, "|" + "---|" * len(names))]
     return df.sparkSession.createDataFrame(head, "number int, line string").union(body)
 

@@ -152,3 +152,56 @@ def test_seeds_share_the_scores(spark):
     s, imp = models.boosted_trees(df, COLS, seeds=(3, 4), rounds=2, depth=2)
     by = {r["seed"]: r["s"] for r in s.groupBy("seed").agg(F.sort_array(F.collect_list(F.struct("segment_id", "score"))).alias("s")).collect()}
     assert by[3] == by[4] and s.columns == models.SCORE_COLUMNS and imp.count() == 2
+
+
+# Late fusion.
+
+
+def test_gradients_by_differences():
+    from segmill.operators import fusion
+
+    rng = np.random.default_rng(4)
+    p = fusion.Params(hidden=4, branch=3, fused=5)
+    layers = fusion.start({"a": 3, "b": 2}, p, 1)
+    layers = fusion.unflat(fusion.flat(layers) + rng.normal(0, 0.1, len(fusion.flat(layers))), layers)
+    x, y = {"a": rng.normal(size=(9, 3)), "b": rng.normal(size=(9, 2))}, rng.integers(0, 2, 9)
+    _, g = fusion.gradient(layers, x, y, 2.5)
+    v, g = fusion.flat(layers), fusion.flat(g)
+    for k in range(len(v)):
+        step = np.zeros(len(v))
+        step[k] = 1e-6
+        high, low = (fusion.gradient(fusion.unflat(v + s, layers), x, y, 2.5)[0] for s in (step, -step))
+        assert g[k] == pytest.approx((high - low) / 2e-6, abs=1e-4)
+
+
+def test_fusion_beats_its_best_branch(spark):
+    """The label needs both branches; a third is noise, and vectors are missing or short here and there."""
+    from segmill.operators import fusion, metrics
+
+    rnd = random.Random(6)
+    rows = []
+    for k in range(900):
+        a, b = [rnd.gauss(0, 1) for _ in range(3)], [rnd.gauss(0, 1) for _ in range(2)]
+        y = int(a[0] + a[1] + 1.5 * b[0] + rnd.gauss(0, 0.5) > 1)
+        rows.append((f"v{k % 31}", k, ("train", "train", "val", "test")[k % 4], y if k % 60 else None, a if k % 40 else None, b if k % 45 else b[:1], [rnd.gauss(0, 1), None]))
+    df = spark.createDataFrame(rows, "video_id string, segment_id long, split string, label int, a array<double>, b array<double>, c array<double>").repartition(4)
+    runs = {"fusion": ["a", "b", "c"], "only:a": ["a"], "only:b": ["b"]}
+    study = fusion.fit(df, {"a": "a", "b": "b", "c": "c"}, runs, seeds=(0, 1), params=fusion.Params(epochs=20, hidden=8, branch=8, fused=8))
+    s = study.scores()
+    assert s.count() == 900 * 6 and s.columns == ["model", "seed", "video_id", "segment_id", "split", "y", "score"]
+    auc = {(r["model"], r["seed"]): r["auc_roc"] for r in metrics.auc(s.filter("split = 'test' AND y IS NOT NULL"), ["model", "seed"]).collect()}
+    for seed in (0, 1):
+        assert auc["fusion", seed] > max(auc["only:a", seed], auc["only:b", seed]) + 0.02 and auc["fusion", seed] > 0.85
+    assert fusion.without_each(["a", "b"]) == {"fusion": ["a", "b"], "without:a": ["b"], "without:b": ["a"]}
+    for some in (df.filter("split <> 'train'"), df.filter("split = 'train'"), df.limit(0)):
+        got = fusion.fit(some, {"a": "a"}, seeds=(0,), params=fusion.Params(epochs=1, hidden=2, branch=2, fused=2)).scores()
+        assert got.count() == some.count()
+
+
+def test_fusion_stops():
+    from segmill.operators import fusion
+
+    r = fusion.Run("m", 0, ["a"], {}, 1.0, 1.0, block=[{"k": i} for i in range(5)])
+    assert not r.judge([0.5, 0.7, 0.6, math.nan, 0.65], 4) and r.best == {"k": 1}
+    r.block = [{"k": i} for i in range(5, 10)]
+    assert r.judge([0.7, 0.6, 0.6, 0.6, 0.6], 4) and r.best == {"k": 1}
