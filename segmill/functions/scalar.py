@@ -158,3 +158,31 @@ def cosine(a: Column, b: Column) -> Column:
     """Null for a vector of length zero or a missing one."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def round_even(x: Column, digits: int) -> Column:
+    """to so many decimal places as the double's exact binary value demands, halves to even, as Python's
+    round() does; 2.675 is below its half and goes to 2.67. Spark's round() looks at the shortest decimal.
+
+    The product with the power of ten and its rounding error are computed exactly (by parts of 26 bits), so
+    a value is told apart from a half that it only seems to be. Values with more digits than a double
+    keeps, NaN and infinities stay as they are.
+    """
+    if not 0 <= digits <= 22:
+        raise ValueError("0 to 22 places")
+    scale, cut = 10.0**digits, 134217729.0
+    high = cut * scale - (cut * scale - scale)
+    low = scale - high
+
+    def of(v: Column) -> Column:
+        p = v * F.lit(scale)
+        c = v * F.lit(cut)
+        a = c - (c - v)
+        b = v - a
+        error = ((a * F.lit(high) - p) + a * F.lit(low) + b * F.lit(high)) + b * F.lit(low)
+        whole = F.floor(p)
+        part = p - whole
+        up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2)) == 1))))
+        return F.when(F.isnan(v) | (F.abs(v) > 1e280) | (F.abs(p) >= float(1 << 53)), v).otherwise((whole + up.cast("bigint")) / F.lit(scale))
+
+    return of(x.cast("double"))

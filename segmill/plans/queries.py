@@ -407,6 +407,37 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("importance", F.round("importance", 6))
 
 
+EARLY = """WITH w AS (SELECT conv_id AS video_id, CAST(turn AS INTEGER) AS segment_index, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
+e AS (SELECT *, list_filter(list_transform(list_filter(w, lambda x, i: (i - 1) * 0.4::DOUBLE + 0.35::DOUBLE <= 5), lambda x: lower(translate(x, '.,!?;:"\'\'()[]{}', ''))), lambda x: x <> '') AS early FROM w)
+SELECT video_id, segment_index, CASE WHEN len(early) > 0 THEN round(CAST(len(list_filter(early, lambda x: list_contains(HOOKS, x))) AS DOUBLE) / len(early), 6) ELSE 0 END AS first_5s_hook_word_ratio FROM e"""
+
+
+@query(EARLY.replace("HOOKS", words_list(schema.HOOK_WORDS)))
+def opening_hooks(spark: SparkSession, sf: str) -> DataFrame:
+    """F2 of word times: each word of a turn takes 0.35 s, and the next one begins 0.4 s after it."""
+    t = tables.turns(spark, sf)
+    w = F.filter(F.split("text", "\\s+"), lambda x: x != "")
+    words = F.transform(w, lambda x, i: F.struct(x.alias("word"), (i * F.lit(0.4)).alias("start"), (i * F.lit(0.4) + F.lit(0.35)).alias("end")))
+    return segments.text_features(t.withColumn("words", words), words="words").select("video_id", "segment_index", "first_5s_hook_word_ratio")
+
+
+@query("""SELECT user_id, CASE WHEN v >= n * 0.3::DOUBLE AND v >= 5 THEN round(hi - lo, 6) ELSE 0 END AS pitch_range
+FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'view') AS v, max(value) FILTER (WHERE event_type = 'view') AS hi, min(value) FILTER (WHERE event_type = 'view') AS lo FROM events GROUP BY 1)""")
+def voice_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Section 2.11: a user's events as frames, views as the voiced ones; the range counts only with enough of them."""
+    e = read(spark, sf, "events")
+    voiced = F.when(F.col("event_type") == "view", F.col("value"))
+    g = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("v"), (F.max(voiced) - F.min(voiced)).alias("range"))
+    return g.select("user_id", F.round(segments.gated(F.col("range"), F.col("v"), F.col("n"), 0.3, 5), 6).alias("pitch_range"))
+
+
+@query()
+def rounded_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """discounted prices rounded half to even on the binary value."""
+    x = read(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", "price", scalar.round_even(F.col("price"), 1).alias("rounded"))
+
+
 # Engagement and labels.
 
 

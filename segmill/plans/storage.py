@@ -102,6 +102,15 @@ def embedding_files(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("video_id", "segment_index", F.size("embedding").alias("size"), F.col("embedding")[0].cast("double").alias("first_value"), F.element_at("embedding", -1).cast("double").alias("last_value"))
 
 
+@query(f"WITH {EMB} SELECT video_id, segment_index, len(embedding)::INTEGER AS size, embedding[1]::DOUBLE AS first_value, embedding[len(embedding)]::DOUBLE AS last_value FROM e")
+def embedding_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """S12 and S5 as numpy archives, one a video."""
+    out = shared_dir(spark)
+    writers.embedding_archives(_embeddings(spark, sf), out)
+    x = readers.npz_embeddings(spark, f"{out}/*.npz")
+    return x.select("video_id", "segment_index", F.size("embedding").alias("size"), F.col("embedding")[0].cast("double").alias("first_value"), F.element_at("embedding", -1).cast("double").alias("last_value"))
+
+
 @query(sql("segs", body=f""", {EMB} SELECT CAST(segment_id AS VARCHAR) AS segment_id, e.embedding IS NOT NULL AS has_embedding, coalesce(e.embedding[1], 0)::DOUBLE AS first_value
 FROM segments s LEFT JOIN e ON e.video_id = s.video_id AND e.segment_index = s.segment_index"""))
 def attach_embeddings(spark: SparkSession, sf: str) -> DataFrame:

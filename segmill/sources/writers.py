@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import uuid
+from collections.abc import Iterator, Sequence
 from string import Formatter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,41 @@ def embeddings(df: DataFrame, path: str) -> None:
     ).write.mode("overwrite").parquet(path)
 
 
+def embedding_archives(df: DataFrame, path: str, by: str = "video_id", index: str = "segment_index", vector: str = "embedding") -> int:
+    """S12 as numpy archives, one a video, with `segment_keys` (video|index) and `embeddings`; their number.
+    Tasks write under a name that readers pass over and move the file when it is complete."""
+    ship(df.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = pafs.FileSystem.from_uri(path)
+        fs.create_dir(top)
+        files, held = 0, []
+
+        def close() -> None:
+            nonlocal files, held
+            if held:
+                name = str(held[0][0])
+                own = f"{top}/_{uuid.uuid4().hex}-{name}.npz"
+                with fs.open_output_stream(own) as out:
+                    body = io.BytesIO()
+                    np.savez(body, segment_keys=np.array([f"{v}|{k}" for v, k, _ in held]), embeddings=np.array([e for _, _, e in held], np.float32))
+                    out.write(body.getvalue())
+                fs.move(own, f"{top}/{name}.npz")
+                files, held = files + 1, []
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if held and held[0][0] != row[0]:
+                    close()
+                held.append(row)
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(by).cast("string").alias("v"), F.col(index).cast("long").alias("k"), vector).filter(F.col(vector).isNotNull())
+    return rows.repartition(n, "v").sortWithinPartitions("v", "k").mapInArrow(write, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def matrix(df: DataFrame, path: str) -> None:
     """Keys and the features that are there, partitioned by split."""
     keep = [c for c in [*schema.KEY_COLUMNS, "label", "split", *schema.FEATURE_COLUMNS] if c in df.columns]

@@ -220,3 +220,24 @@ def test_word_classes():
     from segmill.functions.lcs import word_class
 
     assert [word_class(64 * k) for k in (0, 1, 2, 3, 4, 5, 6, 7, 9, 12, 13, 17, 24, 25)] == [1, 1, 2, 3, 4, 6, 6, 8, 12, 12, 16, 24, 24, 32]
+
+
+def test_round_even_is_that_of_python(spark):
+    """A million doubles of all sizes, with true halves and what only looks like one, and the known examples."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    values = np.concatenate([
+        rng.normal(0, 1, 300_000) * 10.0 ** rng.integers(-6, 12, 300_000),
+        rng.integers(-(10**7), 10**7, 350_000) / 10.0 ** rng.integers(0, 7, 350_000),  # short decimals: halves and near halves
+        rng.integers(-(10**7), 10**7, 350_000) / 2.0 ** rng.integers(0, 9, 350_000),  # true halves
+        [2.675, 2.5, 0.5, 1.5, -2.5, 1.005, 0.00125, 1e15 + 0.3, 1e22, -0.0, 5e-324, 0.125, 1e300],
+    ])
+    df = spark.createDataFrame(pd.DataFrame({"x": values}))
+    got = df.select("x", *[scalar.round_even(F.col("x"), d).alias(f"r{d}") for d in (0, 1, 2, 4, 6)]).toPandas()
+    for d in (0, 1, 2, 4, 6):
+        want = np.array([round(v, d) for v in got["x"].tolist()], np.float64)
+        assert (got[f"r{d}"].to_numpy() == want).all(), d
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(scalar.round_even(F.col("x"), 2).alias("r")).collect()
+    assert str([r["r"] for r in odd]) == "[nan, inf, None]"
