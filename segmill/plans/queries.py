@@ -369,6 +369,24 @@ def _auc_long(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.auc(tables.scores(spark, sf), ["model", "seed"]).select("model", "seed", F.lit("auc_roc").alias("metric"), F.col("auc_roc").alias("value"))
 
 
+KEY_METRICS = ("ndcg_at_3", "ndcg_at_5", "ndcg_at_10", "precision_at_10", "recall_at_10", "auc_roc", "f1")
+
+
+def _wrapped(body: str, rest: str) -> str:
+    """CTEs and a last SELECT, which becomes one more CTE `whole`."""
+    ctes, _, last = body.rpartition("\nSELECT")
+    return f"{ctes},\nwhole AS (SELECT{last})\n{rest}"
+
+
+@query(sql("segs", "scores", body=_wrapped(_eval("model, seed", "scores"), "SELECT model, metric, round(avg(value), 8) AS mean, round(coalesce(stddev_samp(value), 0), 8) AS std, count(*) AS n_seeds FROM "
+    f"(UNPIVOT (SELECT model, seed, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in KEY_METRICS)} FROM whole) ON {', '.join(KEY_METRICS)} INTO NAME metric VALUE value) GROUP BY 1, 2")))
+def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and deviation over seeds of the seven metrics, by model."""
+    x = metrics.long_format(metrics.evaluate(tables.scores(spark, sf), ["model", "seed"]), ["model", "seed"]).filter(F.col("metric").isin(*KEY_METRICS))
+    g = metrics.seed_aggregate(x.withColumn("value", F.round("value", 9)))
+    return g.select("model", "metric", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"), F.col("n").alias("n_seeds"))
+
+
 @query(sql("segs", "scores", body=SEEDS + """, q AS (SELECT a.model AS model_a, b.model AS model_b, a.auc_roc AS a, b.auc_roc AS b FROM auc a JOIN auc b ON a.seed = b.seed AND a.model < b.model),
 s AS (SELECT model_a, model_b, count(*) AS n, avg(a) AS mean_a, avg(b) AS mean_b, avg(a - b) AS m, stddev_samp(a - b) AS s FROM q GROUP BY 1, 2)
 SELECT model_a, model_b, n, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(m / (s / sqrt(n)), 6) AS t, round(-m / s, 6) AS cohens_d, CASE WHEN m < 0 THEN 'b' WHEN m > 0 THEN 'a' ELSE 'tie' END AS direction,
@@ -783,6 +801,19 @@ def segment_match(spark: SparkSession, sf: str) -> DataFrame:
     return matching.best_per_short(matching.segment_scores(pairs, short, t.select("video_id", "segment_index", "text")))
 
 
+@query()
+def edited_segment_match(spark: SparkSession, sf: str) -> DataFrame:
+    """The end of each conversation's longest turn and the beginning of the turn after it, with words
+    left out, against the turns of the conversation."""
+    t = tables.turns(spark, sf)
+    x = matching.with_next(t.select("video_id", "segment_index", "text"))
+    x = x.groupBy("video_id").agg(F.max_by(F.struct("text", "next_text"), F.struct(F.length("text"), -F.col("segment_index"))).alias("x"))
+    cut = F.concat_ws(" ", F.expr("substring(x.text, cast(length(x.text) / 3 as int) + 1)"), F.expr("substring(x.next_text, 1, cast(length(x.next_text) / 4 as int))"))
+    short = x.select(F.col("video_id").alias("short_id"), F.regexp_replace(F.regexp_replace(cut, "ing\\b", "ed"), " (the|of) ", " ").alias("text"))
+    pairs = short.select("short_id", F.col("short_id").alias("long_id"))
+    return matching.best_per_short(matching.segment_scores(pairs, short, t.select("video_id", "segment_index", "text")))
+
+
 @query("SELECT DISTINCT l_partkey % 200 AS long_id FROM lineitem")
 def matched_ids(spark: SparkSession, sf: str) -> DataFrame:
     """U2."""

@@ -53,6 +53,25 @@ def file_report(spark: SparkSession, sf: str) -> DataFrame:
     return readers.file_report(readers.csv(spark, out, "segment_id string, label int", extra=True))
 
 
+@query(sql("segs", body=f""", {STRUCT}, s AS (SELECT *, CAST(substr(creator_id, 3) AS INTEGER) % 3 AS kind FROM f)
+SELECT creator_id || '_features.csv' AS file_name, CASE WHEN any_value(kind) = 1 THEN 'label' ELSE '' END AS missing, CASE WHEN any_value(kind) = 1 THEN 'note' ELSE '' END AS extra,
+       CASE any_value(kind) WHEN 0 THEN 0.0 WHEN 2 THEN round((count(*) - count(nullif(label, 0))) / (count(*) * 3.0::DOUBLE), 6) END AS null_share,
+       any_value(kind) = 0 OR any_value(kind) = 2 AND (count(*) - count(nullif(label, 0))) / (count(*) * 3.0::DOUBLE) <= 0.005 AS passes FROM s GROUP BY creator_id"""))
+def verify_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files as they should be, with another column instead of one, and with nulls, told apart."""
+    out = shared_dir(spark)
+    kind = F.substring("creator_id", 3, 9).cast("int") % 3
+    x = _features(spark, sf).select("creator_id", "segment_id", "label", "word_count", kind.alias("kind"))
+    files = [
+        x.filter("kind = 0").select("creator_id", "segment_id", "label", "word_count"),
+        x.filter("kind = 1").select("creator_id", "segment_id", F.lit("a").alias("note"), "word_count"),
+        x.filter("kind = 2").select("creator_id", "segment_id", F.nullif("label", F.lit(0)).alias("label"), "word_count"),
+    ]
+    for df in files:
+        writers.named_files(df, out, ["creator_id"], "{creator_id}_features.csv", header=True)
+    return readers.verify_files(spark, out, "segment_id string, label int, word_count double")
+
+
 @query(sql("pairs", body="SELECT 'CR' || (long_id % 7) AS creator_id, CAST(short_id AS VARCHAR) AS short_id, CAST(long_id AS VARCHAR) AS long_id, matched_segment_index, match_score FROM pairs"))
 def pair_files(spark: SparkSession, sf: str) -> DataFrame:
     """The creator is told by the file's name."""

@@ -51,6 +51,26 @@ def file_report(df: DataFrame) -> DataFrame:
     return df.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum(nulls) / (F.count(F.lit(1)) * len(cols)), 6).alias("null_share"))
 
 
+def verify_files(spark: SparkSession, path: str, ddl: str, most_null: float = 0.005) -> DataFrame:
+    """For each CSV file which of the expected columns its header lacks and which others it has, both as
+    sorted lists with commas, the share of nulls among the expected values (null where columns differ), and
+    whether it passes. Headers come from the files' first lines, however many lines a value has."""
+    expected = [c.split()[0].strip("`") for c in ddl.split(", ")]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_from"))
+    first = lines.filter("_from = 0").withColumn("_at", F.monotonically_increasing_id()).groupBy("file_name").agg(F.min_by("value", "_at").alias("head"))
+    have = F.transform(F.split("head", ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', "")))
+    want = F.array(*map(F.lit, expected))
+    text = lambda a: F.array_join(F.sort_array(a), ",")
+    heads = first.select("file_name", text(F.array_except(want, have)).alias("missing"), text(F.array_except(have, want)).alias("extra"))
+    # Values as text and by place, whatever the header: the share only counts where the columns are those expected.
+    texts = ", ".join(f"`{c}` string" for c in expected)
+    values = spark.read.schema(texts).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    shares = file_report(values.select("*", F.col("_metadata.file_name").alias("file_name")))
+    x = heads.join(shares, "file_name", "left")
+    same = (F.col("missing") == "") & (F.col("extra") == "")
+    return x.select("file_name", "missing", "extra", F.when(same, F.col("null_share")).alias("null_share"), (same & (F.coalesce("null_share", F.lit(1.0)) <= most_null)).alias("passes"))
+
+
 def split_key(key: Column) -> tuple[Column, Column]:
     """`video|index`, cut at the last bar."""
     shape = r"^(.*)\|(\d+)$"

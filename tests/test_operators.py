@@ -479,3 +479,38 @@ def test_assignment_equals_the_walk(spark, seed, capacity):
             want.add((c, s, best[2], best[5]))
     df = make(spark, "creator_id string, short_id int, long_id string, short_pos int, long_pos int, score double", data)
     assert {(r["creator_id"], r["short_id"], r["long_id"], r["caption_score"]) for r in rows(matching.greedy_assign(df, capacity=capacity))} == want
+
+
+def test_edited_segment_match_against_brute_force(spark, tmp_path):
+    """Scores below 100, combined matches and misses, each as by trying every window."""
+    import re
+
+    from segmill.plans import queries
+    from tests.test_functions import naive_partial
+
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgi") for _ in range(rnd.randint(2, 4)))
+    turns = {(c, k): " ".join("the" if (r := rnd.random()) < 0.08 else word() + "ing" * (r > 0.9) for _ in range(rnd.randint(14, 19))) for c in range(10) for k in range(4) if (c, k) != (3, 2)}
+    make(spark, "conv_id long, turn long, role string, text string", [(c, k, "user", t) for (c, k), t in turns.items()]).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for c in range(10):
+        own = {k: t for (d, k), t in turns.items() if d == c}
+        k = max(own, key=lambda k: (len(own[k]), -k))
+        a, b = own[k], own.get(k + 1)
+        parts = [a[len(a) // 3 :]] + ([b[: len(b) // 4]] if b else [])
+        short = re.sub(" (the|of) ", " ", re.sub(r"ing\b", "ed", " ".join(parts)))
+        if len(short.split()) < 10:
+            continue
+        found = {}
+        for i, t in own.items():
+            s = naive_partial(short, t)
+            if s >= 80:
+                found.setdefault(i, []).append((s, 1, 1, "single"))
+            if i + 1 in own and (both := naive_partial(short, f"{t} {own[i + 1]}")) >= 80:
+                found.setdefault(i if s >= naive_partial(short, own[i + 1]) else i + 1, []).append((both, 0, -i, "combined"))
+        best = {i: max(v) for i, v in found.items()}
+        if best:
+            i = max(best, key=lambda i: (best[i][0], -i))
+            want[c] = (i, pytest.approx(best[i][0], abs=0.051), best[i][3], "very_high" if best[i][0] >= 90 else "high")
+    got = {r["short_id"]: (r["matched_segment_index"], r["match_score"], r["match_method"], r["match_confidence"]) for r in rows(queries.edited_segment_match(spark, str(tmp_path)))}
+    assert got == want and len(want) > 5 and any(r[1] < 100 for r in got.values())
