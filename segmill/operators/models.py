@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmill import schema
 from segmill.functions.scalar import rule_score
-from segmill.operators import boosting, metrics, splits, stats
+from segmill.operators import boosting, forest, metrics, splits, stats
 
 SCORE_COLUMNS = ["model", "seed", "split", "video_id", "segment_id", "y", "score"]
 
@@ -47,28 +44,10 @@ def class_weight(df: DataFrame) -> float:
     return r["n"] / max(r["p"], 1)
 
 
-def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="_x", handleInvalid="keep").transform(df)
-
-
-def _balanced(train: DataFrame) -> DataFrame:
-    r = train.agg(F.count_if(F.col("label") == 0).alias("n"), F.count_if(F.col("label") == 1).alias("p")).first()
-    n, p = max(r["n"], 1), max(r["p"], 1)
-    return train.withColumn("_w", F.when(F.col("label") == 1, (n + p) / (2 * p)).otherwise((n + p) / (2 * n)))
-
-
-def random_forest(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), trees: int = 100, depth: int = 20, name: str = "random_forest"):
-    """L4: (scores of all splits, importances) for each seed; balanced weights, depth up to 30."""
-    x = _vectors(df, columns)
-    train = _balanced(x.filter("split = 'train'")).persist()
-    scores, weights = None, []
-    for s in seeds:
-        m = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="_w", numTrees=trees, maxDepth=depth, seed=s).fit(train)
-        one = _scores(m.transform(x), name, s, vector_to_array("probability")[1])
-        scores = one if scores is None else scores.union(one)
-        weights.append((s, [float(v) for v in m.featureImportances.toArray()]))
-    train.unpersist()
-    return scores, df.sparkSession.createDataFrame(weights, "seed int, importance array<double>")
+def random_forest(df: DataFrame, columns: list[str], seeds: tuple[int, ...] = (0, 1, 2, 3, 4), trees: int = 100, depth: int | None = None, name: str = "random_forest"):
+    """L4: (scores of all splits, importances) for each seed; balanced weights, grown to pure leaves."""
+    s, importance = forest.forest_scores(df, columns, seeds, trees, depth)
+    return s.select(F.lit(name).alias("model"), "seed", "split", "video_id", "segment_id", "y", "score"), importance
 
 
 def boosted_runs(

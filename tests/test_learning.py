@@ -205,3 +205,66 @@ def test_fusion_stops():
     assert not r.judge([0.5, 0.7, 0.6, math.nan, 0.65], 4) and r.best == {"k": 1}
     r.block = [{"k": i} for i in range(5, 10)]
     assert r.judge([0.7, 0.6, 0.6, 0.6, 0.6], 4) and r.best == {"k": 1}
+
+
+# Forests.
+
+
+def test_forest_is_pure_on_a_chain(spark):
+    """A table that only a tree of over 30 levels separates: classes alternate along one column."""
+    from segmill.operators import forest
+
+    rows = [(f"v{k % 9}", k, "train" if k % 4 else "test", k // 4 % 2, float(k // 4), 1.0) for k in range(280)]
+    df = spark.createDataFrame(rows, "video_id string, segment_id long, split string, label int, a double, b double")
+    x = np.array([[k] for k in range(70)], np.uint16)
+    t = forest.grow(x, np.arange(70) % 2, np.ones(70), 1, 0, math.inf, 1)
+    assert (t.values(x) == np.arange(70) % 2).all()
+    chain = np.array([[f > k for f in range(1, 41)] for k in range(41)], np.uint16)  # each split tells one row
+    t = forest.grow(chain, np.arange(41) % 2, 2.0 ** -np.arange(41), 1, 0, math.inf, 40)
+    level = {0: 0}
+    for node, f in enumerate(t.feature):
+        if f >= 0:
+            level[t.left[node]] = level[t.left[node] + 1] = level[node] + 1
+    assert (t.values(chain) == np.arange(41) % 2).all() and max(level.values()) > 30
+    s, imp = forest.forest_scores(df, ["a", "b"], seeds=(0, 1), trees=20)
+    got = s.collect()
+    assert len(got) == 560 and imp.count() == 2
+    right = [(r["score"] > 0.5) == r["y"] for r in got]
+    assert np.mean(right) > 0.9
+
+
+@pytest.mark.parametrize("small", [1 << 30, 60])
+def test_forest_ranks_and_splits_large_nodes(spark, small):
+    """The same quality where upper levels come from counts over all tasks; rows are dealt in any way."""
+    from segmill.operators import forest, metrics
+
+    _, df = table(spark, 420)
+    got = {}
+    for parts in (2, 5):
+        s, imp = forest.forest_scores(df.repartition(parts), COLS, seeds=(0,), trees=25, small=small)
+        got[parts] = sorted((r["segment_id"], r["score"]) for r in s.collect())
+        shares = imp.first()["importance"]
+        assert sum(shares) == pytest.approx(1.0) and shares[2] < shares[0]
+    assert got[2] == got[5] and len(got[2]) == 420
+    auc = metrics.auc(s.withColumn("model", F.lit("m")).filter("split = 'test' AND y IS NOT NULL"), ["model"]).first()["auc_roc"]
+    assert auc > 0.6
+
+
+def test_gini_split_is_the_best_of_all():
+    from segmill.operators import forest
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x, y, w = rng.integers(0, 5, (20, 3)).astype(np.uint16), rng.integers(0, 2, 20), rng.integers(1, 4, 20).astype(float)
+        gini = lambda k: 2 * (w[k] * y[k]).sum() * (w[k] * (1 - y[k])).sum() / w[k].sum() if k.any() else 0.0
+        every = [(gini(np.ones(20, bool)) - gini(x[:, f] <= c) - gini(x[:, f] > c), f, c) for f in range(3) for c in range(4) if 0 < (x[:, f] <= c).sum() < 20]
+        best = forest.gini_split(x, y, w, [0, 1, 2], 3)
+        assert 2 * best[2] == pytest.approx(max(e[0] for e in every))
+
+
+def test_draws_are_poisson():
+    from segmill.operators import forest
+
+    h = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 40_000)
+    n = forest.draws(h, 7)
+    assert abs(n.mean() - 1) < 0.03 and abs((n == 0).mean() - math.exp(-1)) < 0.02 and (forest.draws(h, 8) != n).any()
