@@ -431,7 +431,7 @@ SELECT video_id, segment_index, CASE WHEN len(early) > 0 THEN round(CAST(len(lis
 
 
 @query(EARLY.replace("HOOKS", words_list(schema.HOOK_WORDS)))
-def opening_hooks(spark: SparkSession, sf: str) -> DataFrame:
+def early_hooks(spark: SparkSession, sf: str) -> DataFrame:
     """F2 of word times: each word of a turn takes 0.35 s, and the next one begins 0.4 s after it."""
     t = tables.turns(spark, sf)
     w = F.filter(F.split("text", "\\s+"), lambda x: x != "")
