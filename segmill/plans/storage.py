@@ -298,11 +298,14 @@ def id_lists(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", text.id_list(listed).alias("ids"), text.uploads_playlist(F.col("c_name")).alias("playlist"))
 
 
-@query("SELECT 8 AS n_groups, 84 AS n_columns, 84 AS n_distinct, true AS covers")
+@query(sql("segs", body=f""", {STRUCT}, g AS (SELECT unnest(['text', 'audio_speech', 'voice_quality', 'audio_events', 'audio_emotion', 'visual', 'structural', 'creator_context']) AS group_name,
+       unnest([10, 7, 2, 4, 7, 41, 8, 5]) AS n_columns, unnest([1, 0, 0, 0, 0, 0, 7, 0]) AS filled)
+SELECT group_name, CAST(n_columns AS INTEGER) AS n_columns, count(segment_id) AS n_rows, CAST(count(segment_id) * any_value(filled) AS BIGINT) AS n_values FROM g, f GROUP BY 1, 2"""))
 def column_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """V2: the groups must be disjoint and cover the feature columns."""
+    """V2: the groups are disjoint and cover the feature columns, and how many values of each the feature rows have."""
     schema.check_groups()
-    rows = [(g, c) for g, columns in schema.GROUPS.items() for c in columns]
-    x = spark.createDataFrame(rows, "g string, c string")
-    covers = F.array_sort(F.collect_set("c")) == F.array_sort(F.array(*map(F.lit, schema.FEATURE_COLUMNS)))
-    return x.agg(F.countDistinct("g").cast("int").alias("n_groups"), F.count("c").cast("int").alias("n_columns"), F.countDistinct("c").cast("int").alias("n_distinct"), covers.alias("covers"))
+    x = writers.ordered(_features(spark, sf))
+    have = lambda columns: sum((F.count(F.col(c)) for c in columns), F.lit(0).cast("bigint"))
+    one = x.agg(F.count(F.lit(1)).alias("n"), *[have(columns).alias(g) for g, columns in schema.GROUPS.items()])
+    each = F.array(*[F.struct(F.lit(g).alias("group_name"), F.lit(len(columns)).alias("n_columns"), F.col(g).alias("n_values")) for g, columns in schema.GROUPS.items()])
+    return one.select("n", F.explode(each).alias("g")).select("g.group_name", "g.n_columns", F.col("n").alias("n_rows"), "g.n_values")
