@@ -176,14 +176,15 @@ def with_next(segments: DataFrame) -> DataFrame:
     return segments.join(nxt, ["video_id", "segment_index"], "left")
 
 
-def segment_scores(pairs: DataFrame, shorts: DataFrame, segments: DataFrame, least: float = schema.MATCH_SCORE) -> DataFrame:
+def segment_scores(pairs: DataFrame, shorts: DataFrame, segments: DataFrame, least: float = schema.MATCH_SCORE, least_words: int = 10) -> DataFrame:
     """For each pair the best score of each segment of its long.
 
     Two segments that follow each other are also compared as one text, which counts for the better of
-    the two; a single match wins over a combined one of the same score.
+    the two; a single match wins over a combined one of the same score. Shorts of fewer than `least_words`
+    words take no part; with 0 even empty ones do, which match empty segments only.
     """
     ship(pairs.sparkSession)
-    s = shorts.filter(F.size(tokens(F.col("text"))) >= 10).select("short_id", F.col("text").alias("_s"))
+    s = shorts.filter(F.size(tokens(F.col("text"))) >= least_words).select("short_id", F.col("text").alias("_s"))
     seg = with_next(segments).select(F.col("video_id").alias("long_id"), "segment_index", "text", "next_text")
     x = pairs.select("short_id", "long_id").join(s, "short_id").join(seg, "long_id")
     # First only whether the score is reached, which prunes most windows; the exact score of a side only
@@ -191,7 +192,8 @@ def segment_scores(pairs: DataFrame, shorts: DataFrame, segments: DataFrame, lea
     # even within when(), so what isn't needed is passed as null.
     reached, exact, exact_from = partial_ratio_udf(least), partial_ratio_udf(), partial_ratio_from_udf()
     pair = F.when(F.col("next_text").isNotNull(), F.concat_ws(" ", "text", "next_text"))
-    x = x.withColumn("own", reached(F.col("_s"), F.col("text"))).withColumn("both", reached(F.col("_s"), pair))
+    empty = (F.col("_s") == "") & (F.col("text") == "")
+    x = x.withColumn("own", F.when(empty, 100.0).otherwise(reached(F.col("_s"), F.col("text")))).withColumn("both", reached(F.col("_s"), pair))
     x = x.filter((F.col("own") >= least) | (F.col("both") >= least))
     spans = F.col("both") >= least
     x = x.withColumn("left", F.greatest(F.col("own"), exact(F.when(spans & (F.col("own") < least), F.col("_s")), F.col("text"))))
@@ -210,9 +212,11 @@ def best_per_segment(matches: DataFrame) -> DataFrame:
     return matches.groupBy("short_id", "long_id", "segment_index").agg(F.max("score").alias("score"), top.alias("method"))
 
 
-def best_per_short(matches: DataFrame) -> DataFrame:
-    """The segment with the highest score, the lowest index of equal ones."""
-    top = F.max_by(F.struct("long_id", "segment_index", "score", "method"), F.struct(F.col("score"), -F.col("segment_index")))
+def best_per_short(matches: DataFrame, prefer: str | None = None) -> DataFrame:
+    """The segment with the highest score, the lowest index of equal ones. Where `prefer` names a column,
+    its largest value goes before the index."""
+    first = [F.col("score"), *([F.col(prefer)] if prefer else []), -F.col("segment_index")]
+    top = F.max_by(F.struct("long_id", "segment_index", "score", "method"), F.struct(*first))
     return matches.groupBy("short_id").agg(top.alias("x")).select(
         "short_id", "x.long_id", F.col("x.segment_index").alias("matched_segment_index"), F.round("x.score", 1).alias("match_score"),
         F.col("x.method").alias("match_method"), F.when(F.col("x.score") >= schema.HIGH_SCORE, "very_high").otherwise("high").alias("match_confidence"),

@@ -212,6 +212,21 @@ def test_segment_match_takes_whole_turns(spark, tmp_path):
     assert got == {1: (1, 100.0), 2: (0, 100.0)}
 
 
+def test_segment_match_of_few_words_and_of_parts(spark, tmp_path):
+    """Conversations without a turn of ten words have their row, and a turn within the longest one doesn't go before it."""
+    import duckdb
+
+    from segmill.plans import queries
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    turns = [(1, 0, "only four words here"), (2, 0, "six seven"), (2, 1, text), (2, 2, "other words"), (3, 0, ""), (3, 1, ""), (4, 0, "a b"), (4, 1, "B A"), (5, 0, None), (6, 1, "no no no"), (6, 0, "no"), (7, 0, text[:30]), (7, 1, text)]
+    make(spark, "conv_id long, turn long, role string, text string", [(c, k, "user", t) for c, k, t in turns]).write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        want = sorted(c.execute(queries.ORACLE["segment_match"]).fetchall())
+    assert sorted(tuple(r.values()) for r in rows(queries.segment_match(spark, str(tmp_path)))) == want and len(want) == 6
+
+
 def test_segment_matches(spark):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
