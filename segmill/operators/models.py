@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from segmill import schema
 from segmill.functions.scalar import rule_score
 from segmill.operators import boosting, forest, metrics, splits, stats
+from segmill.session import spread
 
 SCORE_COLUMNS = ["model", "seed", "split", "video_id", "segment_id", "y", "score"]
 
@@ -28,9 +30,15 @@ def rule_based(df: DataFrame, weights: dict[str, float] = schema.RULE_WEIGHTS, s
     return _scores(df, "rule_based", 0, rule_score(weights, df.columns))
 
 
+#: Rows of all trials that one task makes.
+TRIAL_ROWS = 1 << 20
+
+
 def random_baseline(df: DataFrame, trials: int = 100) -> DataFrame:
-    """A uniform score for each trial, which the trial and the row's id determine. Rows are copied by
-    explode, so nothing is shuffled."""
+    """A uniform score for each trial, which the trial and the row's id determine. Rows are dealt out
+    before they are copied, over as many tasks as what comes of them needs."""
+    keys = ("video_id", "segment_id")
+    df = spread(df.select(*keys, "split", "label"), *keys, parts=math.ceil(df.count() * trials / TRIAL_ROWS))
     t = df.withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     u = F.pmod(F.xxhash64("_trial", "segment_id"), F.lit(1 << 24)) / float(1 << 24)
     return t.select(

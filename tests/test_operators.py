@@ -227,6 +227,38 @@ def test_segment_match_of_few_words_and_of_parts(spark, tmp_path):
     assert sorted(tuple(r.values()) for r in rows(queries.segment_match(spark, str(tmp_path)))) == want and len(want) == 6
 
 
+def test_numbers_within_large_groups_by_range(spark, tmp_path):
+    """Numbers and sizes as a window gives them, null a group of its own, without a group's rows meeting in one task."""
+    from segmill.plans import tables
+
+    data = [(None if k % 5 == 0 else "ab"[k % 2], k * 7919 % 10007, k) for k in range(1500)]
+    x = ranges.index_within(make(spark, "g string, o long, k int", data), "g", "o", "i", "n", parts=8)
+    got = [(r["g"], r["o"], r["i"], r["n"], r["p"]) for r in rows(x.withColumn("p", F.spark_partition_id()))]
+    want = {}
+    for g, o, _ in sorted(data, key=lambda t: t[1]):
+        want.setdefault(g, []).append(o)
+    assert len(got) == 1500 and all(want[g][i] == o and n == len(want[g]) for g, o, i, n, _ in got)
+    assert len({p for g, *_, p in got if g == "a"}) > 1
+    at = str(tmp_path)
+    make(spark, "doc_id long, text string, lang string, source string, n_chars int", [(k, "x", "en", "one", 1) for k in range(500)]).write.parquet(f"{at}/documents.parquet")
+    make(spark, "doc_id long, quality int, toxic int", [(k, 1, 0) for k in range(500)]).write.parquet(f"{at}/labels.parquet")
+    seg = tables.doc_segments(spark, at)
+    assert all(r["segment_index"] == r["segment_id"] and r["video_duration"] == 15000 for r in rows(seg))
+    assert seg.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_rows_are_dealt_out_before_they_cost(spark):
+    """Copies of few bytes, and the rows that learners read, come from as many tasks as there are cores."""
+    df = make(spark, "video_id string, segment_id long, split string, label int, f double", [(f"v{k % 9}", k, ("train", "val", "test")[k % 3], k % 2, float(k)) for k in range(400)]).coalesce(1)
+    spread = lambda x: x.select(F.spark_partition_id()).distinct().count()
+    assert spread(models.random_baseline(df, 3)) >= 4
+    study = models.boosting.boost(df, {"m": ["f"]}, params=models.boosting.Params(rounds=1, depth=1))
+    assert spread(study.data) >= 4
+    t = segments.text_features(make(spark, "text string, duration double", [("What now? Why not you. I see", 2.0)]))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(coalesce(text") == 2  # cut once into words and once into sentences, not for each feature
+
+
 def test_segment_matches(spark):
     rnd = random.Random(7)
     words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
