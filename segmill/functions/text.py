@@ -49,30 +49,32 @@ def ratio(part: Column, whole: Column, digits: int) -> Column:
     return F.when(whole > 0, F.round(part.cast("double") / whole, digits)).otherwise(F.lit(0.0))
 
 
-def question_count(text: Column) -> Column:
+def question_count(text: Column, parts: Column | None = None) -> Column:
     """Question marks plus sentences that begin with an interrogative, so a marked question that begins
-    with one counts twice."""
+    with one counts twice. `parts`: the text's sentences, where they are known."""
     marks = F.length(F.coalesce(text, F.lit(""))) - F.length(F.translate(F.coalesce(text, F.lit("")), "?", ""))
-    opened = F.filter(sentences(text), lambda s: F.element_at(clean_words(s), 1).isin(schema.INTERROGATIVE))
+    opened = F.filter(sentences(text) if parts is None else parts, lambda s: F.element_at(clean_words(s), 1).isin(schema.INTERROGATIVE))
     return marks + F.size(opened)
 
 
-def text_features(text: Column, duration: Column, legacy_nan: bool = False) -> dict[str, Column]:
+def text_features(text: Column, duration: Column, legacy_nan: bool = False, words: Column | None = None, parts: Column | None = None) -> dict[str, Column]:
     """The eight text features that need no word times. With legacy_nan a blank text counts as the one
-    word 'nan', as where blanks were read back as missing numbers."""
+    word 'nan', as where blanks were read back as missing numbers. `words` and `parts`: the text's clean words
+    and its sentences, where they are columns already, so that no feature cuts the text again."""
     if legacy_nan:
         text = F.when(F.coalesce(text, F.lit("")) == "", F.lit("nan")).otherwise(text)
-    words = clean_words(text)
+    words = clean_words(text) if words is None else words
+    parts = sentences(text) if parts is None else parts
     n = F.size(words)
     hooks = in_list(words, schema.HOOK_WORDS)
-    asked = question_count(text)
+    asked = question_count(text, parts)
     return {
         "word_count": n.cast("double"),
         "words_per_second": F.round(n / F.greatest(duration.cast("double"), F.lit(1e-6)), 4),
         "hook_word_count": hooks.cast("double"),
         "hook_word_ratio": ratio(hooks, n, 6),
         "question_count": asked.cast("double"),
-        "question_density": ratio(asked, F.size(sentences(text)), 4),
+        "question_density": ratio(asked, F.size(parts), 4),
         "second_person_ratio": ratio(in_list(words, schema.SECOND_PERSON), n, 6),
         "first_person_ratio": ratio(in_list(words, schema.FIRST_PERSON), n, 6),
     }

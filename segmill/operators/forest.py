@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from segmill.operators import boosting
 from segmill.operators.boosting import BINS, Tree
-from segmill.session import materialize, ship
+from segmill.session import materialize, ship, spread
 
 #: A node with at most this weight of rows is finished in one task.
 SMALL = 200_000
@@ -144,6 +144,8 @@ def forest_scores(
     """
     spark = df.sparkSession
     ship(spark)
+    # Written once, evenly: tasks that deal rows out to the trees take as long as they have rows.
+    df = materialize(spread(df.select(*keys, "split", "label", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]), *keys))
     train = (F.col("split") == "train") & F.col("label").isNotNull()
     n = df.filter(train).agg(F.count_if(F.col("label") == 0).alias("neg"), F.count_if(F.col("label") == 1).alias("pos")).first()
     neg, pos = max(n["neg"], 1), max(n["pos"], 1)
