@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from segmill.operators.ranges import running_before
-from segmill.session import materialize, ship
+from segmill.session import materialize, ship, spread
 
 BINS = 256
 MISSING = BINS
@@ -327,6 +327,10 @@ def boost(df: DataFrame, runs: dict[str, list[str]], where: dict[str, Column] |
     columns = list(dict.fromkeys(c for own in runs.values() for c in own))
     train = (F.col("split") == "train") & F.col("label").isNotNull()
     used = [train & (where or {}).get(name, F.lit(True)) for name in runs]
+    # Written once, evenly: features cost what their texts do, and every job of the study reads these rows' tasks.
+    own = [F.col(f"`{c}`").cast("double").alias(c) for c in columns]
+    df = materialize(spread(df.select(*keys, "split", "label", *own, *[F.coalesce(u, F.lit(False)).alias(f"_used{i}") for i, u in enumerate(used)]), *keys))
+    used = [F.col(f"_used{i}") for i in range(len(used))]
     n = df.agg(*[F.count_if(u & (F.col("label") == k)).alias(f"n{k}_{i}") for i, u in enumerate(used) for k in (0, 1)]).first()
     cuts = bin_bounds(df.filter(train), columns)
     data = first = materialize(_binned(df, columns, cuts, used, list(keys)))
