@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segmill.operators import metrics
-from segmill.session import materialize, ship
+from segmill.session import materialize, ship, spread
 
 BLOCK = 5
 #: Parameters that one row of a gradient holds.
@@ -267,7 +267,9 @@ def fit(
     runs = runs or {"fusion": list(branches)}
     if not all(runs.values()):
         raise ValueError("a run without a branch")
-    data, size = _scaled(df, branches, keys)
+    # Written once, evenly, as each epoch reads these rows' tasks.
+    df = materialize(spread(df.select(*keys, "split", "label", *[F.col(c).alias(f"_branch{k}") for k, c in enumerate(branches.values())]), *keys))
+    data, size = _scaled(df, {name: f"_branch{k}" for k, name in enumerate(branches)}, keys)
     n = data.filter("split = 'train'").agg(F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("y") == 1).alias("pos")).first()
     weight = n["neg"] / max(n["pos"], 1)
     all_ = [Run(name, s, own, start({b: size[b] for b in own}, params, s), weight, n["neg"] + n["pos"] * weight) for name, own in runs.items() for s in seeds]
