@@ -43,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = None
     for _ in range(ROUNDS):
-        links = materialize(_small_star(_large_star(links)))
+        # Each star reads a table twice; planned as one they would make four readings and their joins.
+        links = materialize(_small_star(materialize(_large_star(links))))
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

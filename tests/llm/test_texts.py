@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from segmill.llm import bpe_automaton, exact_dedup, packing, queries, simhash, token_counts, vocab, weighted_sampling
@@ -317,6 +318,14 @@ def test_links_of_close_fingerprints(spark, tile, radius, blocks):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, radius)
 
 
+def test_links_without_large_groups_plan_no_joins(spark, capsys):
+    nodes = spark.range(40).select(F.col("id").alias("node"), F.col("id").alias("fp"))
+    for tile, joins in ((64, False), (4, True)):
+        capsys.readouterr()
+        simhash.links(nodes, 2, tile).explain()
+        assert ("Join" in capsys.readouterr().out) == joins
+
+
 def test_groups_across_batches():
     """Groups that go on from one batch to the next are seen whole, small and large ones."""
     rnd = random.Random(3)
