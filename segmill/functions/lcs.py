@@ -41,20 +41,23 @@ class Masks:
             known.append(np.unique(t))
             first.append(first[-1] + len(known[-1]) + 1)
         self.known, self.first = known, first
-        table = np.zeros((first[-1], self.words * 64), bool)
+        self.table = np.zeros((first[-1], self.words), np.uint64)
         for k, t in enumerate(texts):
-            table[self.codes(k, t), np.arange(len(t))] = True
-        self.table = np.ascontiguousarray(np.packbits(table, axis=1, bitorder="little").view(np.uint64))
+            places = np.zeros((first[k + 1] - first[k], self.words * 64), bool)
+            places[self.codes(k, t) - first[k], np.arange(len(t))] = True
+            self.table[first[k] : first[k + 1]] = np.packbits(places, axis=1, bitorder="little").view(np.uint64)
 
     def backwards(self) -> Masks:
         """The same of the texts read backwards; rows keep their numbers."""
         out = Masks.__new__(Masks)
         out.words, out.known, out.first = self.words, self.known, self.first
-        bits = np.unpackbits(self.table.view(np.uint8), axis=1, bitorder="little")
-        owner = np.repeat(np.arange(len(self.known)), np.diff(self.first))
-        size = np.array([int(bits[a:b].any(0).sum()) for a, b in zip(self.first, self.first[1:])])
-        at = size[owner][:, None] - 1 - np.arange(bits.shape[1])
-        out.table = np.packbits(np.where(at >= 0, np.take_along_axis(bits, np.maximum(at, 0), 1), 0), axis=1, bitorder="little").view(np.uint64)
+        turned = np.zeros_like(self.table)
+        for a, b in zip(self.first, self.first[1:]):  # a text at a time: places as bytes take eight times the table's memory
+            bits = np.unpackbits(self.table[a:b].view(np.uint8), axis=1, bitorder="little")
+            size = int(np.count_nonzero(bits.any(0)))
+            bits[:, :size] = bits[:, :size][:, ::-1].copy()
+            turned[a:b] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+        out.table = turned
         return out
 
     def codes(self, k: int, chars: np.ndarray) -> np.ndarray:

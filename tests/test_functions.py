@@ -1,14 +1,16 @@
 """Column functions on hand-made cases."""
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from segmill import schema
-from segmill.functions import scalar, similarity, text
+from segmill.functions import lcs, scalar, similarity, text
 
 
 def one(spark, ddl, row, *cols):
@@ -241,3 +243,15 @@ def test_round_even_is_that_of_python(spark):
         assert (got[f"r{d}"].to_numpy() == want).all(), d
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (None,)], "x double").select(scalar.round_even(F.col("x"), 2).alias("r")).collect()
     assert str([r["r"] for r in odd]) == "[nan, inf, None]"
+
+
+def test_masks_backwards_need_little_memory():
+    rnd = random.Random(5)
+    texts = [np.array([rnd.randrange(97, 123) for _ in range(rnd.randrange(1800, 1921))], np.uint32) for _ in range(60)]
+    tracemalloc.start()
+    masks = lcs.Masks(texts, 30)
+    back = masks.backwards()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (back.table == lcs.Masks([t[::-1] for t in texts], 30).table).all()
+    assert peak < 8 * masks.table.nbytes
