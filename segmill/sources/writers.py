@@ -106,7 +106,7 @@ def named_files(df: DataFrame, path: str, by: list[str], name: str, fmt: str = "
     first = df.sparkSession.range(1).select(F.to_csv(F.struct(*[F.lit(c).alias(c) for c in own]), options)).first()[0] if header else ""
     rows = df.select(_named(name).alias("name"), lines[fmt]().alias("line")).filter(F.col("name").isNotNull())
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "name").sortWithinPartitions("name").write.format("named_files").option("path", path).option("header", first).mode("append").save()
+    rows.repartition(n, "name").write.format("named_files").option("path", path).option("header", first).mode("append").save()
 
 
 def report(df: DataFrame, order: list[Column], digits: int = 4, hide: Sequence[str] = ()) -> DataFrame:

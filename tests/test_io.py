@@ -200,3 +200,32 @@ def test_named_files_writer_cleans_up(tmp_path):
     with pytest.raises(RuntimeError):
         NamedFilesWriter(f"file://{tmp_path}/w", "").write(rows())
     assert os.listdir(f"{tmp_path}/w") == []
+
+
+def test_named_files_writer_needs_no_order(tmp_path, monkeypatch):
+    """Rows of names in turns, more than a task holds at once."""
+    import pyarrow as pa
+
+    from segmill.sources import named
+
+    monkeypatch.setattr(named, "HELD", 64, raising=False)
+    rows = [(f"d{k % 3}/f{k % 7}.txt", None if k % 5 == 0 else f"ü{k}") for k in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 90])], names=["name", "line"]) for i in range(0, 400, 90)]
+    assert named.NamedFilesWriter(f"file://{tmp_path}/w", "h").write(iter(batches)).files == 21
+    for name in {n for n, _ in rows}:
+        assert (tmp_path / "w" / name).read_text() == "h\n" + "".join(f"{x or ''}\n" for n, x in rows if n == name)
+
+
+def test_partitions_grow_with_the_table(spark, tmp_path):
+    """Line items meet in as many tasks as the table asks for, whatever the set number of partitions."""
+    from segmill.plans import queries, tables
+
+    spark.range(60000).select((F.col("id") / 3).cast("long").alias("l_orderkey"), (F.col("id") % 50).alias("l_partkey"), (F.col("id") % 3).cast("int").alias("l_linenumber"), (F.col("id") % 50).cast("double").alias("l_quantity")).repartition(12).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        splits = spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions()
+        for df in (queries.early_exit(spark, str(tmp_path)), tables.pairs(spark, str(tmp_path))):
+            assert splits > 4 and df.rdd.getNumPartitions() >= 8 * splits
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
