@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill import schema
 from segmill.operators.validation import check_columns, check_unique
+from segmill.session import ship
 
+#: Bytes of files that a task reads into one batch.
+READ_BYTES = 8 << 20
 CREATOR_FILE = r"^(CR\d+)_"
 
 
@@ -111,21 +121,83 @@ def npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return x.groupBy("video_id", "segment_index").agg(F.max_by("embedding", "_file").alias("embedding"))
 
 
+def _alternatives(path: str) -> list[str]:
+    """A path for each choice of what braces hold."""
+    m = re.search(r"\{([^{}]*)\}", path)
+    return [q for x in m[1].split(",") for q in _alternatives(path[: m.start()] + x + path[m.end() :])] if m else [path]
+
+
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of each file that the path, which may have wildcards, names, and of those directly in folders that it
+    names; what begins with _ or . is passed over. For very many files: tasks list the folders and read the files, and the
+    driver knows the path only. Addresses that pyarrow doesn't open are listed and read by Spark."""
+    path = re.sub(r"^file:(//)?(?=/)", "", path)  # as a plain path, which may hold spaces
+    if "://" not in path:
+        path = os.path.abspath(path)
+    starts = []
+    for one in _alternatives(path):
+        parts = one.split("/")
+        at = next((k for k, x in enumerate(parts) if re.search(r"[*?\[]", x)), len(parts))
+        starts.append(("/".join(parts[:at]), "/".join(parts[at:])))
+    try:
+        places = [(pafs.FileSystem.from_uri(top)[1], rest) for top, rest in starts]
+    except (pa.ArrowInvalid, NotImplementedError):
+        return spark.read.format("binaryFile").load(path).select("path", "content")
+    ship(spark)
+    home = starts[0][0]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One level down: what a folder holds that fits the first part of the rest, or its files if no rest is left."""
+        fs, _ = pafs.FileSystem.from_uri(home)
+        for b in batches:
+            for at, rest, known in zip(*(c.to_pylist() for c in b.columns)):
+                found = [(at, rest, True)] if known or not rest and fs.get_file_info(at).type == pafs.FileType.File else None
+                if found is None:
+                    head, _, tail = rest.partition("/")
+                    found = []
+                    for e in fs.get_file_info(pafs.FileSelector(at)):
+                        is_file = e.type == pafs.FileType.File
+                        if e.base_name[0] not in "_." and fnmatch.fnmatchcase(e.base_name, head or "*") and (not tail if is_file else rest):
+                            found.append((e.path, tail, is_file))
+                for i in range(0, len(found), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i : i + 4096]), (pa.string(), pa.string(), pa.bool_()))], names=["at", "rest", "known"])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(home)
+        paths, bodies, size = [], [], 0
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                with fs.open_input_stream(at, compression=None) as f:
+                    paths.append(at)
+                    bodies.append(f.read())
+                size += len(bodies[-1])
+                if size >= READ_BYTES or len(paths) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(bodies, pa.binary())], names=["path", "content"])
+                    paths, bodies, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(bodies, pa.binary())], names=["path", "content"])
+
+    found = spark.createDataFrame([(at, rest, False) for at, rest in places], "at string, rest string, known boolean").coalesce(1)
+    for _ in range(max(len(list(filter(None, rest.split("/")))) for _, rest in places) + 1):
+        found = found.mapInArrow(step, "at string, rest string, known boolean").repartition(n, "at")
+    return found.select("at").mapInArrow(load, "path string, content binary")
+
+
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per segment, `.../<video>/..._<index>.json`; damaged files and blank texts go."""
-    df = (
-        spark.read.schema(schema.SCHEMAS["transcripts"] + ", _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        .select("*", F.col("_metadata.file_path").alias("_path"))
-    )
-    video = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
-    index = F.regexp_extract("_path", r"(\d+)\.json$", 1).try_cast("int")
-    return df.filter("_corrupt IS NULL AND trim(coalesce(text, '')) <> ''").select(video.alias("video_id"), index.alias("segment_index"), "text", "words")
+    """One JSON file per segment, `.../<video>/..._<index>.json`; damaged files, those of several
+    objects among them, and blank texts go."""
+    body, ddl = F.col("content").cast("string"), schema.SCHEMAS["transcripts"]
+    one = F.from_json(body, f"{ddl}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    x = whole_files(spark, path).select("path", one.alias("x")).filter("x._corrupt IS NULL AND trim(coalesce(x.text, '')) <> ''")
+    video = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
+    index = F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("int")
+    return x.select(video.alias("video_id"), index.alias("segment_index"), "x.text", "x.words")
 
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """Whole caption files; the video's id is the name up to the first dot."""
-    df = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("f"))
-    return df.select(F.regexp_extract("f", r"^([^.]+)", 1).alias("video_id"), F.col("value").alias("vtt"))
+    return whole_files(spark, path).select(F.regexp_extract("path", r"([^./]+)[^/]*$", 1).alias("video_id"), F.col("content").cast("string").alias("vtt"))
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:

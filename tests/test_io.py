@@ -229,3 +229,17 @@ def test_partitions_grow_with_the_table(spark, tmp_path):
             assert splits > 4 and df.rdd.getNumPartitions() >= 8 * splits
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_whole_files_are_listed_by_tasks(spark, tmp_path):
+    """Wildcards, braces, single files, hidden names and folders below folders; the driver has no list of files."""
+    for name in ("a/1.en.vtt", "a/2.txt", "a/_3.txt", "a/.4.txt", "a/deep/5.txt", "b c/6.txt", "_c/7.txt", "8.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"ü{name}")
+    want = {"*": ["1", "2", "6", "8"], "": ["8"], "a": ["1", "2"], "*/*.txt": ["2", "6"], "{a,b c}/*": ["1", "2", "5", "6"], "8.txt": ["8"], "?/1*": ["1"]}
+    for path, ids in want.items():
+        got = readers.captions(spark, f"file://{tmp_path}/{path}".rstrip("/"))
+        assert got.inputFiles() == []
+        rows = got.collect()
+        assert sorted(r["video_id"] for r in rows) == ids, path
+        assert all(r["vtt"].startswith("ü") and f"{r['video_id']}." in r["vtt"] for r in rows)
