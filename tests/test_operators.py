@@ -247,6 +247,23 @@ def test_numbers_within_large_groups_by_range(spark, tmp_path):
     assert seg.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_bounds_of_ranges_are_computed_once(spark, monkeypatch):
+    """Approximate quantiles may differ from one computation to the next; here they always do."""
+    import random
+
+    moved = F.udf(lambda top: sorted(random.sample(range(top), 7)), "array<long>").asNondeterministic()
+    monkeypatch.setattr(ranges.F, "percentile_approx", lambda column, *_: moved(F.max(column)))
+    x = ranges.index_within(make(spark, "g string, o long", [("ab"[k % 2], k) for k in range(3000)]), "g", "o", "i", "n", parts=8)
+    assert all(r["i"] == r["o"] // 2 and r["n"] == 1500 for r in rows(x))
+
+
+def test_positions_are_rounded_as_in_sql(spark):
+    """At a tie of the decimal the stored number decides: 57 / 800 lies below 0.07125."""
+    seg = make(spark, "video_id string, segment_index int, start_time double, end_time double, video_duration double", [("v", k, k * 30.0, k * 30.0 + 30, 24000.0) for k in (25, 57, 69, 113)])
+    got = {r["segment_index"]: r["position_ratio"] for r in rows(segments.structural_features(seg))}
+    assert got == {25: 0.0313, 57: 0.0712, 69: 0.0862, 113: 0.1412}
+
+
 def test_rows_are_dealt_out_before_they_cost(spark):
     """Copies of few bytes, and the rows that learners read, come from as many tasks as there are cores."""
     df = make(spark, "video_id string, segment_id long, split string, label int, f double", [(f"v{k % 9}", k, ("train", "val", "test")[k % 3], k % 2, float(k)) for k in range(400)]).coalesce(1)
