@@ -264,6 +264,19 @@ def test_positions_are_rounded_as_in_sql(spark):
     assert got == {25: 0.0313, 57: 0.0712, 69: 0.0862, 113: 0.1412}
 
 
+def test_dataset_checks_pass_over_nulls_as_in_sql(spark, tmp_path):
+    from segmill.plans import queries
+
+    def checks(name, labels):
+        make(spark, "doc_id long, text string, lang string, source string, n_chars int", [(k, "x", "en", "one", 1) for k in range(4)]).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        make(spark, "doc_id long, quality int, toxic int", [(k, 1, v) for k, v in enumerate(labels)]).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        return [r["passed"] for r in rows(queries.dataset_checks(spark, f"{tmp_path}/{name}"))]
+
+    assert checks("some", [1, None, 0, None]) == [True, True, True, True, True]
+    assert checks("null", [None, None]) == [True, True, None, True, True]
+    assert checks("none", []) == [False, True, None, True, None]
+
+
 def test_rows_are_dealt_out_before_they_cost(spark):
     """Copies of few bytes, and the rows that learners read, come from as many tasks as there are cores."""
     df = make(spark, "video_id string, segment_id long, split string, label int, f double", [(f"v{k % 9}", k, ("train", "val", "test")[k % 3], k % 2, float(k)) for k in range(400)]).coalesce(1)
