@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmill.llm import exact_dedup, language_id, near_text, packing, quality, queries
+from segmill.llm import common, exact_dedup, language_id, near_text, packing, quality, queries
 from segmill.session import materialize, shared_dir
 
 #: A document goes if it has no letter, or if its likeliest language is less likely than all others together.
@@ -35,7 +35,7 @@ def _new_name(docs: DataFrame, name: str) -> str:
 def _only(docs: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """The rows with these keys, or with others, with the columns of the documents."""
     kept = keys.select(F.col(keys.columns[0]).alias(other := _new_name(docs, "other_key"))).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col(other)), how).drop(key)
+    return docs.join(common.sorted_join(kept), F.col(key).eqNullSafe(F.col(other)), how).drop(key)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,12 @@ def by_bytes(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, ro
         yield [c.to_pylist() for c in b.columns]
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, to be sorted and merged. Spark sizes what was exploded or is read
+    from compressed files too low, and would else gather it on the driver to broadcast it."""
+    return df.hint("merge")
+
+
 def smallest_of_copies(df: DataFrame, key: str, ident: str) -> DataFrame:
     """(key, salt) -> smallest ident of the key, and the size of its group.
 
@@ -87,7 +93,7 @@ def with_least(df: DataFrame, keys: list[str], value: str, of: str) -> DataFrame
     salted = df.withColumn("salt", salt(of))
     parts = salted.groupBy(*keys, "salt").agg(F.min(value).alias("low"), F.count(F.lit(1)).alias("n"))
     whole = parts.groupBy(*keys).agg(F.min("low").alias("least"), F.sum("n").alias("members"))
-    return salted.join(parts.select(*keys, "salt").join(whole, keys), [*keys, "salt"]).drop("salt")
+    return salted.join(sorted_join(parts.select(*keys, "salt").join(sorted_join(whole), keys)), [*keys, "salt"]).drop("salt")
 
 
 def salt(ident: str):

@@ -255,7 +255,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     return (
         local.select("gid", "sha", "ids")
-        .join(verdicts, "gid")
+        .join(common.sorted_join(verdicts), "gid")
         .select("gid", "sha", "keep_id", "keep_gid", "group_size", F.posexplode("ids").alias("pos", "doc_id"))
         .select(
             "doc_id",

@@ -263,7 +263,7 @@ def _tiles(clusters: DataFrame, facts: DataFrame, tile: int, most: int) -> DataF
 
 
 def _texts(placed: DataFrame, sigs: DataFrame) -> DataFrame:
-    return placed.join(sigs.select(F.col("row").alias("node"), "text", "keys"), "node")
+    return placed.join(common.sorted_join(sigs.select(F.col("row").alias("node"), "text", "keys")), "node")
 
 
 NAMED = "component long, bucket int, cut int, tiles int, node long, label long"
@@ -311,7 +311,7 @@ def confirm(clusters: DataFrame, sigs: DataFrame, percent: float = PERCENT, shin
     # One node of each part against one of its cluster.
     heads = large.filter(F.col("label") == F.col("node"))
     pivot = heads.groupBy("component").agg(F.min("node").alias("pivot"))
-    body = sigs.select(F.col("row").alias("node"), "text")
+    body = common.sorted_join(sigs.select(F.col("row").alias("node"), "text"))
     pairs = heads.join(pivot, "component").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     pairs = pairs.join(body.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(body.select(F.col("node").alias("b"), F.col("text").alias("two")), "b")
     linked = pairs.select("a", "b", "one", "two").mapInArrow(exact, LINKS).select(F.col("a").alias("label"), F.col("b").alias("pivot"))
@@ -330,7 +330,7 @@ def confirm(clusters: DataFrame, sigs: DataFrame, percent: float = PERCENT, shin
     if not met.head(1):
         return small.union(at.select("node", "label"))
     sides = [met.select("component", F.col(f"bucket{k}").alias("bucket"), F.col(f"cut{k}").alias("cut"), "part", F.lit(k - 1).alias("side")) for k in (1, 2)]
-    dealt = _texts(at.join(sides[0].union(sides[1]), ["component", "bucket", "cut"]), sigs).select("part", "side", "node", "label", "text", "keys")
+    dealt = _texts(at.join(common.sorted_join(sides[0].union(sides[1])), ["component", "bucket", "cut"]), sigs).select("part", "side", "node", "label", "text", "keys")
     across = dealt.repartition("part").sortWithinPartitions("part", "side").mapInArrow(between, LINKS)
     known = components(across).select(F.col("node").alias("label"), F.col("component").alias("root"))
     return small.union(at.join(known, "label", "left").select("node", F.coalesce("root", "label").alias("label")))

@@ -32,9 +32,9 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     sized = common.with_least(fps, ["fp"], "doc_id", "doc_id").withColumnRenamed("members", "same")
     nodes = materialize(fps.select("fp").distinct())
     found = components(simhash.links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
-    linked = sized.join(found.withColumnRenamed("node", "fp"), "fp", "left").filter(F.col("component").isNotNull() | (F.col("same") > 1))
+    linked = sized.join(common.sorted_join(found.withColumnRenamed("node", "fp")), "fp", "left").filter(F.col("component").isNotNull() | (F.col("same") > 1))
     clusters = materialize(linked.select(F.col("doc_id").alias("node"), F.coalesce("component", "fp").alias("component")))
-    texts = common.pick(df, doc_id=id_col, text=text_col).join(clusters.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = common.pick(df, doc_id=id_col, text=text_col).join(common.sorted_join(clusters.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     sigs = minhash.signatures(texts, shingle=shingle).filter("n > 0").withColumn("row", F.col("doc_id"))
     sigs = materialize(sigs)
     named = minhash.confirm(clusters, sigs, percent, shingle)

@@ -223,7 +223,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, blocks: int
     tiles = pops.select("band", "key", "pop", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"))
     met = tiles.join(near, ["band", "key"]).filter(F.abs(F.col("pop") - F.col("pop2")) <= radius)
     met = met.select("band", "key", "pop", "cut", "pop2", F.explode(F.sequence(F.lit(0), F.col("cuts2") - 1)).alias("cut2"))
-    mates = mine.join(met, ["band", "key", "pop", "cut"])
+    mates = mine.join(common.sorted_join(met), ["band", "key", "pop", "cut"])
     first, second = F.struct("pop", "cut"), F.struct(F.col("pop2").alias("pop"), F.col("cut2").alias("cut"))
     label = F.concat_ws(":", F.least(first, second).cast("string"), F.greatest(first, second).cast("string"))
     # A tile pair's name as a number: should two names agree, their rows are compared together, which is as right.

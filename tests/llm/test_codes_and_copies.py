@@ -308,6 +308,21 @@ def test_near_groups_drop_only_near_copies(spark):
     assert near_text.near_groups(df.limit(0)).count() == 0
 
 
+def test_tables_that_grow_with_the_input_are_not_broadcast(spark):
+    """Spark takes 36 keys a row for one, so the table of keys would be gathered on the driver."""
+    import corpus_pipeline
+    from segmill.llm import common
+
+    one = spark.createDataFrame([(k, k % 7) for k in range(200)], "fp long, node long")
+    keyed = one.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("key"))
+    for df in (common.with_least(keyed, ["key"], "fp", "fp"), corpus_pipeline._only(one, keyed.select("fp"), "fp", "left_anti")):
+        df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    got = common.with_least(keyed, ["key"], "fp", "fp").select("least", "members").distinct().collect()
+    assert [tuple(r) for r in got] == [(0, 200)]
+
+
 def test_equal_texts_score_equally_in_any_batch(spark, sf):
     from segmill.llm import language_id, quality
 
