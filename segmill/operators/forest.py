@@ -25,6 +25,8 @@ from segmill.session import materialize, ship, spread
 #: A node with at most this weight of rows is finished in one task.
 SMALL = 200_000
 BITS = 16
+#: Rows in a record on their way to a tree.
+RECORD = 64
 #: Cumulated probabilities of 0, 1, ... draws of a row.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
 
@@ -68,23 +70,89 @@ def gini_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, order: list[int], m:
     return best
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, depth: float, m: int) -> Tree:
-    """A tree whose leaves are pure or can't be split, or lie `depth` levels down; values are shares of class 1."""
-    t = Tree()
-    todo = [(0, np.arange(len(y)), 0, root)]
-    while todo:
-        node, rows, level, name = todo.pop()
-        n, p = w[rows].sum(), (w[rows] * y[rows]).sum()
-        t.value[node] = float(p / n) if n else 0.0
-        if level >= depth or p <= 0 or p >= n or y[rows].min() == y[rows].max():
-            continue
-        best = gini_split(x[rows], y[rows], w[rows], tried(tree, name, x.shape[1]), m)
-        if best is None:
+def _cells(x: np.ndarray, at: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells (node, bin) that have rows, as node * (BINS + 1) + bin in order, and the counts of both classes in each."""
+    key = at * (BINS + 1) + x
+    if n * (BINS + 1) <= 4 * len(key):
+        sums = np.stack([np.bincount(key, c, n * (BINS + 1)) for c in counts])
+        cells = np.flatnonzero(sums.any(0))
+        return cells, sums[:, cells]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(counts[:, order], first, axis=1)
+
+
+def _level_splits(x: np.ndarray, at: np.ndarray, counts: np.ndarray, order: np.ndarray, m: int, unit: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gini_split for all nodes of a level at once: (feature, bin, decrease of the impurity) of each; feature -1: no split.
+    at: the node of each row; order: the features in the order in which each node tries them."""
+    n_nodes = len(order)
+    total = np.stack([np.bincount(at, c, n_nodes) for c in counts])
+    feature, cut, best = np.full(n_nodes, -1), np.zeros(n_nodes, np.int64), np.zeros(n_nodes)
+    for k in range(order.shape[1]):
+        if k >= m:  # only for nodes without a split
+            left = feature[at] < 0
+            x, at, counts = x[left], at[left], counts[:, left]
+        if not len(at):
+            break
+        cells, own = _cells(x[np.arange(len(x)), order[at, k]], at, counts, n_nodes)
+        node = cells // (BINS + 1)
+        run = np.cumsum(own, axis=1)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        run = run - np.repeat(run[:, first] - own[:, first], np.diff(np.append(first, len(node))), axis=1)
+        inner = np.flatnonzero(np.append(node[1:] == node[:-1], False))
+        if not len(inner):
             continue
-        f, cut, gain = best
-        a, b = t.split(node, f, cut, False, gain, (0.0, 0.0))
-        left = x[rows, f] <= cut
-        todo += [(a, rows[left], level + 1, 2 * name + 1 & 0xFFFFFFFF), (b, rows[~left], level + 1, 2 * name + 2 & 0xFFFFFFFF)]
+        node, bins, run = node[inner], cells[inner] % (BINS + 1), run[:, inner]
+        p, all_p = run[1] * unit[1], total[1, node] * unit[1]
+        n, all_n = run[0] * unit[0] + p, total[0, node] * unit[0] + all_p
+        gain = p * p / n + (all_p - p) ** 2 / (all_n - n) - all_p * all_p / all_n
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        top = np.maximum.reduceat(gain, first)
+        hits = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(first, len(node)))))
+        at_top = hits[np.append(True, node[hits][1:] != node[hits][:-1])]
+        who = node[at_top]
+        better = (feature[who] < 0) | (gain[at_top] > best[who] * (1 + 1e-12))
+        who, at_top = who[better], at_top[better]
+        feature[who], cut[who], best[who] = order[who, k], bins[at_top], gain[at_top]
+    return feature, cut, best
+
+
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, depth: float, m: int, unit: tuple[float, float] = (1.0, 1.0)) -> Tree:
+    """A tree whose leaves are pure or can't be split, or lie `depth` levels down; values are shares of class 1.
+
+    All nodes of a level are split together. w times the class's unit is a row's weight: numbers of draws are summed
+    without error, so a tree doesn't depend on the order of its rows.
+    """
+    t = Tree()
+    nodes, names, level = np.zeros(1, np.int64), np.array([root], np.int64), 0
+    at, counts = np.zeros(len(y), np.int64), np.stack([w * (y != 1), w * (y == 1)])
+    while len(nodes):
+        sums = np.stack([np.bincount(at, c, len(nodes)) for c in counts])
+        p = sums[1] * unit[1]
+        n = sums[0] * unit[0] + p
+        for node, value in zip(nodes.tolist(), np.divide(p, n, out=np.zeros(len(n)), where=n > 0).tolist()):
+            t.value[node] = value
+        if level >= depth:
+            break
+        going = (p > 0) & (p < n)
+        nodes, names, to = nodes[going], names[going], np.cumsum(going) - 1
+        stay = going[at]
+        x, at, counts = x[stay], to[at[stay]], counts[:, stay]
+        if not len(nodes):
+            break
+        tries = _mix(np.arange(x.shape[1], dtype=np.uint64) + names[:, None].astype(np.uint64) * np.uint64(1 << 20), tree)
+        feature, cut, gain = _level_splits(x, at, counts, np.argsort(tries, axis=1, kind="stable"), m, unit)
+        made = np.flatnonzero(feature >= 0)
+        below = [t.split(*s, (0.0, 0.0)) for s in zip(nodes[made].tolist(), feature[made].tolist(), cut[made].tolist(), [False] * len(made), gain[made].tolist())]
+        to = np.cumsum(feature >= 0) - 1
+        stay = feature[at] >= 0
+        x, at, counts = x[stay], at[stay], counts[:, stay]
+        right = x[np.arange(len(x)), feature[at]] > cut[at]
+        at = 2 * to[at] + right
+        nodes = np.array(below, np.int64).reshape(-1)
+        names = (2 * names[made][:, None] + np.array([1, 2]) & 0xFFFFFFFF).reshape(-1)
+        level += 1
     return t
 
 
@@ -160,18 +228,29 @@ def forest_scores(
     x_at, h_at, y_at, s_at = (names.index(c) for c in ("x", "_h", "y", "split"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row once a tree, with the node it falls to: first as often as it is drawn, then to be scored."""
+        """The rows once a tree, by the node they fall to: first as often as they are drawn, then to be scored. A record
+        has up to RECORD rows, as what each costs Spark is far more than its bytes."""
         for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                b = whole.slice(i, 512)
+            for i in range(0, whole.num_rows, 4096):
+                b = whole.slice(i, 4096)
                 x, h = _bins(b.column(x_at), n_f), b.column(h_at).to_numpy()
                 learn = np.array([s == "train" and y is not None for s, y in zip(b.column(s_at).to_pylist(), b.column(y_at).to_pylist())], bool)
                 y = np.array([v if v is not None else 0 for v in b.column(y_at).to_pylist()], np.int32)
                 for k, t in all_.items():
                     leaf, times = t.leaves(x), draws(h, k)
                     rows = np.concatenate([np.flatnonzero(learn & (times > 0)), np.arange(len(h))])
-                    role = np.repeat([0, 1], [len(rows) - len(h), len(h)]).astype(np.int32)
-                    cols = [pa.array(np.full(len(rows), k, np.int32)), pa.array(leaf[rows].astype(np.int32)), pa.array(role), pa.array(h[rows]), pa.array(y[rows]), pa.array(times[rows].astype(np.int32)), b.column(x_at).take(pa.array(rows))]
+                    role = np.repeat([0, 1], [len(rows) - len(h), len(h)])
+                    by = np.lexsort((role, leaf[rows]))
+                    rows, role = rows[by], role[by]
+                    node = leaf[rows]
+                    new = np.append(True, (node[1:] != node[:-1]) | (role[1:] != role[:-1]))
+                    since = np.arange(len(rows)) - np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+                    starts = np.flatnonzero(since % RECORD == 0)
+                    ends = np.append(starts, len(rows))
+                    cols = [pa.array(np.full(len(starts), k, np.int32)), pa.array(node[starts].astype(np.int32)), pa.array(role[starts].astype(np.int32))]
+                    for v in (h[rows].astype(np.int64), y[rows], times[rows].astype(np.int32), x[rows]):
+                        width = v.itemsize * (v.shape[1] if v.ndim > 1 else 1)
+                        cols.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))]))
                     yield pa.RecordBatch.from_arrays(cols, names=["tree", "node", "role", "_h", "y", "times", "x"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +259,7 @@ def forest_scores(
 
         def ready() -> Tree:
             rows = [np.concatenate(c) for c in zip(*held)] if held else [np.zeros((0, n_f), np.uint16), np.zeros(0), np.zeros(0)]
-            w = rows[2] * np.where(rows[1] == 1, weights[1], weights[0])
-            return grow(rows[0], rows[1], w, at[0], at[1], limit - levels[at[0]].get(at[1], 0), m)
+            return grow(*rows, at[0], at[1], limit - levels[at[0]].get(at[1], 0), m, weights)
 
         def gains(t: Tree) -> pa.RecordBatch:
             used = np.array(t.feature)
@@ -195,19 +273,20 @@ def forest_scores(
             for a, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 if at != (int(tree[a]), int(node[a])):
                     at, held, grown = (int(tree[a]), int(node[a])), [], None
+                h, y, times = (np.frombuffer(b"".join(b.column(c).slice(a, e - a).to_pylist()), kind) for c, kind in ((3, np.int64), (4, np.int32), (5, np.int32)))
                 x = _bins(b.column(6).slice(a, e - a), n_f)
                 if not role[a]:
-                    held.append((x, b.column(4).slice(a, e - a).to_numpy(), b.column(5).slice(a, e - a).to_numpy()))
+                    held.append((x, y, times))
                     continue
                 if grown is None:
                     grown = ready()
                     held = []
                     yield gains(grown)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(e - a, at[0] // trees, np.int32)), b.column(3).slice(a, e - a), pa.array(np.zeros(e - a, np.int32)), pa.array(grown.values(x))], names=["seed", "key", "kind", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at[0] // trees, np.int32)), pa.array(h), pa.array(np.zeros(len(h), np.int32)), pa.array(grown.values(x))], names=["seed", "key", "kind", "value"])
 
-    rows = data.mapInArrow(deal, "tree int, node int, role int, _h long, y int, times int, x binary")
+    rows = data.mapInArrow(deal, "tree int, node int, role int, _h binary, y binary, times binary, x binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    done = rows.repartition(parts, "tree", "node").sortWithinPartitions("tree", "node", "role", "_h").mapInArrow(finish, "seed int, key long, kind int, value double")
+    done = rows.repartition(parts, "tree", "node").sortWithinPartitions("tree", "node", "role").mapInArrow(finish, "seed int, key long, kind int, value double")
     done = materialize(done.groupBy("seed", "kind", "key").agg(F.sum(F.col("value").cast("decimal(30,18)")).cast("double").alias("value"), F.count(F.lit(1)).alias("n")))
     known = done.filter("kind = 0").select("seed", F.col("key").alias("_h"), (F.col("value") / F.col("n")).alias("score"))
     scores = data.drop("x").join(known, "_h").select("seed", *keys, "split", "y", F.col("score").cast("float").alias("score"))

@@ -268,3 +268,26 @@ def test_draws_are_poisson():
     h = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 40_000)
     n = forest.draws(h, 7)
     assert abs(n.mean() - 1) < 0.03 and abs((n == 0).mean() - math.exp(-1)) < 0.02 and (forest.draws(h, 8) != n).any()
+
+
+def test_levels_are_split_together_as_node_by_node():
+    """The tree is that of gini_split at each node, in any order of the rows."""
+    from segmill.operators import forest
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (600, 5)).astype(np.uint16)
+    x[rng.random(x.shape) < 0.1] = forest.BINS
+    y, w, unit = (rng.random(600) < 0.2).astype(np.int32), rng.integers(1, 4, 600), (0.75, 2.5)
+    t = forest.grow(x, y, w, 5, 0, math.inf, 2, unit)
+    weight, todo, made = w * np.where(y == 1, unit[1], unit[0]), [(0, np.arange(600), 0)], 0
+    while todo:
+        node, rows, name = todo.pop()
+        best = forest.gini_split(x[rows], y[rows], weight[rows], forest.tried(5, name, 5), 2) if len(set(y[rows])) > 1 else None
+        assert t.value[node] == pytest.approx(np.average(y[rows], weights=weight[rows])) and (t.feature[node] < 0) == (best is None)
+        if best is not None:
+            made += 1
+            assert (t.feature[node], t.bin[node]) == best[:2] and t.gain[node] == pytest.approx(best[2])
+            left = x[rows, best[0]] <= best[1]
+            todo += [(t.left[node], rows[left], 2 * name + 1), (t.left[node] + 1, rows[~left], 2 * name + 2)]
+    by = rng.permutation(600)
+    assert made > 50 and forest.grow(x[by], y[by], w[by], 5, 0, math.inf, 2, unit) == t
