@@ -313,7 +313,7 @@ def test_tables_that_grow_with_the_input_are_not_broadcast(spark):
     import corpus_pipeline
     from segmill.llm import common
 
-    one = spark.createDataFrame([(k, k % 7) for k in range(200)], "fp long, node long")
+    one = spark.range(200).select(F.col("id").alias("fp"), (F.col("id") % 7).alias("node"))  # a table whose size Spark knows
     keyed = one.select("node", "fp", F.explode(F.sequence(F.lit(0), F.lit(35))).alias("key"))
     for df in (common.with_least(keyed, ["key"], "fp", "fp"), corpus_pipeline._only(one, keyed.select("fp"), "fp", "left_anti")):
         df.count()
